@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.common import table
 from loomwork.llm.near_dedup import near_duplicates
+from loomwork.llm.substring_dedup import remove_repeats
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -42,5 +48,18 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS id, doc_id AS to_id FROM documents UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.to_id),
 m AS (SELECT id, min(to_id) AS component_id FROM r GROUP BY id)
 SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN m ON m.id = n.doc_id
+""",
+    "op10_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, ws FROM w WHERE len(ws) >= 20),
+q AS (SELECT doc_id, s, sha256(array_to_string(ws[s : s + 19], ' ')) AS h FROM p),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM q),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM r WHERE k > 1),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, len(w.ws) AS n, coalesce(len(g.gone), 0) AS n_gone,
+    CASE WHEN g.gone IS NULL THEN w.ws ELSE list_transform(list_sort(list_filter(range(1, len(w.ws) + 1), lambda i: NOT list_contains(g.gone, i))), lambda i: w.ws[i]) END AS kept
+  FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """,
 }
