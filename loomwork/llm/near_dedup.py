@@ -9,8 +9,10 @@ are far below the threshold (six standard errors); the rest are confirmed on ful
 How groups of any size are handled:
   * equal sets collapse to one representative before banding, with map-side combining;
   * in a band, each document is first compared with the band's smallest document only;
-  * bands whose documents are still in several components are compared in tiles of bounded
-    size, which give only the pairs of different components that pass the estimate.
+  * bands whose documents are still in several components are compared by sketch, in tiles of
+    bounded size, which give only enough pairs to connect what the sketches allow: the families;
+  * a family's documents are compared on full sets, again in tiles, which give only enough links
+    to join its components. So no step writes the pairs of a group.
 No candidate is dropped by a cap. A link at similarity 0.85 is missed with probability
 (1 - 0.85**4)**32, below 1e-10.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,54 +167,90 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def _tile_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of one band and of different components that pass the estimate, tile against tile.
+def _by_tiles(members: DataFrame, key: str, columns: list[str], pairs: Callable[[np.ndarray, list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """a, b: what `pairs` gives for each two tiles of each key's documents.
 
-    members: band, size, doc_id, component, n_shingles, regs. A band of g documents has
-    ceil(g / TILE) tiles; a task holds two tiles at a time, whatever g is."""
+    members: key, size, doc_id and columns. A key of g documents has ceil(g / TILE) tiles; a task
+    holds two tiles at a time, whatever g is. pairs gets each row's tile and the rows."""
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
-    placed = members.withColumn("tiles", tiles).withColumn("own", own)
+    placed = members.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keyed = spread.select(
-        "band", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", "doc_id", "component", "n_shingles", "regs"
-    )
-    ordered = keyed.repartition("band", "t1", "t2").sortWithinPartitions("band", "t1", "t2", "own")
-
-    def pairs(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        own, ids, comp, n, regs = zip(*rows, strict=True)
-        own, ids, comp, n = np.array(own), np.array(ids), np.array(comp), np.array(n)
-        regs = np.frombuffer(b"".join(regs), dtype=np.uint16).reshape(len(ids), BUCKETS)
-        out_a, out_b = [], []
-        for i in range(len(ids)):
-            at = np.flatnonzero((comp != comp[i]) & (ids > ids[i]) & ((own != own[i]) | (own.min() == own.max())) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9))
-            if len(at):
-                at = at[estimates(regs[at], regs[i]) >= least_estimate(threshold, regs[at], regs[i])]
-                out_a.append(np.full(len(at), ids[i]))
-                out_b.append(ids[at])
-        none = np.zeros(0, dtype=np.int64)
-        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+    keyed = spread.select(F.col(key).alias("key"), F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", *columns)
+    ordered = keyed.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        at, own, rows = None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                a, b = pairs(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                found = pairs(np.array(own), rows)
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for band, t1, t2, *row in zip(*columns, strict=True):
-                if (band, t1, t2) != key:
+            for group, t1, t2, tile, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, t1, t2) != at:
                     yield from done()
-                    key, rows = (band, t1, t2), []
-                rows.append(row)
+                    at, own, rows = (group, t1, t2), [], []
+                own.append(tile)
+                rows.append(tuple(row))
         yield from done()
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def _spanning(own: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray, regs: np.ndarray, threshold: float, check: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs that join different roots, pass size, estimate and check; none that the pairs before make needless."""
+    out, root, apart = [], root.copy(), own.min() != own.max()
+    for i in range(len(ids)):
+        at = np.flatnonzero((root != root[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9))
+        at = at[own[at] > own[i]] if apart else at[at > i]
+        if len(at):
+            likely = estimates(regs[at], regs[i])
+            keep = likely >= least_estimate(threshold, regs[at], regs[i])
+            at = at[keep][np.argsort(-likely[keep], kind="stable")]
+        while len(at):
+            j, at = at[0], at[1:]
+            if check(i, j):
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                root[root == root[j]] = root[i]
+                at = at[root[at] != root[i]]
+    return out
+
+
+def families(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: enough pairs of a band's documents to connect all whose sketches allow the threshold.
+
+    members: band, size, doc_id, component, n_shingles, regs. At most as many pairs as documents."""
+
+    def pairs(own: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, component, n, regs = zip(*rows, strict=True)
+        regs = np.frombuffer(b"".join(regs), dtype=np.uint16).reshape(len(ids), BUCKETS)
+        return _spanning(own, np.array(ids), np.array(component), np.array(n), regs, threshold, lambda i, j: True)
+
+    return _by_tiles(members, "band", ["doc_id", "component", "n_shingles", "regs"], pairs)
+
+
+def links_within(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between different components of a family, confirmed on full sets, enough to join them.
+
+    members: family, size, doc_id, component, text."""
+
+    def pairs(own: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, component, texts = zip(*rows, strict=True)
+        sets = []
+        for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+            sets += shingle_sets(data, offsets, k)
+        n = np.array([len(x) for x in sets])
+
+        def linked(i: int, j: int) -> bool:
+            both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+            return 100 * both >= percent * (n[i] + n[j] - both)
+
+        return _spanning(own, np.array(ids), np.array(component), n, np.array([registers(x) for x in sets]), percent / 100, linked)
+
+    return _by_tiles(members, "family", ["doc_id", "component", "text"], pairs)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
@@ -244,14 +282,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = stored(confirmed(plausible(with_sketches(stars), threshold), texts, k, percent), "links")
     joined = components(first)
 
-    # bands that hold several components: every pair across components that the sketches allow
+    # bands whose documents are still in several components: what the sketches allow makes families,
+    # and a family's documents are compared on full sets
     label = F.coalesce("component", "doc_id").alias("component")
-    labelled = members.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "size", "doc_id", label)
+    by_id = joined.withColumnRenamed("id", "doc_id")
+    labelled = members.join(by_id, "doc_id", "left").select("band", "size", "doc_id", label)
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band")
-    tried = stars.select("a", "b")
-    across = _tile_pairs(labelled.join(mixed, "band").join(own, "doc_id").select("band", "size", "doc_id", "component", "n_shingles", "regs"), threshold)
-    second = confirmed(across.join(tried, ["a", "b"], "left_anti"), texts, k, percent)
-    joined = components(stored(first.union(second), "links"))
+    likely = stored(families(labelled.join(mixed, "band").join(own, "doc_id"), threshold), "likely")
+    family = components(first.union(likely)).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    within = family.join(by_id, "doc_id", "left").select("family", "doc_id", label)
+    split = within.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low != high")
+    second = stored(links_within(within.join(split.select("family", "size"), "family").join(texts, "doc_id"), k, percent), "links")
+    joined = components(first.union(second))
 
     final = reps.select("set_key", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_key", label)
     in_sets = full.select("doc_id", "n_shingles", "set_key").join(final, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
