@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.llm import html_text, quality, toxicity, url_filter
 from loomwork.llm.common import table
 from loomwork.llm.exact_topk import top_k
+from loomwork.llm.mixing import mix
 from loomwork.llm.near_dedup import near_duplicates
 from loomwork.llm.substring_dedup import remove_repeats
 
@@ -38,6 +39,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
+    "op8_source_mixing": op8_source_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -79,17 +85,51 @@ m AS (
   SELECT h.page_id, u.rh || u.rp AS rule, v, row_number() OVER (PARTITION BY h.page_id ORDER BY length(rh) + length(rp) DESC, length(rh) DESC) AS k
   FROM h JOIN u ON (h.host = rh OR ends_with(h.host, '.' || rh)) AND starts_with(h.path, rp))
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1
+""",
+    "op8_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
+k AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, CAST(sum(source_size) OVER () AS DOUBLE) AS total, 2.0::DOUBLE * source_size AS most FROM p),
+w AS (SELECT *, CAST([5, 2, 1][(rank - 1) % 3 + 1] AS DOUBLE) AS w FROM k),
+l AS (
+  SELECT *, (1.5::DOUBLE * total - coalesce(sum(most) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+  FROM w WINDOW o AS (ORDER BY most / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT min_by(level, [most / w, rank]) AS level FROM l WHERE most / w > level),
+t AS (SELECT l.*, least(most, w * (SELECT level FROM f)) AS target, CAST(round(1.5::DOUBLE * total / 4) AS BIGINT) AS seats FROM l),
+-- every seat of every source, ranked by quotient
+q AS (
+  SELECT rank, target / (2 * i - 1) AS quotient, i FROM (
+    SELECT rank, target, unnest(range(1, CAST(target / 4 AS BIGINT) + (SELECT count(*) + 2 FROM t))) AS i FROM t)),
+a AS (SELECT rank, count(*) AS blocks FROM (SELECT rank, row_number() OVER (ORDER BY quotient DESC, rank, i) AS n FROM q) WHERE n <= (SELECT max(seats) FROM t) GROUP BY rank),
+s AS (SELECT t.source, t.rank, t.source_size, t.target, CAST(ceil(t.n_docs / 2000) AS BIGINT) AS shards, coalesce(a.blocks, 0) AS blocks FROM t LEFT JOIN a USING (rank)),
+h AS (SELECT d.doc_id, d.size, s.*, md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS h FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+g AS (SELECT *, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % shards AS shard FROM h),
+z AS (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS shard_size, max(blocks) AS blocks FROM g GROUP BY rank, shard),
+y AS (
+  SELECT rank, shard, i, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2 * i - 1) DESC, shard, i) AS n, blocks FROM (
+    SELECT rank, shard, shard_size, blocks, unnest(range(1, CAST(blocks AS BIGINT) + 2)) AS i FROM z)),
+x AS (SELECT rank, shard, count(*) * 4 AS quota FROM y WHERE n <= blocks GROUP BY rank, shard),
+b AS (
+  SELECT g.*, z.shard_size, coalesce(x.quota, 0) AS quota,
+    CAST(coalesce(sum(g.size) OVER (PARTITION BY g.rank, g.shard ORDER BY g.h, g.doc_id, g.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin
+  FROM g JOIN z USING (rank, shard) LEFT JOIN x USING (rank, shard))
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(least(begin + size, quota) - begin, 0) + greatest(least(begin + size, quota - shard_size) - begin, 0) AS BIGINT) AS taken
+FROM b
 """,
     "op9_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
-s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS sh
-  FROM w),
-n AS (SELECT doc_id, len(sh) AS n FROM s),
-e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+t AS (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS i, len(ws) AS n FROM w),
+g AS (
+  SELECT doc_id, i, n, t || ' ' || lead(t, 1) OVER o || ' ' || lead(t, 2) OVER o || ' ' || lead(t, 3) OVER o || ' ' || lead(t, 4) OVER o AS g
+  FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (
+  SELECT DISTINCT doc_id, g FROM g WHERE i <= n - 5
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT w.doc_id, count(e.g) AS n FROM w LEFT JOIN e USING (doc_id) GROUP BY w.doc_id),
 f AS (SELECT g, count(*) AS df FROM e GROUP BY g),
 p AS (  -- any linked pair shares one of the rarest floor(0.15 n) + 1 shingles of either side
   SELECT doc_id, g FROM (
