@@ -91,3 +91,15 @@ def _taken(sizes: DataFrame, block: int, shard_rows: int, seed: str) -> DataFram
     used = lambda n: F.greatest(F.least(F.col("begin") + F.col("size"), n) - F.col("begin"), F.lit(0))
     taken = sum((used(F.col("quota") - i * F.col("shard_size")) for i in range(MOST_USES)), F.lit(0)).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, block: int = 4, shard_rows: int = 2000, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of docs once for each use, cut to the words that the mix takes of them.
+
+    A whole use keeps the text as it is; the last use of a shard is cut after its quota's last word.
+    A document that the mix does not take is not in it. doc_id must be unique and not null."""
+    taken = mix(docs, block, shard_rows, seed).filter("taken > 0").select("doc_id", "taken", F.col("size").alias("_size"))
+    uses = docs.join(taken, "doc_id").withColumn("_use", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")))))
+    words = F.least(F.col("_size"), F.col("taken") - (F.col("_use") - 1) * F.col("_size"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    return uses.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text"))).select(docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import html_text, quality, toxicity, url_filter
+from loomwork.llm import html_text, pieces, quality, toxicity, url_filter
 from loomwork.llm.common import table
 from loomwork.llm.exact_topk import top_k
 from loomwork.llm.mixing import mix
@@ -30,6 +30,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.train(spark, docs, table(spark, sf_dir, "labels")))
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), model_path)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_url_filters": op2_url_filters,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op8_source_mixing": op8_source_mixing,

@@ -251,3 +251,15 @@ def judged(docs: DataFrame, model: Model, modulus: int = 3, remainder: int = 1,
     A null doc_id is not held out. Extra columns of docs are ignored; an empty table gives no rows."""
     rows = score(docs, model)
     return rows.select("doc_id", held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below threshold; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.stems)
+        for batch in batches:
+            z = np.array([float(reader.features(t.as_py() or "") @ model.weights) for t in batch.column("text")], dtype=float)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
