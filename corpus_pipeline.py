@@ -1,12 +1,59 @@
-"""Corpus pipeline (in work): the stages are added as their operators are built."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomwork.llm import pieces, toxicity
 from loomwork.llm.common import stored, table
+from loomwork.llm.mixing import mixed
+from loomwork.llm.near_dedup import near_duplicates
+from loomwork.llm.queries import PIECE_MODEL
+from loomwork.llm.substring_dedup import remove_repeats
 
-STAGES: list = []
+
+def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(columns)
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar, trained on the labelled ones, does not reject."""
+    return toxicity.without_toxic(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of documents linked at a Jaccard similarity of 0.8 of 5-word shingles."""
+    kept = near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id")
+    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of 20-word windows that start earlier; one that loses all words goes."""
+    kept = remove_repeats(docs, window=20, with_text=True).filter("n_removed < n_words or n_words = 0").select("doc_id", "n_removed", "kept_text")
+    joined = docs.join(kept, "doc_id").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    return _with_length(joined, docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each use of a document."""
+    return _with_length(mixed(docs), docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every use in the mix."""
+    return pieces.encode(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_dedup", without_near_copies),
+    ("substring_dedup", without_repeats),
+    ("mixing", mixed_sources),
+    ("sentencepiece", encoded),
+]
+
+#: The learned toxicity grammar and piece encoding have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
