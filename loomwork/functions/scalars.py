@@ -68,7 +68,7 @@ def cleaned_request_id(value: Column) -> Column:
 
 def _fixed(x: Column, digits: int) -> Column:
     """With `digits` decimals, half up on the shortest decimal form of x."""
-    return F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def log_line(kind: Column, raw: Column) -> Column:

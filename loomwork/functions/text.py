@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of chunking and evaluation.
 CHUNK_SIZE, OVERLAP, LEAST_CHUNK = 400, 50, 120
@@ -122,7 +123,7 @@ def eligible_for_questions(x: Column, least: int = 150) -> Column:
     return (F.length(text) >= least) & text.rlike(BOUNDARY) & (F.regexp_count(text, F.lit("[一-鿿]")) >= least // 4)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def overlap_length(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Length of the longest common substring of two texts without white space.
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,12 +27,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_bytes(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes as an array."""
     return blobs.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_bytes(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())

@@ -22,11 +22,12 @@ def step(tokens: float, at: int | None, ms: int, limit: int, window_ms: int) ->
     return held, at, False, math.ceil((1 - held) / (limit / window_ms))
 
 
-def token_bucket_stream(rows: DataFrame, limit: int, window_ms: int) -> DataFrame:
+def token_bucket_stream(rows: DataFrame, limit: int, window_ms: int, drop_idle: bool = True) -> DataFrame:
     """Decisions for a streaming DataFrame of user_id, event_id, ms; same results as the batch operator.
 
     Within a micro-batch a key's requests are sorted by time. Idle state is dropped: a bucket that has
-    had a whole window to refill is full, like one never seen."""
+    had a whole window to refill is full, like one never seen. Timers keep a query running, so a run
+    that ends with its input (availableNow) is asked for without drop_idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,7 +40,8 @@ def token_bucket_stream(rows: DataFrame, limit: int, window_ms: int) -> DataFram
             tokens, at, ok, wait = step(tokens, at, int(ms), limit, window_ms)
             out.append((key[0], event_id, ms, ok, tokens, wait))
         state.update((tokens, at))
-        state.setTimeoutDuration(max(1, window_ms))
+        if drop_idle:
+            state.setTimeoutDuration(max(1, window_ms))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "ms", "ok", "tokens", "retry_ms"])
 
-    return rows.groupBy("user_id").applyInPandasWithState(run, OUTPUT, "tokens double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(run, OUTPUT, "tokens double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout if drop_idle else GroupStateTimeout.NoTimeout)
