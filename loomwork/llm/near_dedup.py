@@ -218,14 +218,16 @@ def _spanning(own: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray,
 
 
 def families(members: DataFrame, threshold: float) -> DataFrame:
-    """a, b: enough pairs of a band's documents to connect all whose sketches allow the threshold.
+    """a, b: pairs of components, enough to connect all with documents whose sketches allow the threshold.
 
-    members: band, size, doc_id, component, n_shingles, regs. At most as many pairs as documents."""
+    members: band, size, doc_id, component, n_shingles, regs. A band gives fewer pairs than it has documents."""
 
     def pairs(own: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, component, n, regs = zip(*rows, strict=True)
-        regs = np.frombuffer(b"".join(regs), dtype=np.uint16).reshape(len(ids), BUCKETS)
-        return _spanning(own, np.array(ids), np.array(component), np.array(n), regs, threshold, lambda i, j: True)
+        order = sorted(range(len(rows)), key=lambda i: rows[i][1])  # the smallest component is tried first, in every band
+        _, component, n, regs = zip(*(rows[i] for i in order), strict=True)
+        regs = np.frombuffer(b"".join(regs), dtype=np.uint16).reshape(len(rows), BUCKETS)
+        component = np.array(component)
+        return _spanning(own[order], component, component, np.array(n), regs, threshold, lambda i, j: True)
 
     return _by_tiles(members, "band", ["doc_id", "component", "n_shingles", "regs"], pairs)
 
@@ -289,9 +291,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labelled = members.join(by_id, "doc_id", "left").select("band", "size", "doc_id", label)
     mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band")
     likely = stored(families(labelled.join(mixed, "band").join(own, "doc_id"), threshold), "likely")
-    family = components(first.union(likely)).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
-    within = family.join(by_id, "doc_id", "left").select("family", "doc_id", label)
-    split = within.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low != high")
+    family = components(likely)
+    grown = joined.join(family.select(F.col("id").alias("component"), F.col("component").alias("family")), "component").select("family", F.col("id").alias("doc_id"), "component")
+    single = family.join(joined.select("id"), "id", "left_anti").select(F.col("component").alias("family"), F.col("id").alias("doc_id"), F.col("id").alias("component"))
+    within = grown.union(single)
+    split = within.groupBy("family").agg(F.count("*").alias("size"))
     second = stored(links_within(within.join(split.select("family", "size"), "family").join(texts, "doc_id"), k, percent), "links")
     joined = components(first.union(second))
 
