@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import html_text, pieces, quality, toxicity, url_filter
-from loomwork.llm.common import table
+from loomwork.llm import chroma, html_text, pieces, quality, toxicity, url_filter
+from loomwork.llm.common import stored, table
 from loomwork.llm.exact_topk import top_k
 from loomwork.llm.mixing import mix
 from loomwork.llm.near_dedup import near_duplicates
@@ -25,6 +25,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.build(spark, URL_RULES))
 
 
+def op3_media_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has audio, so a recording is rendered for each embedding; every recording is indexed."""
+    media = chroma.rendered(table(spark, sf_dir, "embeddings"))
+    marks = stored(chroma.fingerprints(media, chroma.fit_levels(media)), "fingerprints")
+    return chroma.align(marks, query_divisor=50)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.train(spark, docs, table(spark, sf_dir, "labels")))
@@ -61,6 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_url_filters": op2_url_filters,
+    "op3_media_chroma": op3_media_chroma,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_html_extraction": op6_html_extraction,
