@@ -35,8 +35,12 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T  # dimension by place, ascending
-        self.sorted = np.take_along_axis(rows, self.order.T, axis=0).T
+        order = np.argsort(rows, axis=0, kind="stable")
+        values = np.take_along_axis(rows, order, axis=0).astype(np.float64)
+        self.place = np.empty_like(order)  # of each row in the ascending list of each dimension
+        np.put_along_axis(self.place, order, np.arange(len(rows))[:, None], axis=0)
+        # by direction (0 ascending, 1 descending), dimension, place
+        self.order, self.values = np.stack([order.T, order.T[:, ::-1]]), np.stack([values.T, values.T[:, ::-1]])
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, the query's own left out."""
@@ -51,25 +55,20 @@ class Lists:
 
     def _candidates(self, query: np.ndarray, use: np.ndarray, alive: np.ndarray, k: int, n: int) -> np.ndarray:
         q = query[use].astype(np.float64)
-        up = q > 0
-        worst = np.where(up, self.sorted[use, 0], self.sorted[use, -1]) * q
-        known, read = np.zeros(n), np.zeros((n, len(use)), dtype=bool)
-        step = max(16, n // 16)
+        way = (q > 0).astype(int)
+        worst = self.values[way, use, -1] * q
+        lower = np.full(n, worst.sum())
+        step = max(16, n // 8)
         for begin in range(0, n, step):
             end = min(begin + step, n)
-            places = np.where(up[:, None], np.arange(n - 1 - begin, n - 1 - end, -1), np.arange(begin, end))
-            rows = self.order[use[:, None], places]
-            parts = self.sorted[use[:, None], places] * q[:, None]
-            known += np.bincount(rows.ravel(), parts.ravel(), minlength=n)
-            read[rows, np.arange(len(use))[:, None]] = True
-            now = parts[:, -1]
-            seen = read[alive]
-            lower = known[alive] + (worst.sum() - seen @ worst)
-            upper = known[alive] + (now.sum() - seen @ now)
-            floor = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = alive[upper >= floor - 0.5]  # sums of integers: anything nearer is rounding
-            if len(alive) <= max(k, n // 32) and now.sum() < floor:
-                break
+            better = self.values[way, use, begin:end] * q[:, None] - worst[:, None]
+            lower += np.bincount(self.order[way, use, begin:end].ravel(), better.ravel(), minlength=n)
+            now = self.values[way, use, end - 1] * q  # what each list has come to
+            floor = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
+            if now.sum() < floor - 0.5:  # outsiders are out, and so are rows read too little; the rest get full scores
+                place = self.place[alive][:, use]
+                unread = np.where(way, n - 1 - place, place) >= end
+                return alive[lower[alive] + unread @ (now - worst) >= floor - 0.5]
         return alive
 
 

@@ -88,7 +88,7 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole texts of an Arrow string column in runs of about `most` bytes: (first row, end row, bytes, offsets).
 
     A null counts as an empty text. One text is never cut, so a run may hold a single longer one."""
