@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import stored
 from loomwork.llm.wordstream import Words, chunks, grams
 
 PREFIX = 6
@@ -227,7 +228,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = 20_000, with_
     own = base.filter("is_copy is null and text is not null")
 
     rows = anchor_rows(own, window)
-    counts = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table of its own, so that the join below is of two exchanges, whose skewed partitions Spark splits
+    counts = stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
     found = rows.join(counts, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "ref", (F.col("n") > group).alias("deep"))).alias("found"))
     suffixes = suffix_rows(own.join(found, "doc_id"), window)
     gone = repeats(suffixes, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
