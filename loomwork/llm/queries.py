@@ -27,8 +27,9 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has audio, so a recording is rendered for each embedding; every recording is indexed."""
-    media = chroma.rendered(table(spark, sf_dir, "embeddings"))
-    marks = stored(chroma.fingerprints(media, chroma.fit_levels(media)), "fingerprints")
+    vectors = table(spark, sf_dir, "embeddings")
+    levels = chroma.fit_levels(chroma.rendered(chroma.sampled(vectors, "vec_id")))  # so only the sample is rendered for it
+    marks = stored(chroma.fingerprints(chroma.rendered(vectors), levels), "fingerprints")
     return chroma.align(marks, query_divisor=50)
 
 
