@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_PENALTY = 10.0
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 500_000
+GROUP_CHARS = 2_000_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -142,20 +143,79 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.v = vocabulary
-        self.base, self.check, self.value = v.base.tolist(), v.check.tolist(), v.value.tolist()
-        used = [v.scores[i] for i in self.value if i >= 0]
-        self.gain = [v.scores[i] if i >= 0 else None for i in self.value]
-        self.unknown_score = min(used, default=0.0) - UNKNOWN_PENALTY
+        self.base, self.check, self.value = (np.array(x, dtype=np.int64) for x in (v.base, v.check, v.value))
+        scores = np.array([*v.scores, -np.inf])
+        self.gain = scores[self.value]  # nodes without a piece have -1, the last
+        self.unknown_score = float(min(self.gain[self.value >= 0], default=0.0)) - UNKNOWN_PENALTY
         self.longest = max(map(len, v.pieces), default=0) + 2 * max((p.count(b" ") for p in v.pieces), default=0)  # in UTF-8, where a marker is three bytes
-        self.words: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
+
+    def best_paths(self, texts: list[bytes]) -> list[bytes]:
+        """Ids (32-bit) of the best path of each text: the greatest sum of scores; the first found, if several have it.
+
+        The texts advance together, a byte at a time, the longest first."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        size = np.array([len(texts[i]) for i in order])
+        width = int(size[0]) + 1
+        data = np.frombuffer(b"".join([texts[i].ljust(width, b"\0") for i in order]), dtype=np.uint8)
+        best = np.full(len(data), -np.inf)  # text i has the places from i * width
+        best[::width] = 0.0
+        came, by = np.zeros(len(data), dtype=np.int64), np.full(len(data), -1, dtype=np.int64)
+        lead = 1 + (data >= 0xC0).astype(np.int64) + (data >= 0xE0) + (data >= 0xF0)
+        begins = (data & 0xC0) != 0x80
+        within = width * np.searchsorted(-size, -np.arange(width), side="left")  # where the texts longer than each place end
+        for at in range(width - 1):
+            starts = np.arange(at, at + within[at], width)
+            starts = starts[begins[starts]]
+            here, after, whole = best[starts], starts + lead[starts], np.zeros(len(starts), dtype=bool)
+            live, to, node = np.arange(len(starts)), starts, np.zeros(len(starts), dtype=np.int64)
+            for end in range(at + 1, min(width, at + 1 + self.longest)):
+                n = np.searchsorted(to, within[end - 1])  # the others have ended
+                step = self.base[node[:n]] + data[to[:n]]
+                ok = np.flatnonzero(self.check[step] == node[:n])
+                if not len(ok):
+                    break
+                live, to, node = live[ok], to[ok] + 1, step[ok]
+                some = np.flatnonzero(self.value[node] >= 0)
+                place, score = to[some], here[live[some]] + self.gain[node[some]]
+                whole[live[some[after[live[some]] == place]]] = True
+                better = np.flatnonzero(score > best[place])
+                place = place[better]
+                best[place], came[place], by[place] = score[better], at, self.value[node[some[better]]]
+            after, score = after[~whole], here[~whole] + self.unknown_score
+            better = score > best[after]
+            after = after[better]
+            best[after], came[after], by[after] = score[better], at, -1
+        best, came, by = (x.reshape(-1, width) for x in (best, came, by))
+        out = [b""] * len(texts)
+        place, steps, text = size.copy(), [], np.arange(len(texts))
+        while len(text):
+            at = place[text]
+            steps.append((text, by[text, at], came[text, at], at))
+            place[text] = came[text, at]
+            text = text[place[text] > 0]
+        if not steps:
+            return out
+        texts_, ids, begin, end = (np.concatenate(x) for x in zip(*reversed(steps), strict=True))
+        sort = np.argsort(texts_, kind="stable")
+        ids, spans = ids[sort].astype(np.int32), np.append(0, np.cumsum(np.bincount(texts_, minlength=len(texts))))
+        fallback = {int(texts_[i]) for i in sort[ids < 0]}
+        flat, begin, end = ids.tobytes(), begin[sort], end[sort]
+        for k, i in enumerate(order):
+            lo, hi = spans[k], spans[k + 1]
+            if k in fallback:
+                own = [self._covered(ids[j], texts[i][begin[j] : end[j]]) for j in range(lo, hi)]
+                out[i] = np.array([x for part in own for x in part], dtype=np.int32).tobytes()
+            else:
+                out[i] = flat[4 * lo : 4 * hi]
+        return out
 
-    def best_path(self, text: str) -> array:
-        """Ids of the best path: the greatest sum of scores; the first found, if several have it."""
-        data = text.encode()
+    def best_path(self, data: bytes) -> bytes:
+        """The same for a text of any length by itself, a place at a time."""
         n = len(data)
         best, came, by = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        base, check, value, gain = self.base, self.check, self.value, self.gain
+        base, check, value = self.v.base, self.v.check, self.v.value
         at = 0
         while at < n:
             c = data[at]
@@ -166,49 +226,63 @@ class Coder:
                 if check[to] != node:
                     break
                 node, end = to, end + 1
-                score = gain[to]
-                if score is not None:
-                    score += here
+                if value[to] >= 0:
+                    score = here + self.v.scores[value[to]]
                     if score > best[end]:
                         best[end], came[end], by[end] = score, at, value[to]
-                    if end == after:
-                        whole = True
-            if not whole:
-                score = here + self.unknown_score
-                if score > best[after]:
-                    best[after], came[after], by[after] = score, at, -1
+                    whole = whole or end == after
+            if not whole and here + self.unknown_score > best[after]:
+                best[after], came[after], by[after] = here + self.unknown_score, at, -1
             at = after
-        out: list[int] = []
+        out: list[list[int]] = []
         while n:
-            begin, piece = came[n], by[n]
-            if piece >= 0:
-                out.append(piece)
+            out.append(self._covered(by[n], data[came[n] : n]))
+            n = came[n]
+        return array("i", [x for part in reversed(out) for x in part]).tobytes()
+
+    def _covered(self, piece: int, data: bytes) -> list[int]:
+        """The piece, or the byte pieces of a character without one."""
+        if piece >= 0:
+            return [int(piece)]
+        ids = [self.v.byte_ids[c] for c in data]
+        return ids if min(ids) >= 0 else [self.v.unknown]
+
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """The words of a text, each with the spaces before it except one; the last may be spaces only."""
+        found = text.split(" ") if text else []
+        if "" not in found:
+            return found
+        out, gap = [], 0
+        for word in found:
+            if word:
+                out.append(" " * gap + word)
+                gap = 0
             else:
-                ids = [self.v.byte_ids[c] for c in reversed(data[begin:n])]
-                out += ids if min(ids) >= 0 else [self.v.unknown]
-            n = begin
-        return array("i", reversed(out))
+                gap += 1
+        return out + [" " * (gap - 1)] * (gap > 0)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids (32-bit) of each text. The words that are new go through the trie together."""
+        keys = [self.keys(t) for t in texts]
+        words = self.words
+        if len(words) > MEMORY_WORDS:
+            words.clear()
+        new = sorted({k for own in keys for k in own if k not in words}, key=len)
+        begin = 0
+        while begin < len(new):
+            most = max(1, min(4096, 262_144 // (len(new[begin]) + 1)))
+            end = begin + most
+            while end > begin + 1 and len(new[min(end, len(new)) - 1]) > 2 * len(new[begin]) + 8:
+                end = begin + (end - begin) // 2
+            part = new[begin:end]
+            found = [(MARK + k.replace(" ", MARK)).encode() for k in part]
+            words.update(zip(part, [self.best_path(found[0])] if len(part) == 1 else self.best_paths(found), strict=True))
+            begin = end
+        return [b"".join(map(words.__getitem__, own)) for own in keys]
 
     def encode(self, text: str) -> array:
-        out = array("i")
-        if not text:
-            return out
-        words, marks = self.words, MARK
-        for word in text.split(" "):
-            if not word:
-                marks += MARK
-                continue
-            key = word if marks == MARK else marks + word
-            found = words.get(key)
-            if found is None:
-                if len(words) >= MEMORY_WORDS:
-                    words.clear()
-                found = words[key] = self.best_path(marks + word)
-            out.extend(found)
-            marks = MARK
-        if len(marks) > 1:
-            out.extend(self.best_path(marks[1:]))
-        return out
+        return array("i", self.encode_all([text])[0])
 
     def decode(self, ids: array) -> str:
         """The text of ids: markers are spaces, byte pieces join to UTF-8, and the first space goes."""
@@ -241,21 +315,19 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         is_byte = np.zeros(len(shared.value.pieces), dtype=bool)
         is_byte[[i for i in shared.value.byte_ids if i >= 0]] = True
         for batch in batches:
-            doc_ids, first = batch.column("doc_id"), 0
-            ids, ends, same = array("i"), [0], []
+            doc_ids, first, texts, chars = batch.column("doc_id"), 0, [], 0
             for row, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                own = coder.encode(text)
-                same.append(coder.decode(own) == text)
-                ids.extend(own)
-                ends.append(len(ids))
-                if len(ids) > 2_000_000 or row == batch.num_rows - 1:
-                    flat, at = np.frombuffer(ids, dtype=np.int32) if ids else np.zeros(0, np.int32), np.array(ends, dtype=np.int32)
+                texts.append(text.as_py() or "")
+                chars += len(texts[-1])
+                if chars > GROUP_CHARS or row == batch.num_rows - 1:
+                    own = coder.encode_all(texts)
+                    same = [coder.decode(memoryview(x).cast("i")) == t for x, t in zip(own, texts, strict=True)]
+                    flat, at = np.frombuffer(b"".join(own), dtype=np.int32), np.append(0, np.cumsum([len(x) // 4 for x in own])).astype(np.int32)
                     n_bytes = np.diff(np.append(0, np.cumsum(is_byte[flat]))[at])
                     yield pa.RecordBatch.from_arrays(
                         [doc_ids.slice(first, row + 1 - first), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), pa.array(n_bytes.astype(np.int64)), pa.array(same, pa.bool_())],
                         names=["doc_id", "ids", "n_pieces", "n_bytes", "round_trip"],
                     )
-                    first, ids, ends, same = row + 1, array("i"), [0], []
+                    first, texts, chars = row + 1, [], 0
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, n_bytes long, round_trip boolean")
