@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import defaultdict
 
@@ -95,6 +96,19 @@ def best_score(vocab, text):
     return best[-1]
 
 
+def test_words_together_have_the_paths_of_each_alone():
+    coder = pieces.Coder(pieces.Vocabulary.load(MODEL))
+    words = ["".join(c) for n in (1, 2, 3) for c in itertools.product("▁at\néж日😀\0", repeat=n)]
+    data = [w.encode() for w in words] + [("▁" + "word日😀" * 40).encode()]
+    assert coder.best_paths(data) == [coder.best_path(x) for x in data]
+
+
+def test_marker_characters_are_not_taken_for_spaces():
+    coder = pieces.Coder(pieces.Vocabulary.load(MODEL))
+    for text in ("", " ", "  ", "a  b", " a", "a ", "▁x  x", "▁▁x x", "x" * 5000, "日本  😀\n\n z"):
+        assert coder.decode(coder.encode(text)) == text.replace("▁", " ")
+
+
 def test_pieces_are_the_best_path():
     found = pieces.read_pieces(MODEL)
     vocab = {p: s for p, s, kind in found if kind == pieces.NORMAL}
