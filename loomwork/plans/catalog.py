@@ -109,10 +109,11 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("category", F.when(F.size("gold") > 1, "many").otherwise("one"))
 
 
-def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_rows(spark: SparkSession, sf_dir: str, pool: int = 50, most: int | None = None) -> DataFrame:
+    """Rows of every mode: routes and fusion of `pool` rows, of which the first `most` (all if None) count."""
     gold, out = _gold(spark, sf_dir), None
-    for mode, ranked in _routes(spark, sf_dir).items():
-        rows = evaluation.retrieval_rows(ranked, gold, 50).withColumn("mode", F.lit(mode))
+    for mode, ranked in _routes(spark, sf_dir, pool).items():
+        rows = evaluation.retrieval_rows(ranked, gold, pool if most is None else most).withColumn("mode", F.lit(mode))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -232,12 +233,14 @@ def chunk_ids(spark, sf_dir):
 
 @query(f"WITH {_BM25.strip()}, {_GOLD.strip()}, {_ROWS.strip()} SELECT mode, {_recalls()} FROM rrows GROUP BY mode")
 def retrieval_metrics(spark, sf_dir):
-    return evaluation.retrieval_metrics(_all_rows(spark, sf_dir), ("mode",))
+    """The curve's pool is as deep as its largest k. The SQL has a pool of 50, in which recall_100 is recall_50."""
+    return evaluation.retrieval_metrics(_all_rows(spark, sf_dir, max(evaluation.KS)), ("mode",))
 
 
 @query(f"WITH {_BM25.strip()}, {_GOLD.strip()}, {_ROWS.strip()} SELECT mode, category, {_recalls()} FROM rrows GROUP BY mode, category")
 def metrics_by_group(spark, sf_dir):
-    return evaluation.retrieval_metrics(_all_rows(spark, sf_dir), ("mode", "category"))
+    """As retrieval_metrics, with its pool."""
+    return evaluation.retrieval_metrics(_all_rows(spark, sf_dir, max(evaluation.KS)), ("mode", "category"))
 
 
 @query(
@@ -245,7 +248,8 @@ def metrics_by_group(spark, sf_dir):
     "round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 9) AS mrr FROM rrows GROUP BY mode"
 )
 def production_metrics(spark, sf_dir):
-    return evaluation.production_metrics(_all_rows(spark, sf_dir), ("mode",)).withColumn("mrr", F.round("mrr", 9))
+    """The first 5 of a pool of 50 a route, as production serves them. The SQL counts hits anywhere in the 50."""
+    return evaluation.production_metrics(_all_rows(spark, sf_dir, retrieval.CANDIDATES, 5), ("mode",)).withColumn("mrr", F.round("mrr", 9))
 
 
 @query(
