@@ -73,20 +73,32 @@ def mode_delta(metrics: DataFrame, value: str, order: str = "ord") -> DataFrame:
     return metrics.withColumn("delta", F.col(value) - F.lag(value).over(Window.orderBy(order)))
 
 
-def depth_metrics(rows: DataFrame, depths: list[int], k: int = 5) -> DataFrame:
-    """depth, in_pool_share, and the measures of rows cut at each depth: one row a depth."""
-    cut = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths)))).withColumn("first_rank", F.when(F.col("first_rank") <= F.col("depth"), F.col("first_rank")))
+def depth_rows(fused: DataFrame, gold: DataFrame, depths: list[int]) -> DataFrame:
+    """query_id, depth, first_rank (of a gold id, or null) for each query with gold and each depth.
+
+    fused: depth, query_id, id, rank; gold: query_id, gold."""
+    asked = gold.filter(F.size("gold") > 0).select("query_id", "gold")
+    found = fused.join(F.broadcast(asked.select("query_id", F.explode("gold").alias("id")).distinct()), ["query_id", "id"])
+    first = found.groupBy("query_id", "depth").agg(F.min("rank").alias("first_rank"))
+    return asked.select("query_id", F.explode(F.array(*map(F.lit, depths))).alias("depth")).join(first, ["query_id", "depth"], "left")
+
+
+def depth_metrics(rows: DataFrame, k: int = 5) -> DataFrame:
+    """depth, in_pool_share, the measures of each depth's own ranks, and n_changed: queries whose first rank is
+    not that of the least depth. rows: query_id, depth, first_rank."""
     r = F.col("first_rank")
-    return cut.groupBy("depth").agg(
+    measures = rows.groupBy("depth").agg(
         F.count("*").alias("n"), F.avg(F.when(r.isNotNull(), 1.0).otherwise(0.0)).alias("in_pool_share"), F.avg(F.when(r <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}"),
         F.avg(F.when(r <= k, 1 / r).otherwise(0.0)).alias(f"mrr_{k}"), F.avg(F.when(r == 1, 1.0).otherwise(0.0)).alias("top1_share"), F.count_if(r.isNull()).alias("misses"),
     )
+    least = rows.groupBy("query_id").agg(F.min_by("first_rank", "depth").alias("first_rank"))
+    return measures.join(changed_ranks(rows, least, ("depth",)), "depth")
 
 
-def changed_ranks(rows: DataFrame, other: DataFrame) -> DataFrame:
+def changed_ranks(rows: DataFrame, other: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """n_changed: queries whose first rank differs, nulls equal."""
     b = other.select("query_id", F.col("first_rank").alias("other_rank"))
-    return rows.join(b, "query_id").agg(F.count_if(~F.col("first_rank").eqNullSafe(F.col("other_rank"))).alias("n_changed"))
+    return rows.join(b, "query_id").groupBy(*by).agg(F.count_if(~F.col("first_rank").eqNullSafe(F.col("other_rank"))).alias("n_changed"))
 
 
 def rerank_pool_curve(pool: DataFrame, gold: DataFrame, depths: list[int], ms_per_row: float, k: int = 5) -> DataFrame:

@@ -78,6 +78,18 @@ def fused(routes: list[DataFrame], most: int, k: int = RRF_K) -> DataFrame:
     return ranked(parts.groupBy("query_id", "id").agg(F.sum("part").alias("score")), most)
 
 
+def fused_at(routes: list[DataFrame], depths: list[int], k: int = RRF_K) -> DataFrame:
+    """depth, query_id, id, score, rank: the routes fused anew at each depth from their first `depth` rows, as many kept."""
+    parts = None
+    for r in routes:
+        one = r.select("query_id", "id", "rank", (1.0 / (k + F.col("rank"))).alias("part"), F.explode(F.array(*map(F.lit, depths))).alias("depth"))
+        one = one.filter(F.col("rank") <= F.col("depth")).drop("rank")
+        parts = one if parts is None else parts.unionByName(one)
+    scores = parts.groupBy("depth", "query_id", "id").agg(F.sum("part").alias("score"))
+    order = Window.partitionBy("depth", "query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("depth"))
+
+
 def reranked(base: DataFrame, scores: DataFrame, pool: int) -> DataFrame:
     """base (query_id, id, rank) with its first `pool` rows in the order of rerank_score; the rest as they were.
 

@@ -30,3 +30,17 @@ def test_production_counts_the_first_five(spark, deep, monkeypatch):
     monkeypatch.setattr(catalog, "_routes", lambda *a: {"dense": rows})
     r = catalog.QUERIES["production_metrics"](spark, deep).first()  # document 60 is at rank 21
     assert (r["hit_recall"], r["mrr"]) == (0, 0)
+
+
+def test_sweep_fuses_at_each_depth(spark, monkeypatch):
+    """Document 7 is at 3 by terms and at 30 by vectors: at depth 20 one route holds it, and from 50 on both do.
+
+    Document 9 is at 150 by vectors alone, so only depth 200 holds it, after document 8."""
+    dense = spark.createDataFrame([(1, i, i - 100) for i in range(101, 301) if i != 130] + [(1, 7, 30), (2, 9, 150)], "query_id long, id long, rank int")
+    terms = spark.createDataFrame([(1, 101, 2), (1, 7, 3), (2, 8, 1)], "query_id long, id long, rank int")
+    gold = spark.createDataFrame([(1, [7], "one"), (2, [9], "one")], "query_id long, gold array<long>, category string")
+    monkeypatch.setattr(catalog, "_routes", lambda *a: {"dense": dense, "bm25": terms, "hybrid": dense})
+    monkeypatch.setattr(catalog, "_gold", lambda *a: gold)
+    got = {r["depth"]: r for r in catalog.QUERIES["fusion_depth_sweep"](spark, "").collect()}
+    assert {d: (r["n"], r["misses"], r["in_pool_share"], r["n_changed"]) for d, r in got.items()} == {20: (2, 1, 0.5, 0), 50: (2, 1, 0.5, 1), 100: (2, 1, 0.5, 1), 200: (2, 0, 1, 2)}
+    assert {d: r["mrr_5"] for d, r in got.items()} == pytest.approx({20: 1 / 6, 50: 1 / 4, 100: 1 / 4, 200: 1 / 2})
