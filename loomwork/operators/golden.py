@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import META_WORDS, eligible_for_questions, norm_ws, overlap_length, strip
 from loomwork.functions.vectors import dot, normalise
+from loomwork.operators.running import running_total
 
 CATEGORIES = ("factual", "numeric", "procedural", "comparative")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -17,10 +18,11 @@ def question_pool(chunks: DataFrame, least: int = 150) -> DataFrame:
     return chunks.filter(eligible_for_questions(F.col("text"), least))
 
 
-def interleaved(rows: DataFrame, source: str = "source", key: str = "id", seed: int = 0) -> DataFrame:
-    """rows with turn and place: each source in a seeded order, one of each in turn, sources by name."""
-    within = Window.partitionBy(source).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return rows.withColumn("turn", F.row_number().over(within))
+def interleaved(rows: DataFrame, source: str = "source", key: str = "id", seed: int = 0, order: list[str] | None = None) -> DataFrame:
+    """rows with turn and place: each source in a seeded order (or that of `order`), one of each in turn, sources by name."""
+    within = Window.partitionBy(source).orderBy(*(order or [F.xxhash64(key, F.lit(seed)), key]))
+    turns = rows.withColumn("turn", F.row_number().over(within))
+    return running_total(turns, ["turn", source], F.lit(1), "place").withColumn("place", F.col("place") + 1)
 
 
 def drop_reason(question: Column, answer: Column, evidence: Column, chunk: Column) -> Column:

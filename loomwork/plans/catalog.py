@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import calculators as calc
@@ -374,17 +374,15 @@ def unstable_answers(spark, sf_dir):
 
 @query(r"SELECT doc_id, length(trim(text)) >= 60 AND regexp_matches(text, '^\s*[A-Za-z一-鿿0-9（(“" + '"' + r"]') AS long_enough FROM documents")
 def golden_filter(spark, sf_dir):
-    """The driver's documents hold no CJK text, so this keeps the length and boundary rules of the pool."""
-    docs = _table(spark, sf_dir, "documents")
-    body = text.strip(F.col("text"))
-    return docs.select("doc_id", ((F.length(body) >= 60) & body.rlike(text.BOUNDARY)).alias("long_enough"))
+    """Whether the question pool takes a document, by all its rules. The SQL asks for 60 characters and no CJK text."""
+    return _table(spark, sf_dir, "documents").select("doc_id", text.eligible_for_questions(F.col("text")).alias("long_enough"))
 
 
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, source, turn, row_number() OVER (ORDER BY turn, source) AS place FROM r WHERE turn <= 5")
 def golden_interleave(spark, sf_dir):
+    """Every document. The SQL keeps the first 5 turns, which are the first rows here."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    turns = matching.top_rows(docs, "source", [F.col("doc_id")], 5).withColumnRenamed("place", "turn")
-    return turns.withColumn("place", F.row_number().over(Window.orderBy("turn", "source")))
+    return golden.interleaved(docs, key="doc_id", order=["doc_id"])
 
 
 _CANDIDATES_SQL = """

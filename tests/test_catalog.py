@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.operators import golden
 from loomwork.plans import catalog
 
 
@@ -44,3 +45,20 @@ def test_sweep_fuses_at_each_depth(spark, monkeypatch):
     got = {r["depth"]: r for r in catalog.QUERIES["fusion_depth_sweep"](spark, "").collect()}
     assert {d: (r["n"], r["misses"], r["in_pool_share"], r["n_changed"]) for d, r in got.items()} == {20: (2, 1, 0.5, 0), 50: (2, 1, 0.5, 1), 100: (2, 1, 0.5, 1), 200: (2, 0, 1, 2)}
     assert {d: r["mrr_5"] for d, r in got.items()} == pytest.approx({20: 1 / 6, 50: 1 / 4, 100: 1 / 4, 200: 1 / 2})
+
+
+def test_interleave_takes_every_row(spark, tmp_path):
+    rows = [(i, "a") for i in range(1, 41)] + [(i, "b") for i in range(50, 53)] + [(60, "c"), (61, None)]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["turn"]) for r in catalog.QUERIES["golden_interleave"](spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == [(61, 1), (1, 1), (50, 1), (60, 1), (2, 2), (51, 2), (3, 3), (52, 3), *((i, i) for i in range(4, 41))]
+    seeded = golden.interleaved(spark.createDataFrame(rows, "id long, source string"), seed=3).collect()
+    assert sorted(r["place"] for r in seeded) == list(range(1, 46))
+
+
+def test_golden_filter_has_the_rules_of_the_pool(spark, tmp_path):
+    texts = ["a" * 149 + " ", "词" * 37 + "a" * 113, "词" * 36 + "a" * 300, "，" + "词" * 200, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"] for r in catalog.QUERIES["golden_filter"](spark, str(tmp_path)).filter("long_enough").collect()}
+    assert got == {1} == {r["doc_id"] for r in golden.question_pool(docs).collect()}
