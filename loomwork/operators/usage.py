@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions.scalars import day_key
+from loomwork.streaming.token_bucket import step
 
 
 def with_day(rows: DataFrame, ts: str = "ts", offset_minutes: int = 0) -> DataFrame:
@@ -56,22 +61,26 @@ def token_bucket(rows: DataFrame, limit: int, window_ms: int) -> DataFrame:
 
     rows: user_id, event_id, ms. A key's bucket starts full and refills evenly; a request takes one
     token or is told when one will be there; a clock that goes back refills nothing. A key's requests
-    are folded in one array: a key is one limiter's client, whose requests its limit bounds."""
+    come sorted to one task, which holds the tokens and the time of one key and a batch of rows."""
     if limit <= 0 or window_ms <= 0:
         return rows.select("user_id", "event_id", "ms", F.lit(True).alias("ok"), F.lit(0.0).alias("tokens"), F.lit(0).cast("long").alias("retry_ms"))
-    rate = limit / window_ms
-    out = "array<struct<event_id:bigint,ms:bigint,ok:boolean,tokens:double,retry_ms:bigint>>"
-    start = F.struct(F.lit(float(limit)).alias("tokens"), F.lit(None).cast("long").alias("at"), F.array().cast(out).alias("out"))
-
-    def step(acc, x):
-        elapsed = F.greatest(x["ms"] - F.coalesce(acc["at"], x["ms"]), F.lit(0))
-        held = F.least(F.lit(float(limit)), acc["tokens"] + elapsed * limit / window_ms)
-        ok = held >= 1
-        left = F.when(ok, held - 1).otherwise(held)
-        wait = F.when(ok, F.lit(0)).otherwise(F.ceil((1 - held) / rate)).cast("long")
-        done = F.struct(x["event_id"].alias("event_id"), x["ms"].alias("ms"), ok.alias("ok"), left.alias("tokens"), wait.alias("retry_ms"))
-        return F.struct(left.alias("tokens"), F.greatest(acc["at"], x["ms"]).alias("at"), F.concat(acc["out"], F.array(done)).alias("out"))
-
-    ordered = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ms").cast("long").alias("ms"), F.col("event_id").cast("long").alias("event_id")))).alias("xs"))
-    folded = ordered.select("user_id", F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("r"))
-    return folded.select("user_id", "r.event_id", "r.ms", "r.ok", "r.tokens", "r.retry_ms")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tokens, at = object(), 0.0, None
+        for batch in batches:
+            ok, left, wait = [], [], []
+            for user, ms in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if user != key:
+                    key, tokens, at = user, float(limit), None
+                now = at if ms is None else ms  # without a time: when the request before came
+                tokens, then, taken, retry = step(tokens, at, now or 0, limit, window_ms)
+                at = None if now is None else then
+                ok.append(taken)
+                left.append(tokens)
+                wait.append(retry)
+            added = [pa.array(ok, pa.bool_()), pa.array(left, pa.float64()), pa.array(wait, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], ["user_id", "event_id", "ms", "ok", "tokens", "retry_ms"])
+
+    requests = rows.select("user_id", F.col("event_id").cast("long").alias("event_id"), F.col("ms").cast("long").alias("ms"))
+    schema = T.StructType([*requests.schema, T.StructField("ok", T.BooleanType()), T.StructField("tokens", T.DoubleType()), T.StructField("retry_ms", T.LongType())])
+    return requests.repartition("user_id").sortWithinPartitions("user_id", "ms", "event_id").mapInArrow(fold, schema)

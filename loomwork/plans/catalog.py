@@ -12,7 +12,7 @@ from loomwork.functions import scalars, text
 from loomwork.functions.vectors import dot
 from loomwork.operators import evaluation, golden, matching, retrieval, usage
 from loomwork.sources import files, rules
-from loomwork.streaming.token_bucket import token_bucket_stream
+from loomwork.streaming.token_bucket import run_to_end, token_bucket_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -679,14 +679,10 @@ def token_bucket(spark, sf_dir):
 @query()
 def rate_limit_stream(spark, sf_dir):
     """The stream's decisions over the same events, read by one availableNow run."""
-    import uuid
-
-    name = f"bucket_{uuid.uuid4().hex}"
     schema = _table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    run = token_bucket_stream(rows, _LIMIT, _WINDOW, drop_idle=False).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("user_id", "event_id", "ok", F.round(F.col("tokens") * _WINDOW).cast("long").alias("token_ms"))
+    decided = run_to_end(token_bucket_stream(rows, _LIMIT, _WINDOW, drop_idle=False), "bucket")
+    return decided.select("user_id", "event_id", "ok", F.round(F.col("tokens") * _WINDOW).cast("long").alias("token_ms"))
 
 
 @query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) SELECT user_id, event_id, place FROM r WHERE place <= 100")

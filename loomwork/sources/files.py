@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import chunks, clean
+from loomwork.operators.running import running_total
 
 GOLDEN = "id string, question string, reference_answer string, gold_chunk_ids array<long>, category string, difficulty string"
 
@@ -28,11 +29,10 @@ def chunk_table(corpus: DataFrame, key: str = "source", text: str = "text") -> D
 def with_chunk_ids(chunked: DataFrame, key: str = "source") -> DataFrame:
     """chunked with `id`: 1, 2, ... in the order of key and ordinal.
 
-    A key's offset is the running count of the keys before it, over one row a key; within a key the
-    ordinal is the place, so no window holds all chunks."""
+    A key's offset is the running sum of the chunks of the keys before it, over one row a key in spans
+    of the order; within a key the ordinal is the place, so no window holds all chunks or all keys."""
     sizes = chunked.groupBy(key).agg(F.count("*").alias("n"))
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = running_total(sizes, [key], F.col("n"), "offset").select(key, "offset")
     return chunked.join(offsets, key).withColumn("id", F.col("offset") + F.col("ordinal") + 1).drop("offset")
 
 

@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import golden
+from loomwork.operators import golden, usage
 from loomwork.plans import catalog
+from loomwork.sources import files
+from loomwork.streaming.token_bucket import step
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +64,37 @@ def test_golden_filter_has_the_rules_of_the_pool(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"] for r in catalog.QUERIES["golden_filter"](spark, str(tmp_path)).filter("long_enough").collect()}
     assert got == {1} == {r["doc_id"] for r in golden.question_pool(docs).collect()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stream_decisions_are_read_from_files(spark, tmp_path):
+    events = spark.range(60).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_millis(F.col("id") * 7_000_000).alias("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["rate_limit_stream"](spark, str(tmp_path))
+    assert got.inputFiles()  # a memory sink's table has none
+    assert sorted(got.collect()) == sorted(catalog.QUERIES["token_bucket"](spark, str(tmp_path)).collect())
+
+
+def test_token_bucket_of_a_busy_user(spark):
+    times = [(i * 7919) % 30_011 * 50 for i in range(30_000)]  # over several Arrow batches, not in order
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)] + [(2, -1, None), (2, 0, 0), (None, 0, 0)], "user_id long, event_id long, ms long")
+    out = usage.token_bucket(rows, 3, 1000)
+    assert "collect_list" not in _plan(out)
+    tokens, at, want = 3.0, None, {}
+    for i in sorted(range(30_000), key=lambda i: (times[i], i)):
+        tokens, at, ok, wait = step(tokens, at, times[i], 3, 1000)
+        want[1, i] = (ok, tokens, wait)
+    want |= {(2, -1): (True, 2.0, 0), (2, 0): (True, 1.0, 0), (None, 0): (True, 2.0, 0)}
+    assert {(r["user_id"], r["event_id"]): (r["ok"], r["tokens"], r["retry_ms"]) for r in out.collect()} == want
+
+
+def test_chunk_ids_need_no_window_of_all_keys(spark):
+    chunked = spark.range(3000).select((F.col("id") * 17 % 3001).alias("doc_id"), F.explode(F.sequence(F.lit(0), (F.col("id") % 3).cast("int"))).alias("ordinal"))
+    out = files.with_chunk_ids(chunked, key="doc_id")
+    assert "windowspecdefinition(doc_id" not in _plan(out)
+    rows = sorted((r["doc_id"], r["ordinal"], r["id"]) for r in out.collect())
+    assert [r[2] for r in rows] == list(range(1, 6001))
+    assert files.with_chunk_ids(chunked.limit(0), key="doc_id").count() == 0
