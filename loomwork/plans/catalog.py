@@ -86,9 +86,13 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).join(ids, "id", "left_semi")
+    return _all_vectors(spark, sf_dir).join(ids, "id", "left_semi")
 
 
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +138,8 @@ def bm25_corpus_stats(spark, sf_dir):
 
 @query(f"WITH {_BM25.strip()} SELECT query_id, id, rank, round(score, 6) AS score FROM drank WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
-    found = retrieval.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 10)
+    """Every embedding is searched. The SQL leaves out those without a document."""
+    found = retrieval.dense(_all_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 10)
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 

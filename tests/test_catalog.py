@@ -98,3 +98,10 @@ def test_chunk_ids_need_no_window_of_all_keys(spark):
     rows = sorted((r["doc_id"], r["ordinal"], r["id"]) for r in out.collect())
     assert [r[2] for r in rows] == list(range(1, 6001))
     assert files.with_chunk_ids(chunked.limit(0), key="doc_id").count() == 0
+
+
+def test_dense_searches_vectors_without_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (9, [0.8, 0.6])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r["id"] for r in catalog.QUERIES["dense_topk"](spark, str(tmp_path)).orderBy("rank").collect()] == [1, 9, 2]
