@@ -7,6 +7,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: What tells documents apart where ids may be null or repeat: whether there is an id, the id, a hash of the text.
+KEY = ["no_id", "id", "mark"]
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with the columns of KEY. Rows of one id and one text have the same key."""
+    return docs.withColumns({"no_id": F.col(doc_id).isNull(), "id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "mark": F.xxhash64(text)})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
         spark.sparkContext.setCheckpointDir(found)
     return found

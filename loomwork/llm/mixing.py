@@ -3,8 +3,8 @@
 The mix is a number of equal blocks of tokens. Sources get blocks by the highest quotients of their
 targets, and each source's blocks go to its shards by the highest quotients of their sizes. In a
 shard a seeded hash orders the documents; the quota takes the blocks from the start of that
-order, and from the start again once the shard is used up. So a shard gives exactly its quota, at
-most two documents of a shard are cut, and no document is used more than twice.
+order, and from the start again once the shard is used up. So a shard gives exactly its quota, of
+one or two documents only a part, and no document more than twice. `mixed` uses documents whole.
 
 Shards hold about `shard_rows` documents, so a source of any size is many tasks. Tables of one row
 a source are ordered in a single task; nothing else is.
@@ -67,39 +67,48 @@ def mix(docs: DataFrame, block: int = 4, shard_rows: int = 2000, seed: str = "mi
 
     size counts the words of text (null: 0); taken counts the words the mix takes, repeats included. A
     null source is a source of its own; null and repeated doc_ids are rows like others, told apart by
-    their size in the seeded order. Extra columns are ignored; an empty table gives no rows, and with
-    no word at all every number is 0."""
+    their size and a hash of their text in the seeded order. Extra columns are ignored; an empty table
+    gives no rows, and with no word at all every number is 0."""
+    sizes = stored(_sized(docs), "sizes")
+    return _taken(sizes, sizes, block, shard_rows, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = stored(docs.select("doc_id", "source", size.alias("size")), "sizes")
-    return _taken(sizes, block, shard_rows, seed)
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def _hash(seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
-def _taken(sizes: DataFrame, block: int, shard_rows: int, seed: str) -> DataFrame:
+def _taken(rows: DataFrame, sizes: DataFrame, block: int, shard_rows: int, seed: str) -> DataFrame:
+    """rows (doc_id, source, size, mark, ...) with what the mix of all sizes takes of each. Rows are dealt by shard once."""
     targets = source_targets(sizes).withColumn("blocks", F.round(EPOCHS * F.col("total") / block).cast("long")).withColumn("all", F.lit(1))
     sources = _highest_quotients(targets, ["all"], ["rank"], "target", "blocks")
     sources = sources.select(F.col("source").alias("of"), "rank", "source_size", "target", F.ceil(F.col("n_docs") / shard_rows).alias("shards"), F.col("quota").alias("blocks"))
-    placed = sizes.join(sources, sizes.source.eqNullSafe(sources.of)).withColumn("h", _hash(seed))
-    placed = placed.withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
+
+    def placed(part: DataFrame) -> DataFrame:
+        found = part.join(sources, part.source.eqNullSafe(sources.of)).withColumn("h", _hash(seed))
+        return found.withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.col("shards")))
+
+    shards = placed(sizes).groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = _highest_quotients(shards, ["rank"], ["shard"], "shard_size", "blocks").select("rank", "shard", "shard_size", (F.col("quota") * block).alias("quota"))
-    before = Window.partitionBy("rank", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.join(quotas, ["rank", "shard"]).withColumn("begin", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    before = Window.partitionBy("rank", "shard").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed(rows).join(quotas, ["rank", "shard"]).withColumn("begin", F.coalesce(F.sum("size").over(before), F.lit(0)))
     used = lambda n: F.greatest(F.least(F.col("begin") + F.col("size"), n) - F.col("begin"), F.lit(0))
-    taken = sum((used(F.col("quota") - i * F.col("shard_size")) for i in range(MOST_USES)), F.lit(0)).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return out.withColumn("taken", sum((used(F.col("quota") - i * F.col("shard_size")) for i in range(MOST_USES)), F.lit(0)).cast("long"))
 
 
 def mixed(docs: DataFrame, block: int = 4, shard_rows: int = 2000, seed: str = "mix") -> DataFrame:
-    """The mix itself: the rows of docs once for each use, cut to the words that the mix takes of them.
-
-    A whole use keeps the text as it is; the last use of a shard is cut after its quota's last word.
-    A document that the mix does not take is not in it. doc_id must be unique and not null."""
-    taken = mix(docs, block, shard_rows, seed).filter("taken > 0").select("doc_id", "taken", F.col("size").alias("_size"))
-    uses = docs.join(taken, "doc_id").withColumn("_use", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")))))
-    words = F.least(F.col("_size"), F.col("taken") - (F.col("_use") - 1) * F.col("_size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    return uses.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text"))).select(docs.columns)
+    """The mix itself: the rows of docs, whole, once for each use.
+
+    A document is used as often as the words that `mix` takes of it are times its size, to the nearest
+    whole number, so a shard's words are its quota to within half of two documents. A document that the mix
+    does not take is not in it, nor one without words. Null and repeated doc_ids are rows like others."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    sizes = stored(_sized(docs), "sizes")
+    columns = [c.alias(n) for n, c in zip(("doc_id", "source", "size", "mark"), (F.col("row.doc_id"), F.col("row.source"), F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long"), F.xxhash64("row.text")), strict=True)]
+    taken = _taken(rows.select("row", *columns), sizes, block, shard_rows, seed).filter("taken > 0")
+    uses = F.round(F.col("taken") / F.col("size")).cast("int")
+    return taken.filter(uses > 0).select("row", F.explode(F.sequence(F.lit(1), uses)).alias("use")).select("row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import stored
+from loomwork.llm.common import KEY, keyed, stored
 from loomwork.llm.wordstream import U, Words, chunks, grams, mix
 
 BUCKET_BITS, ZERO_BITS, MANTISSA_BITS = 7, 6, 10
@@ -83,24 +83,23 @@ def least_estimate(threshold: float, a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set), regs for each row of docs."""
+    """The document's key, n_shingles, set_key (128 bits of the whole set), regs for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for row, end, data, offsets in chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(row, end - row),
+                        *(batch.column(c).slice(row, end - row) for c in KEY),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.array([registers(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "regs"],
+                    names=[*KEY, "n_shingles", "set_key", "regs"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
+    return docs.select(*KEY, "text").mapInArrow(run, "no_id boolean, id long, mark long, n_shingles long, set_key binary, regs binary")
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -253,21 +252,18 @@ def links_within(members: DataFrame, k: int, percent: int) -> DataFrame:
     return _by_tiles(members, "family", ["doc_id", "component", "text"], pairs)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document.
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The key of each row of docs, n_shingles, and component, the number of its class (null without words).
 
-    docs: doc_id, text; other columns are ignored. A null or wordless text has an empty set and is
-    linked with nothing. Rows with a null doc_id are left out, since they can be neither linked
-    nor kept by id. If a doc_id repeats, its smallest text (nulls last) stands for it. Equal texts
-    are always linked. An empty table gives an empty result."""
+    Equal sets are one node of the graph. A node's number is given when the table of nodes is written, so it stays."""
     threshold = percent / 100
-    texts = docs.select("doc_id", "text").filter("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sketches = stored(sketch(texts, k), "sketches")
+    base = keyed(docs.select("doc_id", "text"), "doc_id", "text").select(*KEY, "text")
+    sketches = stored(sketch(base, k), "sketches")
     full = sketches.filter("n_shingles > 0")
-    reps = stored(
-        full.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("r")).select("set_key", "r.*"), "reps"
-    )
-    own = reps.select("doc_id", "n_shingles", "regs")
+    least = full.groupBy("set_key").agg(F.min(F.struct(*KEY, "n_shingles", "regs")).alias("r")).select("set_key", "r.*")
+    reps = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = reps.select(F.col("node").alias("doc_id"), "n_shingles", "regs")
+    texts = base.groupBy(*KEY).agg(F.min("text").alias("text")).join(reps.select(*KEY, "node"), KEY).select(F.col("node").alias("doc_id"), "text")
 
     none = F.lit(b"\xff" * (2 * ROWS_PER_BAND))
     part = lambda j: F.substring("regs", j * (2 * ROWS_PER_BAND) + 1, F.lit(2 * ROWS_PER_BAND))
@@ -299,7 +295,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     second = stored(links_within(within.join(split.select("family", "size"), "family").join(texts, "doc_id"), k, percent), "links")
     joined = components(first.union(second))
 
-    final = reps.select("set_key", "doc_id").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_key", label)
-    in_sets = full.select("doc_id", "n_shingles", "set_key").join(final, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return in_sets.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    final = reps.select("set_key", F.col("node").alias("doc_id")).join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_key", label)
+    alone = sketches.filter("n_shingles = 0").select(*KEY, "n_shingles", F.lit(None).cast("long").alias("component"))
+    return full.select(*KEY, "n_shingles", "set_key").join(final, "set_key").drop("set_key").union(alone)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    docs: doc_id, text; other columns are ignored. A null or wordless text has an empty set and is
+    linked with nothing. component_id is the smallest doc_id of the rows that links reach, null if
+    none of them has an id. Rows of one doc_id are judged each by its own text, and all that have the
+    component's id are kept. Without an id in its component a row is kept if no text there has a
+    smaller hash. Equal texts are always linked. An empty table gives an empty result."""
+    rows = _classes(docs, k, percent)
+    id_ = F.when(~F.col("no_id"), F.col("id"))
+    least = rows.filter("component is not null").groupBy("component").agg(F.min(id_).alias("component_id"), F.min("mark").alias("least"))
+    judged = rows.join(least, "component", "left").withColumn("doc_id", id_).withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    nameless = F.col("component").isNull() | (F.col("component_id").isNull() & (F.col("mark") == F.col("least")))
+    kept = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("doc_id") == F.col("component_id"))
+    return judged.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row of each class: that of the smallest doc_id, and of several with it the one
+    whose text has the smallest hash. Rows without an id come after all others.
+
+    Rows that agree in id and text are repeats, of which the one with the smallest hash of all columns
+    stays. Rows without words are linked with nothing, so all of them stay."""
+    rows = _classes(docs, k, percent).filter("component is not null")
+    first = rows.groupBy("component").agg(F.min(F.struct(*KEY)).alias("f")).select("f.*")
+    packed = keyed(docs.select(F.struct(*docs.columns).alias("row")), "row.doc_id", "row.text")
+    worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = F.xxhash64(*(F.col(f"row.{f.name}") for f in docs.schema if "map" not in f.dataType.simpleString()))
+    single = packed.filter(worded).groupBy(*KEY).agg(F.min_by("row", hashed).alias("row"))
+    return single.join(first, KEY, "left_semi").select("row.*").union(docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))

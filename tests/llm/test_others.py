@@ -181,13 +181,26 @@ def test_highest_quotients(spark):
     assert [r["quota"] for r in sorted(got, key=lambda r: r["i"])] == won
 
 
-def test_mixed_takes_what_mix_says(spark):
-    df = spark.createDataFrame([(i, f"d{i} " * (i % 40 + 1), "ab"[i % 5 == 0], "y") for i in range(100)], "doc_id long, text string, source string, lang string")
-    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+def test_mixed_uses_whole_documents(spark):
+    rows = [(i, f"d{i}\t" + "x " * (i % 40), "ab"[i % 5 == 0], "y") for i in range(100)]
+    rows += [(None, "p q r", "a", "y"), (None, "s t", "a", "y"), (7, "again 7", "a", "y"), (7, "again 7", "a", "z"), (8, None, "a", "y"), (9, " ", None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     used = defaultdict(int)
     for r in mixing.mixed(df).collect():
-        used[r["doc_id"]] += len(r["text"].split())
-    assert used == {i: n for i, n in taken.items() if n}
+        assert tuple(r) in rows
+        used[tuple(r)] += 1
+    assert max(used.values()) <= 2 and not any(t is None or not t.strip() for _, t, _, _ in used)
+    want = defaultdict(int)
+    for r in mixing.mix(df).collect():
+        if r["taken"]:
+            want[r["doc_id"], r["size"]] += round(r["taken"] / r["size"] + 1e-9)
+    got = defaultdict(int)
+    for (i, t, _, _), n in used.items():
+        got[i, len(t.split())] += n
+    assert got == {k: n for k, n in want.items() if n}
+    words = sum(len(t.split()) * n for (_, t, s, _), n in used.items() if s == "a")
+    target = max(r["target"] for r in mixing.mix(df).collect())
+    assert abs(words - target) <= 41 and mixing.mixed(df.limit(0)).count() == 0
 
 
 def test_chroma_alignment(spark):
