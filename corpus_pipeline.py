@@ -1,4 +1,8 @@
-"""Corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Null and repeated doc_ids are rows like others in every stage; rows that agree in id and text are one
+document for near-dedup, which keeps one of them. Null and empty texts stay until the mix, which takes words only.
+Columns besides those of documents go through unchanged until the last stage. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -8,9 +12,9 @@ from pyspark.sql import functions as F
 from loomwork.llm import pieces, toxicity
 from loomwork.llm.common import stored, table
 from loomwork.llm.mixing import mixed
-from loomwork.llm.near_dedup import near_duplicates
+from loomwork.llm.near_dedup import without_copies
 from loomwork.llm.queries import PIECE_MODEL
-from loomwork.llm.substring_dedup import remove_repeats
+from loomwork.llm.substring_dedup import without_repeats as without_passages
 
 
 def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,21 +27,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of documents linked at a Jaccard similarity of 0.8 of 5-word shingles."""
-    kept = near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group linked at a Jaccard similarity of 0.8 of 5-word shingles: the smallest doc_id's."""
+    return without_copies(docs, k=5, percent=80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of 20-word windows that start earlier; one that loses all words goes."""
-    kept = remove_repeats(docs, window=20, with_text=True).filter("n_removed < n_words or n_words = 0").select("doc_id", "n_removed", "kept_text")
-    joined = docs.join(kept, "doc_id").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    return _with_length(joined, docs.columns)
+    return _with_length(without_passages(docs, window=20), docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each use of a document."""
-    return _with_length(mixed(docs), docs.columns)
+    """The mix of sources: a row for each use of a document, which is used whole."""
+    return mixed(docs).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
