@@ -263,7 +263,6 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     least = full.groupBy("set_key").agg(F.min(F.struct(*KEY, "n_shingles", "regs")).alias("r")).select("set_key", "r.*")
     reps = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     own = reps.select(F.col("node").alias("doc_id"), "n_shingles", "regs")
-    texts = base.groupBy(*KEY).agg(F.min("text").alias("text")).join(reps.select(*KEY, "node"), KEY).select(F.col("node").alias("doc_id"), "text")
 
     none = F.lit(b"\xff" * (2 * ROWS_PER_BAND))
     part = lambda j: F.substring("regs", j * (2 * ROWS_PER_BAND) + 1, F.lit(2 * ROWS_PER_BAND))
@@ -271,6 +270,9 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     bands = own.select("doc_id", F.explode(keys).alias("band"))
     shared = stored(bands.groupBy("band").agg(F.min("doc_id").alias("centre"), F.count("*").alias("size")).filter("size > 1"), "bands")
     members = bands.join(shared, "band")
+    # only texts that share a band are ever compared: one pass over all texts picks them out
+    met = reps.select(*KEY, "node").join(members.select(F.col("doc_id").alias("node")).distinct(), "node")
+    texts = stored(base.groupBy(*KEY).agg(F.min("text").alias("text")).join(met, KEY).select(F.col("node").alias("doc_id"), "text"), "texts")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
         side = lambda s: own.select(F.col("doc_id").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n_shingles").alias(f"n_{s}"))

@@ -36,7 +36,8 @@ from loomwork.llm.wordstream import Words, chunks, grams
 PREFIX = 6
 LONGER = (8, 12)
 CHUNK_WORDS = 400_000
-HELD_WINDOWS = 200_000
+HELD_WINDOWS = 50_000
+SLICE_ROWS = 256
 #: Anchors and prefixes that are too common are sent to every task; a group may grow so that there are no more of them (8 bytes each).
 MOST_PREFIXES = 1_000_000
 SALTS = 16
@@ -143,7 +144,7 @@ def suffix_rows(docs: DataFrame, window: int, heavy: dict[int, np.ndarray]) -> D
             for i in range(0, len(rows), 10_000):
                 yield out(rows[i : i + 10_000])
 
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             rows: list[tuple] = []
             keys = zip(*(batch.column(c).to_pylist() for c in KEY), strict=True)
             for key, text, found in zip(keys, batch.column("row").field("text"), batch.column("found").to_pylist(), strict=True):
