@@ -325,10 +325,12 @@ def without_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that agree in id and text are repeats, of which the one with the smallest hash of all columns
     stays. Rows without words are linked with nothing, so all of them stay."""
-    rows = _classes(docs, k, percent).filter("component is not null")
-    first = rows.groupBy("component").agg(F.min(F.struct(*KEY)).alias("f")).select("f.*")
-    packed = keyed(docs.select(F.struct(*docs.columns).alias("row")), "row.doc_id", "row.text")
-    worded = F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = _classes(docs, k, percent).groupBy(*KEY, "component").agg(F.count("*").alias("n"))
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(*KEY, "n")).alias("f")).select("f.*")
+    kept = stored(first.union(rows.filter("component is null").select(*KEY, F.lit(1).cast("long"))), "kept")
+    found = keyed(docs.select(F.struct(*docs.columns).alias("row")), "row.doc_id", "row.text").join(kept, KEY)
+    out = found.filter("n = 1").select("row.*")
+    if kept.filter("n > 1").isEmpty():
+        return out
     hashed = F.xxhash64(*(F.col(f"row.{f.name}") for f in docs.schema if "map" not in f.dataType.simpleString()))
-    single = packed.filter(worded).groupBy(*KEY).agg(F.min_by("row", hashed).alias("row"))
-    return single.join(first, KEY, "left_semi").select("row.*").union(docs.filter(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
+    return out.union(found.filter("n > 1").groupBy(*KEY).agg(F.min_by("row", hashed).alias("row")).select("row.*"))
