@@ -20,7 +20,6 @@ No candidate is dropped by a cap. A link at similarity 0.85 is missed with proba
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,6 +36,7 @@ ROWS_PER_BAND = 4
 BANDS = BUCKETS // ROWS_PER_BAND
 EMPTY = 0xFFFF
 TILE = 512
+CENTRE_ROWS = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -121,32 +121,32 @@ def plausible(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, np.ndarray] = OrderedDict()  # of the last documents a, which repeat
-
-        def set_of(text: str) -> np.ndarray:
-            data = np.frombuffer(text.encode(), dtype=np.uint8)
-            return shingle_sets(data, np.array([0, len(data)]), k)[0]
+    A centre a and its partners are dealt in parts of about CENTRE_ROWS, each with the centre's text once,
+    so a hot centre is many tasks and no text travels once a pair."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
+    salted = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    partners = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
+    centres = sizes.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    ordered = centres.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for i in range(len(a)):
-                if a[i] not in held:
-                    held[a[i]] = set_of(batch.column("text_a")[i].as_py())
-                    if len(held) > 8:
-                        held.popitem(last=False)
-                x, y = held[a[i]], set_of(batch.column("text_b")[i].as_py())
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            b, keep, row = batch.column("b").to_pylist(), [], 0
+            for _, _, data, offsets in chunks(batch.column("text")):
+                for s in shingle_sets(data, offsets, k):
+                    if b[row] is None:
+                        centre = s
+                        keep.append(False)
+                    else:
+                        both = np.intersect1d(centre, s, assume_unique=True).size
+                        keep.append(100 * both >= percent * (len(centre) + len(s) - both))
+                    row += 1
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return pairs.join(side("b"), "b").join(side("a"), "a")
 
     stars = members.filter("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = stored(confirmed(plausible(with_sketches(stars), threshold), texts, k, percent), "links")
+    first = stored(confirmed(stored(plausible(with_sketches(stars), threshold), "pairs"), texts, k, percent), "links")
     joined = components(first)
 
     # bands whose documents are still in several components: what the sketches allow makes families,
