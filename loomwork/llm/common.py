@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,14 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumns({"no_id": F.col(doc_id).isNull(), "id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "mark": F.xxhash64(text)})
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most from now on in this session, as rows hold whole texts. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "64m")
+    if not re.fullmatch(r"\d{1,6}[kb]?|[1-7]m[b]?", held):
+        spark.conf.set(name, "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import KEY, keyed, stored
+from loomwork.llm.common import KEY, keyed, small_batches, stored
 from loomwork.llm.wordstream import U, Words, chunks, grams, mix
 
 BUCKET_BITS, ZERO_BITS, MANTISSA_BITS = 7, 6, 10
@@ -256,6 +256,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The key of each row of docs, n_shingles, and component, the number of its class (null without words).
 
     Equal sets are one node of the graph. A node's number is given when the table of nodes is written, so it stays."""
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     base = keyed(docs.select("doc_id", "text"), "doc_id", "text").select(*KEY, "text")
     sketches = stored(sketch(base, k), "sketches")

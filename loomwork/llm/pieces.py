@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomwork.llm.common import small_batches
+
 MARK = "▁"
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_PENALTY = 10.0
@@ -308,6 +310,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     round_trip says whether decoding gives the text back: true for every text without a marker
     character of its own. A null text gives no pieces, like an empty one. Repeated rows and null ids are
     rows like others; extra columns are ignored; an empty table gives no rows."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))  # bounded by the model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import stored
+from loomwork.llm.common import small_batches, stored
 from loomwork.llm.labelled import held_out, training_labels, with_labels
 
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()\-]")
@@ -140,6 +140,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int
     """A model from at most most_rows labelled rows outside the held-out fold.
 
     With no labelled row every score is 0.5."""
+    small_batches(spark)
     sample = with_labels(docs, training_labels(labels, "quality", modulus, remainder, most_rows))
     rows = statistics_of(sample.withColumn("label", (F.col("label") > 0).cast("int")), "label", "label int")
     rows = stored(rows.withColumn("fold", F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int")), "statistics")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import KEY, keyed, stored
+from loomwork.llm.common import KEY, keyed, small_batches, stored
 from loomwork.llm.wordstream import Words, chunks, grams
 
 PREFIX = 6
@@ -314,6 +314,7 @@ def _marked(docs: DataFrame, window: int, group: int) -> DataFrame:
     """row (all columns of docs), is_copy, gone (array of start, windows) for each row of docs.
 
     Whole texts are dealt by document once; the scans and joins after that read the same shuffle."""
+    small_batches(docs.sparkSession)
     base = keyed(docs.select(F.struct(*docs.columns).alias("row")), "row.doc_id", "row.text")
     base = base.join(_copies(base.select(*KEY, F.col("row.text").alias("text"))), KEY, "left")
     own = keyed(docs.select("doc_id", "text"), "doc_id", "text").filter("text is not null").select(*KEY, "text")

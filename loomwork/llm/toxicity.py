@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.llm.common import small_batches
 from loomwork.llm.labelled import held_out, training_labels, with_labels
 
 # Fixed word lists in English, German, French and Spanish.
@@ -217,6 +218,7 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, pull: float = 0.1) ->
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, most_rows: int = 20_000) -> Model:
     """A model from at most most_rows labelled rows outside the held-out fold."""
+    small_batches(spark)
     rows = with_labels(docs, training_labels(labels, "toxic", modulus, remainder, most_rows))
     stems = learn_stems(rows)
 
