@@ -19,6 +19,12 @@ LOG_LINES = {
 }
 BACKENDS = ("deepseek", "claude")
 PRESETS = {"cut": (0.4, 0.4, 0.2), "bulk": (0.5, 0.3, 0.2), "balanced": (0.45, 0.3, 0.25)}  # carbs, protein, fat
+GROUP_LABELS = {"chest": "胸", "shoulder": "肩", "back": "背", "legs": "腿", "arms": "臂"}
+DIFFICULTY_LABELS = {"beginner": "入门", "intermediate": "中级", "advanced": "高级"}
+USAGE_FIELDS = {  # fields of a provider's usage that make up prompt and completion tokens
+    "deepseek": (("prompt_tokens",), ("completion_tokens",)),
+    "claude": (("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"), ("output_tokens",)),
+}
 REQUEST_ID = "^[A-Za-z0-9_.:-]{1,64}$"
 
 
@@ -101,3 +107,17 @@ def redacted(fields: dict[str, Column], secret: tuple[str, ...]) -> list[Column]
     """Columns with those of secret names replaced; names are compared without case."""
     hidden = {s.lower() for s in secret}
     return [(F.lit("[REDACTED]") if name.lower() in hidden else x).alias(name) for name, x in fields.items()]
+
+
+def labelled(value: Column, labels: dict[str, str]) -> Column:
+    """The shown text of a code; the code itself where it has none."""
+    return F.coalesce(*(F.when(value == k, F.lit(v)) for k, v in labels.items()), value)
+
+
+def usage_tokens(provider: Column, usage: Column) -> Column:
+    """prompt_tokens and completion_tokens of a provider's usage in JSON; 0 for what is missing, null or broken."""
+    data = F.try_parse_json(usage)
+    field = lambda name: F.coalesce(F.try_variant_get(data, f"$.{name}", "bigint"), F.lit(0).cast("long"))
+    total = lambda names: sum((field(n) for n in names[1:]), field(names[0]))
+    part = lambda i: F.coalesce(*(F.when(provider == k, total(v[i])) for k, v in USAGE_FIELDS.items()), F.lit(0).cast("long"))
+    return F.struct(part(0).alias("prompt_tokens"), part(1).alias("completion_tokens"))

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.shared import small
+
 KS = (1, 3, 5, 10, 20, 50, 100)
 AXES = ("faithfulness", "relevance", "sufficiency")
 
@@ -78,7 +80,7 @@ def depth_rows(fused: DataFrame, gold: DataFrame, depths: list[int]) -> DataFram
 
     fused: depth, query_id, id, rank; gold: query_id, gold."""
     asked = gold.filter(F.size("gold") > 0).select("query_id", "gold")
-    found = fused.join(F.broadcast(asked.select("query_id", F.explode("gold").alias("id")).distinct()), ["query_id", "id"])
+    found = fused.join(small(asked.select("query_id", F.explode("gold").alias("id")).distinct()), ["query_id", "id"])
     first = found.groupBy("query_id", "depth").agg(F.min("rank").alias("first_rank"))
     return asked.select("query_id", F.explode(F.array(*map(F.lit, depths))).alias("depth")).join(first, ["query_id", "depth"], "left")
 
@@ -109,7 +111,7 @@ def rerank_pool_curve(pool: DataFrame, gold: DataFrame, depths: list[int], ms_pe
     spread = pool.withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
     inside = F.col("rank") <= F.col("depth")
     order = Window.partitionBy("query_id", "depth").orderBy(~inside, F.when(inside, -F.round("rerank_score", 9)), "rank")
-    placed = spread.withColumn("place", F.row_number().over(order)).join(F.broadcast(gold.select("query_id", "gold")), "query_id")
+    placed = spread.withColumn("place", F.row_number().over(order)).join(small(gold.select("query_id", "gold")), "query_id")
     first = placed.groupBy("query_id", "depth").agg(F.min(F.when(F.array_contains("gold", F.col("id")), F.col("place"))).alias("first_rank"))
     r = F.col("first_rank")
     return first.groupBy("depth").agg(
@@ -161,3 +163,9 @@ def worst_first(rows: DataFrame, most: int) -> DataFrame:
 def dispersed(scores: DataFrame, score: str, by: str) -> DataFrame:
     """by, varied: whether the population deviation of scores is above 1e-6."""
     return scores.groupBy(by).agg((F.stddev_pop(score) > 1e-6).alias("varied"))
+
+
+def gold_source(gold: DataFrame, chunks: DataFrame, unknown: str = "?") -> DataFrame:
+    """gold with source: that of the smallest gold id, `unknown` where no chunk has it. gold: query_id, gold (array); chunks: id, source."""
+    asked = gold.withColumn("_least", F.array_min("gold"))
+    return asked.join(chunks.select(F.col("id").alias("_least"), "source"), "_least", "left").drop("_least").withColumn("source", F.coalesce("source", F.lit(unknown)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import META_WORDS, eligible_for_questions, norm_ws, overlap_length, strip
+from loomwork.functions.text import META_WORDS, eligible_for_questions, looks_like_table, norm_ws, overlap_length, starts_mid_sentence, strip
 from loomwork.functions.vectors import dot, normalise
 from loomwork.operators.running import running_total
 
@@ -93,3 +93,45 @@ def other_gold(hits: DataFrame, centroid: DataFrame, vectors: DataFrame) -> Data
     found = near.withColumn("kind", kind).filter(F.col("kind").isNotNull())
     place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank"))
     return found.withColumn("_k", place).filter((F.col("kind") == "strong") | (F.col("_k") <= MOST_SIMILAR)).select("query_id", "id", "rank", "kind", "overlap", "cosine")
+
+
+#: What is wrong with a gold chunk, in the order of the checks.
+WARNINGS = ("gold not found", "gold below rank 5", "gold looks like a table", "gold starts mid-sentence")
+SHORT_TAGS = dict(zip(WARNINGS, ("missing", "low rank", "table", "mid-sentence"), strict=True))
+
+
+def with_evidence(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """items (id, ...) with the evidence that their candidate quoted; empty where there is none."""
+    quoted = candidates.select("id", F.col("evidence").alias("_evidence"))
+    return items.drop("evidence").join(quoted, "id", "left").withColumn("evidence", F.coalesce("_evidence", F.lit(""))).drop("_evidence")
+
+
+def gold_warnings(chunk: Column, rank: Column) -> Column:
+    """An array of WARNINGS that fit a gold chunk and its first rank (null if it was not found)."""
+    text = F.coalesce(chunk, F.lit(""))
+    tests = (rank.isNull(), rank > 5, looks_like_table(text), starts_mid_sentence(text))
+    return F.filter(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(w)) for t, w in zip(tests, WARNINGS, strict=True))), lambda w: w.isNotNull())
+
+
+def short_tags(warnings: Column) -> Column:
+    """The short form of each warning; others as they are."""
+    return F.transform(warnings, lambda w: F.coalesce(*(F.when(w == k, F.lit(v)) for k, v in SHORT_TAGS.items()), w))
+
+
+def worksheet(entries: DataFrame) -> DataFrame:
+    """Rows of a curation sheet with `tags` and `priority` (from 1), those that need a look only.
+
+    entries: id, first_rank, warnings, n_strong, n_similar. Entries with strong other gold come first, then
+    those whose gold was missed or ranked low, then by id. Ranks are counted in spans of that order."""
+    need = entries.filter((F.size("warnings") > 0) | (F.col("n_strong") > 0) | (F.col("n_similar") > 0))
+    late = ~F.arrays_overlap("warnings", F.array(*map(F.lit, WARNINGS[:2])))
+    keyed = need.withColumns({"tags": short_tags(F.col("warnings")), "_weak": F.col("n_strong") == 0, "_late": late})
+    return running_total(keyed, ["_weak", "_late", "id"], F.lit(1), "priority").withColumn("priority", F.col("priority") + 1).drop("_weak", "_late")
+
+
+def curation_tallies(entries: DataFrame) -> DataFrame:
+    """One row: n, and how many entries have strong or similar other gold, a bad rank, a table, a cut sentence."""
+    has = lambda w: F.array_contains("warnings", w)
+    bad = F.col("first_rank").isNull() | (F.col("first_rank") > 5)
+    tests = {"n_strong": F.col("n_strong") > 0, "n_similar": F.col("n_similar") > 0, "n_bad_rank": bad, "n_table": has(WARNINGS[2]), "n_mid_sentence": has(WARNINGS[3])}
+    return entries.agg(F.count("*").alias("n"), *(F.count_if(t).alias(name) for name, t in tests.items()))

@@ -6,15 +6,18 @@ score rounded to 9 digits, then by id, so equal scores have a fixed order in eve
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.text import tokenize
 from loomwork.functions.vectors import dot
+from loomwork.sources.shared import small, stored
 
 # Fixed values of the score and of the pools.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -45,28 +48,44 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, most: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, id, score, rank of the texts that hold a term of the query.
 
-    queries: query_id, query. The corpus is tokenised once; only postings of terms that some query has
-    leave the scan, after the distinct terms of the queries are joined to them."""
+    queries: query_id, query. The corpus is tokenised once: weights of terms that some query has are written
+    to the shared folder. A query's strong terms (half of its greatest possible score) find `most` texts, the
+    least of whose whole scores is a floor of the `most`-th score. Terms that together stay below the floor bring no text in: a text needs another term, and what
+    it has of the others must be able to reach the floor. Only such texts meet the long lists of common terms."""
     tokens = docs.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    totals = tokens.agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.sum(F.size("tokens")), F.count("*")), F.lit(0.0)).alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
     posted = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    wanted = small(asked.select("term").distinct())
+    postings = stored(posted.join(wanted, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+    n, avgdl = tokens.agg(F.count("*"), F.coalesce(F.try_divide(F.sum(F.size("tokens")), F.count("*")), F.lit(0.0))).first()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = postings.join(df, "term").join(F.broadcast(totals)).select("term", "id", weight.alias("w"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-    return ranked(scored, most)
-
-
-def dense(vectors: DataFrame, queries: DataFrame, most: int | None = 10) -> DataFrame:
-    """query_id, id, score (dot product of unit vectors), and rank if `most` is given.
-
-    vectors: id, v; queries: query_id, q. The stated queries meet every vector, with the queries
-    broadcast: they are a request's, not a table that grows with the corpus."""
-    scored = vectors.join(F.broadcast(queries)).select("query_id", "id", dot("q", "v").alias("score"))
-    return scored if most is None else ranked(scored, most)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
+    weighted = postings.join(df, "term").select("term", "id", weight.alias("w"))
+
+    tops = weighted.groupBy("term").agg(F.max("w").alias("top"))
+    own = Window.partitionBy("query_id")
+    below = F.sum("top").over(own.orderBy("top", "term"))
+    bounds = stored(asked.join(tops, "term").select("query_id", "term", below.alias("below"), F.sum("top").over(own).alias("all")), "bounds")
+    partial = lambda terms_: terms_.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    strong = ranked(partial(bounds.filter(F.col("below") > F.col("all") / 2).select("query_id", "term")), max(most, 1))
+    whole = strong.select("query_id", "id").join(bounds.select("query_id", "term"), "query_id").join(weighted, ["term", "id"]).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    floors = whole.groupBy("query_id").agg(F.count("*").alias("n"), (F.min("score") - 1e-6).alias("floor")).filter(F.col("n") == max(most, 1)).drop("n")
+    split = stored(bounds.join(floors, "query_id", "left").select("query_id", "term", "below", F.coalesce("floor", F.lit(0.0)).alias("floor")), "bounds")
+    weak = split.filter(F.col("below") < F.col("floor"))
+    rest = weak.groupBy("query_id").agg(F.max("below").alias("rest"), F.max("floor").alias("floor"))
+    found = partial(split.filter(F.col("below") >= F.col("floor")).select("query_id", "term"))
+    able = found.join(rest, "query_id", "left").filter(F.col("rest").isNull() | (F.col("score") + F.col("rest") >= F.col("floor"))).select("query_id", "id", "score")
+    more = able.select("query_id", "id").join(weak.select("query_id", "term"), "query_id").join(weighted, ["term", "id"]).select("query_id", "id", F.col("w").alias("score"))
+    return ranked(able.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score")), most)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """query_id, id, score (dot product of unit vectors), rank.
+
+    vectors: id, v; queries: query_id, q. The stated queries meet every vector, broadcast if a count shows that
+    they are few. Each partition keeps its best `most` of a query before anything is shuffled."""
+    return ranked(vectors.join(small(queries)).select("query_id", "id", dot("q", "v").alias("score")), most)
 
 
 def fused(routes: list[DataFrame], most: int, k: int = RRF_K) -> DataFrame:
@@ -107,6 +126,26 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.size(q)), F.lit(0.0))
 
 
+def batched_scorer(model: Callable[[list[tuple[str, str]]], list[float]], batch: int = 16, most_tokens: int = 512) -> Callable[[Column, Column], Column]:
+    """A re-ranking model as a column function: logits of (query, text) pairs, as probabilities.
+
+    Pairs go to the model `batch` at a time. Of a pair that is too long only the text is cut (in words), never the
+    query. A batch on which the model fails has null scores, so its rows keep their place in the order before."""
+
+    @F.pandas_udf("double")
+    def score(query: pd.Series, text: pd.Series) -> pd.Series:
+        out: list[float | None] = []
+        pairs = [(q or "", " ".join((t or "").split(" ")[: max(0, most_tokens - len((q or "").split(" ")))])) for q, t in zip(query, text, strict=True)]
+        for i in range(0, len(pairs), batch):
+            try:
+                out += [1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x)) for x in model(pairs[i : i + batch])]
+            except Exception:  # a failing model must not fail the search
+                out += [None] * len(pairs[i : i + batch])
+        return pd.Series(out, dtype="float64")
+
+    return score
+
+
 @dataclass(frozen=True)
 class Mode:
     base: str
@@ -135,21 +174,20 @@ def search(
     asked = parse_mode(mode)
     if asked is None:
         raise ValueError(f"unknown mode: {mode}")
-    lengths = [r[0] for r in queries.select(F.size("q")).distinct().limit(2).collect()]
-    stored = chunks.select(F.size("embedding")).limit(1).collect()
-    if stored and lengths and {stored[0][0]} != set(lengths):
-        raise ValueError(f"vectors have {stored[0][0]} numbers, queries {lengths}")
+    span = lambda rows, v: tuple(rows.agg(F.min(F.size(v)), F.max(F.size(v))).first())
+    asked_for, held = span(queries.filter("q is not null"), "q"), span(chunks.filter("embedding is not null"), "embedding")
+    if None not in (*asked_for, *held) and len({*asked_for, *held}) > 1:
+        raise ValueError(f"vectors have {held[0]} to {held[1]} numbers, queries {asked_for[0]} to {asked_for[1]}")
     n = pool_size(top_k, candidates, asked.pool > 0)
     vectors = chunks.select("id", F.col("embedding").alias("v"))
-    cosines = dense(vectors, queries.select("query_id", "q"), None)
-    by_vector = ranked(cosines, n)
+    by_vector = dense(vectors, queries.select("query_id", "q"), n)
     nothing = F.lit(None).cast("double")
     if asked.base == "dense":
         pool = by_vector.select("query_id", "id", "rank", nothing.alias("rrf"))
     else:
         by_terms = bm25(chunks.select("id", "text"), queries.select("query_id", "query"), n, "id")
         pool = by_terms.select("query_id", "id", "rank", nothing.alias("rrf")) if asked.base == "bm25" else fused([by_vector, by_terms], n).select("query_id", "id", "rank", F.col("score").alias("rrf"))
-    shown = pool.join(chunks.select("id", "text", "source"), "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    shown = pool.join(chunks.select("id", "text", "source"), "id").join(small(queries.select("query_id", "query")), "query_id")
     if asked.pool:
         head = shown.filter(F.col("rank") <= asked.pool)
         scored = head.select("query_id", "id", rerank(F.col("query"), F.col("text")).alias("rerank_score"))
@@ -158,7 +196,8 @@ def search(
         shown = shown.withColumn("rerank_score", nothing).withColumn("rerank_rank", F.lit(None).cast("int"))
     best = shown.filter(F.col("rank") <= top_k)
     dense_rank = by_vector.select("query_id", "id", F.col("rank").alias("dense_rank"))
-    return best.join(cosines, ["query_id", "id"]).join(dense_rank, ["query_id", "id"], "left").select("query_id", "id", "text", "source", "score", "rank", "dense_rank", "rrf", "rerank_score", "rerank_rank")
+    pairs = best.join(vectors, "id").join(queries.select("query_id", "q"), "query_id").withColumn("score", dot("q", "v"))
+    return pairs.join(dense_rank, ["query_id", "id"], "left").select("query_id", "id", "text", "source", "score", "rank", "dense_rank", "rrf", "rerank_score", "rerank_rank")
 
 
 def ask_prompts(found: DataFrame) -> DataFrame:

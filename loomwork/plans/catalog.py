@@ -12,6 +12,7 @@ from loomwork.functions import scalars, text
 from loomwork.functions.vectors import dot
 from loomwork.operators import evaluation, golden, matching, retrieval, usage
 from loomwork.sources import files, rules
+from loomwork.sources.shared import small
 from loomwork.streaming.token_bucket import run_to_end, token_bucket_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,7 +109,7 @@ def _routes(spark: SparkSession, sf_dir: str, most: int = 50) -> dict[str, DataF
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, gold, category: the documents that hold a benchmark passage. The stated items are broadcast."""
-    items = F.broadcast(_items(spark, sf_dir))
+    items = small(_items(spark, sf_dir))
     found = _table(spark, sf_dir, "documents").join(items, F.contains("text", "query")).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
     return found.withColumn("category", F.when(F.size("gold") > 1, "many").otherwise("one"))
 
@@ -143,6 +144,18 @@ def dense_topk(spark, sf_dir):
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    "WITH vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT item_id AS query_id, v AS q FROM benchmark JOIN vec ON id = item_id), "
+    "r AS (SELECT query_id, id, list_dot_product(q, v) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, v), 9) DESC, id) AS rank FROM q, vec) "
+    "SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10"
+)
+def dense_topk_all(spark, sf_dir):
+    """Every embedding, with and without a document, for the vectors whose ids are those of benchmark items."""
+    every = _all_vectors(spark, sf_dir)
+    asked = every.join(_items(spark, sf_dir).select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return retrieval.dense(every, asked, 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_BM25.strip()} SELECT query_id, id, rank, round(score, 9) AS score FROM frank WHERE rank <= 20")
 def hybrid_rrf(spark, sf_dir):
     found = _routes(spark, sf_dir)["hybrid"].filter("rank <= 20")
@@ -159,7 +172,7 @@ olap AS (
 def _rerank_pool(spark, sf_dir):
     hybrid = _routes(spark, sf_dir)["hybrid"].select("query_id", "id", "rank")
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    joined = hybrid.join(docs, "id").join(F.broadcast(_items(spark, sf_dir)), "query_id")
+    joined = hybrid.join(docs, "id").join(small(_items(spark, sf_dir)), "query_id")
     return hybrid, joined.select("query_id", "id", "rank", retrieval.overlap_score(F.col("query"), F.col("text")).alias("rerank_score"))
 
 
@@ -188,7 +201,15 @@ def search_hybrid_rerank(spark, sf_dir):
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "dense_rank", "rerank_rank")
 
 
-@query()
+_PROMPT = [part.replace("%%", "%").replace("'", "''") for part in text.ANSWER_PROMPT.split("%s")]
+
+
+@query(
+    f"""WITH {_BM25.strip()}, top AS (SELECT query_id, rank, source, text FROM drank JOIN documents ON doc_id = id WHERE rank <= 5),
+c AS (SELECT query_id, string_agg('【' || source || '】' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM top GROUP BY query_id),
+o AS (SELECT query_id, list(source ORDER BY r) AS sources FROM (SELECT query_id, source, min(rank) AS r FROM top GROUP BY ALL) GROUP BY query_id)
+SELECT query_id, context, '{_PROMPT[0]}' || context || '{_PROMPT[1]}' AS prompt, sources FROM c JOIN o USING (query_id)"""
+)
 def ask_prompts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     chunks = docs.join(_vectors(spark, sf_dir).withColumnRenamed("v", "embedding"), "id")
@@ -216,7 +237,23 @@ def chunk_documents(spark, sf_dir):
     return files.chunk_table(_table(spark, sf_dir, "documents"), key="doc_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, list_filter(string_split({_CLEAN.format("text")}, chr(10) || chr(10)), lambda p: p <> '') AS ps FROM t WHERE text IS NOT NULL),
+f AS (
+  SELECT conv_id, ps, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS held FROM c
+  UNION ALL
+  SELECT conv_id, ps, i + 1, CASE WHEN length(j) >= 120 THEN list_append(done, j) ELSE done END, CASE WHEN length(j) >= 120 THEN '' ELSE j END
+  FROM (SELECT *, CASE WHEN held = '' THEN ps[i + 1] ELSE held || chr(10) || ps[i + 1] END AS j FROM f WHERE i < len(ps))),
+e AS (
+  SELECT conv_id, CASE WHEN held = '' THEN done WHEN len(done) > 0 THEN list_append(done[1 : len(done) - 1], done[len(done)] || chr(10) || held) WHEN length(held) >= 24 THEN [held] ELSE [] END AS m
+  FROM f WHERE i = len(ps)),
+p AS (SELECT conv_id, unnest(m) AS p, unnest(range(len(m))) AS k FROM e),
+w AS (SELECT conv_id, k, p, CASE WHEN length(p) <= 400 OR length(p) < 500 THEN 0 ELSE CAST(floor((length(p) - 500) / 350) AS BIGINT) + 1 END AS last FROM p),
+o AS (SELECT conv_id, k, p, last, unnest(range(0, last + 1)) AS n FROM w),
+x AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY k, n) - 1 AS INTEGER) AS ordinal, substr(p, n * 350 + 1, CASE WHEN n = last THEN length(p) ELSE 400 END) AS text FROM o)
+SELECT conv_id, ordinal, 'chunk-' || ordinal AS meta, text FROM x"""
+)
 def chunk_merge_short(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     joined = turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
@@ -374,6 +411,76 @@ def unstable_answers(spark, sf_dir):
     return evaluation.unstable(_samples(spark, sf_dir))
 
 
+_TO_100 = lambda sql: sql.strip().replace("rank <= 50", "rank <= 100")
+
+
+@query(f"WITH {_TO_100(_BM25)}, {_GOLD.strip()}, {_TO_100(_ROWS)} SELECT mode, {_recalls()} FROM rrows GROUP BY mode")
+def retrieval_curve(spark, sf_dir):
+    """Recall to 100 in pools of 100, with SQL of that depth."""
+    return retrieval_metrics(spark, sf_dir)
+
+
+@query(f"WITH {_TO_100(_BM25)}, {_GOLD.strip()}, {_TO_100(_ROWS)} SELECT mode, category, {_recalls()} FROM rrows GROUP BY mode, category")
+def curve_by_group(spark, sf_dir):
+    return metrics_by_group(spark, sf_dir)
+
+
+@query(
+    f"WITH {_BM25.strip()}, {_GOLD.strip()}, {_ROWS.strip().replace('rank <= 50', 'rank <= 5')} SELECT mode, count(*) AS n, avg(CASE WHEN first_rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS hit_recall, "
+    "round(avg(coalesce(1.0::DOUBLE / first_rank, 0)), 9) AS mrr FROM rrows GROUP BY mode"
+)
+def served_metrics(spark, sf_dir):
+    """What is served: the first 5 of pools of 50."""
+    return production_metrics(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_BM25.strip()}, {_GOLD.strip()}, dep AS (SELECT unnest([20, 50, 100, 200]) AS depth),
+fd AS (
+  SELECT depth, query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score
+  FROM (SELECT query_id, id, rank FROM brank WHERE rank <= 200 UNION ALL SELECT query_id, id, rank FROM drank WHERE rank <= 200) JOIN dep ON rank <= depth GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY depth, query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fd),
+c AS (SELECT g.query_id, dep.depth, min(fr.rank) AS r FROM gold g CROSS JOIN dep LEFT JOIN fr ON fr.query_id = g.query_id AND fr.depth = dep.depth AND fr.rank <= dep.depth AND list_contains(g.gold, fr.id) GROUP BY ALL),
+b AS (SELECT query_id, r AS b FROM c WHERE depth = 20)
+SELECT depth, count(*) AS n, avg(CASE WHEN r IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS in_pool_share, avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS recall_5,
+  avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE / r ELSE 0 END) AS mrr_5, avg(CASE WHEN r = 1 THEN 1.0::DOUBLE ELSE 0 END) AS top1_share, count(*) FILTER (r IS NULL) AS misses, count(*) FILTER (r IS DISTINCT FROM b) AS n_changed
+FROM c JOIN b USING (query_id) GROUP BY depth"""
+)
+def fusion_depths(spark, sf_dir):
+    """The sweep over 20, 50, 100 and 200, with SQL that fuses anew at each."""
+    return fusion_depth_sweep(spark, sf_dir)
+
+
+@query(
+    f"WITH {_GOLD.strip()} SELECT g.query_id, list_min(g.gold) AS least, coalesce(d.source, '?') AS source FROM (SELECT query_id, gold FROM gold UNION ALL SELECT -1, [-5]) g LEFT JOIN documents d ON d.doc_id = list_min(g.gold)"
+)
+def gold_sources(spark, sf_dir):
+    """The source of each item's smallest gold document; one item's gold is not there."""
+    gold = _gold(spark, sf_dir).select("query_id", "gold").union(spark.createDataFrame([(-1, [-5])], "query_id long, gold array<long>"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return evaluation.gold_source(gold, docs).select("query_id", F.array_min("gold").alias("least"), "source")
+
+
+@query(
+    "SELECT event_type AS mode, median(event_id % 900) AS median_ms, median(CASE WHEN event_id % 4 <> 0 THEN event_id % 77 END) AS median_rerank_ms, round(avg(CAST(value AS DOUBLE)), 6) AS mean_top1_score FROM events WHERE event_type = 'click' GROUP BY event_type"
+)
+def latency_medians(spark, sf_dir):
+    i = F.col("event_id")
+    rows = _table(spark, sf_dir, "events").filter("event_type = 'click'").select((i % 900).alias("ms"), F.when(i % 4 != 0, i % 77).alias("rerank_ms"), F.col("value").alias("top1_score"))
+    return evaluation.latency_summary(rows).select(F.lit("click").alias("mode"), "median_ms", "median_rerank_ms", F.round("mean_top1_score", 6).alias("mean_top1_score"))
+
+
+@query(f"WITH {_JUDGED.strip()} SELECT id, faithfulness, relevance, sufficiency FROM judged WHERE NOT failed ORDER BY least(faithfulness, relevance, sufficiency), sufficiency, faithfulness, id LIMIT 20")
+def worst_answers(spark, sf_dir):
+    rows = evaluation.judge_aggregate(_samples(spark, sf_dir), 3).filter("not failed")
+    return evaluation.worst_first(rows, 20).select("id", *evaluation.AXES)
+
+
+@query("SELECT user_id, stddev_pop(event_id % 3) > 0.000001 AS varied FROM events GROUP BY user_id")
+def score_dispersion(spark, sf_dir):
+    return evaluation.dispersed(_table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 3).alias("score")), "score", "user_id")
+
+
 # ---------------------------------------------------------------- golden sets
 
 
@@ -390,6 +497,81 @@ def golden_interleave(spark, sf_dir):
     return golden.interleaved(docs, key="doc_id", order=["doc_id"])
 
 
+_POOL_TEXT = _STRIPPED.format("coalesce(text, '')")
+_POOL_START = "^[A-Za-z一-鿿0-9（(“" + '"' + "]"
+
+
+@query(
+    f"""SELECT doc_id, length({_POOL_TEXT}) >= 150 AND regexp_matches({_POOL_TEXT}, '{_POOL_START}') AND len(regexp_extract_all({_POOL_TEXT}, '[一-鿿]')) >= 37 AS eligible,
+  length({_POOL_TEXT}) >= 3 AND regexp_matches({_POOL_TEXT}, '{_POOL_START}') AND len(regexp_extract_all({_POOL_TEXT}, '[一-鿿]')) >= 0 AS starts_well
+FROM documents"""
+)
+def question_pool_flags(spark, sf_dir):
+    """The rules of the question pool at their production length and, as the texts hold no CJK characters, at a length that asks for none."""
+    t = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.eligible_for_questions(t).alias("eligible"), text.eligible_for_questions(t, 3).alias("starts_well"))
+
+
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, source, turn, row_number() OVER (ORDER BY turn, source) AS place FROM r")
+def interleaved_sources(spark, sf_dir):
+    """Every document, one of each source in turn."""
+    return golden_interleave(spark, sf_dir)
+
+
+@query(
+    f"""WITH u AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 3 <> 0), r AS (SELECT id, row_number() OVER (PARTITION BY left({_STRIPPED.format("text").replace("^[", "[").split("|")[0]}', '', 'g'), 80) ORDER BY id) AS k FROM u)
+SELECT id FROM r WHERE k = 1"""
+)
+def fresh_chunks(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return golden.fresh(docs, docs.filter("id % 3 = 0").select(F.col("id").alias("chunk_id"))).select("id")
+
+
+_SHEET_SQL = f"""
+l AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 12 + 1 END AS first_rank, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 0 END AS n_strong, CASE WHEN doc_id % 15 = 0 THEN 1 ELSE 0 END AS n_similar,
+    list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda v: {_STRIPPED.format("v")}), lambda v: v <> '') AS ls FROM documents),
+t AS (
+  SELECT id, first_rank, n_strong, n_similar, first_rank IS NULL AS w1, coalesce(first_rank > 5, false) AS w2,
+    len(ls) >= 6 AND len(regexp_extract_all(coalesce(text, ''), '[。！？]')) <= 2 AND coalesce(list_aggregate(list_transform(ls, lambda v: length(v)), 'median'), 0) <= 18 AS w3, NOT regexp_matches(coalesce(text, ''), '{_POOL_START}') AS w4
+  FROM l)"""
+
+
+def _entries(spark, sf_dir):
+    i = F.col("doc_id")
+    rank = F.when(i % 7 != 0, i % 12 + 1)
+    rows = _table(spark, sf_dir, "documents").select(i.alias("id"), rank.alias("first_rank"), F.when(i % 10 == 0, 2).otherwise(0).alias("n_strong"), F.when(i % 15 == 0, 1).otherwise(0).alias("n_similar"), "text")
+    return rows.withColumn("warnings", golden.gold_warnings(F.col("text"), F.col("first_rank"))).drop("text")
+
+
+@query(
+    f"""WITH {_SHEET_SQL.strip()}
+SELECT id, array_to_string(list_filter([CASE WHEN w1 THEN 'missing' END, CASE WHEN w2 THEN 'low rank' END, CASE WHEN w3 THEN 'table' END, CASE WHEN w4 THEN 'mid-sentence' END], lambda x: x IS NOT NULL), ', ') AS tags,
+  row_number() OVER (ORDER BY n_strong = 0, NOT (w1 OR w2), id) AS priority FROM t WHERE w1 OR w2 OR w3 OR w4 OR n_strong > 0 OR n_similar > 0"""
+)
+def curation_sheet(spark, sf_dir):
+    """The worksheet's rows by priority, over documents as gold chunks with ranks and counts made from their ids."""
+    return golden.worksheet(_entries(spark, sf_dir)).select("id", F.array_join("tags", ", ").alias("tags"), "priority")
+
+
+@query(
+    f"WITH {_SHEET_SQL.strip()} SELECT count(*) AS n, count(*) FILTER (n_strong > 0) AS n_strong, count(*) FILTER (n_similar > 0) AS n_similar, count(*) FILTER (w1 OR w2) AS n_bad_rank, count(*) FILTER (w3) AS n_table, count(*) FILTER (w4) AS n_mid_sentence FROM t"
+)
+def curation_counts(spark, sf_dir):
+    return golden.curation_tallies(_entries(spark, sf_dir))
+
+
+@query("SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN '' ELSE left(text, 30) END AS evidence FROM benchmark")
+def evidence_lookup(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return golden.with_evidence(items, items.filter("id % 3 != 0").select("id", F.left("text", F.lit(30)).alias("evidence"))).select("id", "evidence")
+
+
+@query("SELECT doc_id, replace(left(text, 160), chr(10), ' / ') AS excerpt, '[REDACTED]' AS source, lang FROM documents")
+def redacted_excerpts(spark, sf_dir):
+    shown = {"Source": F.col("source"), "lang": F.col("lang")}
+    return _table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 160).alias("excerpt"), *scalars.redacted(shown, ("SOURCE",))).withColumnRenamed("Source", "source")
+
+
 _CANDIDATES_SQL = """
 i AS (
   SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE left(text, 40) END AS question, CASE WHEN doc_id % 13 = 0 THEN left(text, 10) ELSE substr(text, 20, 60) END AS answer,
@@ -457,11 +639,16 @@ def truncation_share(spark, sf_dir):
     return golden.truncation_share(_table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    f"""WITH {_BM25.strip()},
+b AS (SELECT query_id, id, {_NO_WS.format("i.text")} AS q, {_NO_WS.format("d.text")} AS t FROM brank JOIN benchmark i ON item_id = query_id JOIN documents d ON d.doc_id = id WHERE rank = 1),
+s AS (SELECT query_id, id, q, t, unnest(range(1, length(q) + 1)) AS a FROM b), p AS (SELECT query_id, id, q, t, a, unnest(range(1, length(q) - a + 2)) AS n FROM s)
+SELECT b.query_id, b.id, CAST(coalesce(max(n), 0) AS INTEGER) AS overlap FROM b LEFT JOIN p ON p.query_id = b.query_id AND contains(b.t, substr(b.q, a, n)) GROUP BY b.query_id, b.id"""
+)
 def evidence_overlap(spark, sf_dir):
     """Longest common substring of each benchmark passage and the best BM25 document."""
     best = retrieval.bm25(_table(spark, sf_dir, "documents"), _items(spark, sf_dir), 1)
-    joined = best.join(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(F.broadcast(_items(spark, sf_dir)), "query_id")
+    joined = best.join(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").join(small(_items(spark, sf_dir)), "query_id")
     return joined.select("query_id", "id", text.overlap_length(F.col("query"), F.col("text")).alias("overlap"))
 
 
@@ -555,7 +742,7 @@ def calc_validation(spark, sf_dir):
 
 # ---------------------------------------------------------------- matching
 
-_RECIPE_VALUES = ", ".join(f"({i}, '{r[0]}', '{r[2]}', '{r[3]}', {', '.join(f'{float(x)}::DOUBLE' for x in r[4:8])})" for i, r in enumerate(line.split("|") for line in rules.RECIPES.strip().split("\n")))
+_RECIPE_VALUES = ", ".join(f"({i}, '{r[0]}', '{r[2]}', '{r[3]}', {', '.join(f'{float(x)}::DOUBLE' for x in r[4:8])})" for i, r in enumerate(rules.RECIPES))
 _RECIPE_SQL = f"r(ord, id, category, meal_type, calories, protein_g, carbs_g, fat_g) AS (VALUES {_RECIPE_VALUES})"
 
 
@@ -590,10 +777,8 @@ def meal_combo_argmin(spark, sf_dir):
     return matching.meal_plans(rules.recipes(spark), targets).withColumn("score", F.round("score", 9))
 
 
-_PLAN_VALUES = ", ".join(
-    f"('{r[0]}', '{r[1]}', '{r[2]}', {p}, '{x.split(':')[0]}', {x.split(':')[1]}, {x.split(':')[2]})" for r in (line.split("|") for line in rules.PLANS.strip().split("\n")) for p, x in enumerate(r[3].split())
-)
-_EXERCISE_VALUES = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}')" for r in (line.split("|") for line in rules.EXERCISES.strip().split("\n")))
+_PLAN_VALUES = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', {p}, '{x[0]}', {x[1]}, {x[2]})" for r in rules.PLANS for p, x in enumerate(r[3]))
+_EXERCISE_VALUES = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}')" for r in rules.EXERCISES)
 
 
 @query(
@@ -604,6 +789,44 @@ def plan_lookup(spark, sf_dir):
     return matching.plan_lookup(rules.plans(spark), rules.exercises(spark))
 
 
+_COMBO_SQL = ORACLES["meal_combo_argmin"]
+
+
+@query(f"""WITH m AS ({_COMBO_SQL}), {_RECIPE_SQL}, s AS (SELECT target_id, unnest([0, 1, 2]) AS slot, unnest([breakfast, lunch, dinner]) AS id FROM m)
+SELECT target_id, slot, s.id, r.category, r.calories FROM s JOIN r ON r.id = s.id""")
+def plan_suggestions(spark, sf_dir):
+    targets = spark.createDataFrame(_TARGETS, "target_id int, kcal double, carbs double, protein double, fat double")
+    table = rules.recipes(spark)
+    return matching.suggestions(matching.meal_plans(table, targets), table).select("target_id", "slot", "id", "category", "calories")
+
+
+_PRESET_SQL = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in scalars.PRESETS.items())
+
+
+@query(f"SELECT c_custkey AS id, p.goal, round(2000 * carbs / 4, 6) AS t_carbs, round(2000 * protein / 4, 6) AS t_protein, round(2000 * fat / 9, 6) AS t_fat FROM customer JOIN (VALUES {_PRESET_SQL}) p(goal, carbs, protein, fat) ON p.goal = ['cut', 'bulk', 'balanced'][c_custkey % 3 + 1]")
+def preset_macros(spark, sf_dir):
+    """Target grams of the preset ratios."""
+    presets = spark.createDataFrame([(k, *map(float, v)) for k, v in scalars.PRESETS.items()], "goal string, carbs double, protein double, fat double")
+    goal = F.element_at(F.array(*map(F.lit, scalars.PRESETS)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), goal.alias("goal")).join(small(presets), "goal")
+    grams = matching.target_macros(F.lit(2000.0), F.col("carbs"), F.col("protein"), F.col("fat"))
+    return rows.select("id", "goal", *grams).select("id", "goal", *(F.round(c, 6).alias(c) for c in ("t_carbs", "t_protein", "t_fat")))
+
+
+@query(f"""WITH p(id, name, muscle_group, place, exercise_id, sets, reps) AS (VALUES {_PLAN_VALUES}), k AS (SELECT id, place, exercise_id, sets, reps FROM p WHERE exercise_id <> 'push-up' UNION ALL SELECT DISTINCT id, 99, 'lunge', 3, 10 FROM p)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS INTEGER) AS place, exercise_id, sets, reps FROM k""")
+def plan_edited(spark, sf_dir):
+    changed = rules.plans(spark).select("id", F.posexplode(matching.edited(F.col("exercises"), F.lit("push-up"), F.lit("lunge"))).alias("place", "x"))
+    return changed.select("id", "place", "x.*")
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey % 4 <> 0")
+def new_profiles(spark, sf_dir):
+    """Inserts: customers of orders that are not there yet, once each."""
+    known = _table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("id"))
+    return matching.new_rows(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), known, "id")
+
+
 @query("SELECT c_custkey AS request_id, CASE c_custkey % 6 WHEN 1 THEN 'shoulder-day' WHEN 2 THEN 'back-day' WHEN 3 THEN 'legs-day' WHEN 4 THEN 'arms-day' ELSE 'chest-day' END AS plan_id FROM customer")
 def plan_for_group(spark, sf_dir):
     group = F.element_at(F.array(*map(F.lit, ("chest", "shoulder", "back", "legs", "arms", "neck"))), (F.col("c_custkey") % 6 + 1).cast("int"))
@@ -681,7 +904,7 @@ def token_bucket(spark, sf_dir):
     return usage.token_bucket(_requests(spark, sf_dir), _LIMIT, _WINDOW).select("user_id", "event_id", "ok", F.round(F.col("tokens") * _WINDOW).cast("long").alias("token_ms"))
 
 
-@query()
+@query(ORACLES["token_bucket"])
 def rate_limit_stream(spark, sf_dir):
     """The stream's decisions over the same events, read by one availableNow run."""
     schema = _table(spark, sf_dir, "events").schema
@@ -724,3 +947,20 @@ def retry_and_sigmoid(spark, sf_dir):
     code = F.when(i % 11 == 0, "ECONNRESET").otherwise("EACCES")
     retry = scalars.retryable(name, status, code, F.lit(False), F.lit(""))
     return _table(spark, sf_dir, "events").select("event_id", retry.alias("retry"), F.round(scalars.sigmoid(F.col("value")), 9).alias("p"))
+
+
+_USAGE_SQL = "CASE WHEN event_id % 5 = 0 THEN 'broken' WHEN event_id % 2 = 0 THEN '{\"prompt_tokens\": ' || event_id || ', \"completion_tokens\": 7}' ELSE '{\"input_tokens\": 3, \"cache_read_input_tokens\": ' || event_id || ', \"cache_creation_input_tokens\": null}' END"
+
+
+@query(
+    """SELECT event_id, CAST(CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 2 = 0 THEN event_id ELSE 3 + event_id END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN event_id % 5 <> 0 AND event_id % 2 = 0 THEN 7 ELSE 0 END AS BIGINT) AS completion_tokens FROM events"""
+)
+def usage_normalised(spark, sf_dir):
+    provider = F.when(F.col("event_id") % 2 == 0, "deepseek").otherwise("claude")
+    return _table(spark, sf_dir, "events").select("event_id", scalars.usage_tokens(provider, F.expr(_USAGE_SQL)).alias("u")).select("event_id", "u.*")
+
+
+@query("SELECT c_custkey AS id, ['胸', '肩', '背', '腿', '臂', 'neck'][c_custkey % 6 + 1] AS shown FROM customer")
+def group_labels(spark, sf_dir):
+    group = F.element_at(F.array(*map(F.lit, (*scalars.GROUP_LABELS, "neck"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), scalars.labelled(group, scalars.GROUP_LABELS).alias("shown"))

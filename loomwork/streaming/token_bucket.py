@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomwork.sources.shared import shared_path
+
 OUTPUT = "user_id long, event_id long, ms long, ok boolean, tokens double, retry_ms long"
 
 
@@ -50,33 +49,12 @@ def token_bucket_stream(rows: DataFrame, limit: int, window_ms: int, drop_idle:
     return rows.groupBy("user_id").applyInPandasWithState(run, OUTPUT, "tokens double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout if drop_idle else GroupStateTimeout.NoTimeout)
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended; the shared folder's owner clears it
-        pass
-
-
 def run_to_end(rows: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what its source holds now, and gives what it wrote as a table.
 
     Executors write the rows and the state to the shared folder, so none pass through the driver. They go
     when the driver ends."""
     spark = rows.sparkSession
-    path = f"{_shared_dir(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = shared_path(spark, name)
     rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")

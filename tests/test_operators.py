@@ -173,3 +173,62 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "user_id long, day string, degraded boolean, tokens long")
     assert usage.budget_daily(empty).count() == 0
     assert retrieval.corpus_stats(spark.createDataFrame([], "text string")).first()["avgdl"] == 0.0
+
+
+def test_batched_scorer_cuts_texts_and_fails_softly(spark):
+    def model(pairs):
+        if any("bad" in q for q, _ in pairs):
+            raise RuntimeError("no model")
+        return [float(len(t.split())) - 2 for _, t in pairs]
+
+    score = retrieval.batched_scorer(model, batch=1, most_tokens=4)
+    rows = spark.createDataFrame([("a b", "x y z z z"), ("a b", None), ("bad", "x")], "q string, t string").coalesce(1)
+    got = [r["s"] for r in rows.select(score("q", "t").alias("s")).collect()]
+    assert got[0] == pytest.approx(0.5) and got[1] < 0.5 and got[2] is None
+
+
+def test_search_checks_every_vector(spark):
+    chunks = spark.createDataFrame([(1, "a", "s", [1.0, 0.0]), (2, "b", "s", [1.0])], "id long, text string, source string, embedding array<double>")
+    asked = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, query string, q array<double>")
+    with pytest.raises(ValueError):
+        retrieval.search(chunks, asked, "dense")
+
+
+def test_bm25_bounds_change_nothing(spark):
+    """Every query's best texts are those of a plain sum over all terms."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = {i: [words[int(40 * rng.random() ** 3)] for _ in range(rng.randrange(0, 60))] for i in range(150)}
+    asked = {i: rng.sample(words, 6) + ["w0", "nowhere"] for i in range(12)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()] + [(900, None)], "doc_id long, text string")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.bm25(df, spark.createDataFrame([(i, " ".join(q)) for i, q in asked.items()], "query_id long, query string"), 5).collect()}
+    n, avg = len(docs) + 1, sum(map(len, docs.values())) / (len(docs) + 1)
+    count = {i: Counter(w) for i, w in docs.items()}
+    df_ = Counter(t for c in count.values() for t in c)
+    want = {}
+    for q, terms in asked.items():
+        score = {i: sum(math.log(1 + (n - df_[t] + 0.5) / (df_[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * len(docs[i]) / avg)) for t in set(terms) if c[t]) for i, c in count.items()}
+        best = sorted((i for i in score if score[i] > 0), key=lambda i: (-round(score[i], 9), i))[:5]
+        want |= {(q, k + 1): i for k, i in enumerate(best)}
+    assert got == want
+
+
+def test_other_gold(spark):
+    hits = spark.createDataFrame([(1, 5, 2, "the quoted evidence text here", "quoted evidence text"), (1, 6, 3, "near", "quoted evidence text"), (1, 7, 4, "far", "quoted evidence text")], "query_id long, id long, rank int, text string, evidence string")
+    centre = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, centroid array<double>")
+    vectors = spark.createDataFrame([(5, [0.0, 1.0]), (6, [0.9, 0.1]), (7, [0.0, 1.0])], "id long, v array<double>")
+    assert {(r["id"], r["kind"]) for r in golden.other_gold(hits, centre, vectors).collect()} == {(5, "strong"), (6, "similar")}
+
+
+def test_json_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "mode string, n int")
+    for _ in range(2):
+        files.append_json_lines(rows, f"{tmp_path}/lines")
+    assert files.json_lines(spark, f"{tmp_path}/lines", "mode string, n int").count() == 4
+    files.write_report(rows, f"{tmp_path}/report")
+    files.write_report(rows.filter("mode = 'b'").withColumn("n", F.lit(9)), f"{tmp_path}/report")
+    assert {tuple(r) for r in spark.read.json(f"{tmp_path}/report").select("mode", "n").collect()} == {("a", 1), ("b", 9)}
