@@ -2,11 +2,11 @@
 
 Vectors are dealt into blocks of bounded size, queries likewise; a task gets one block of each. In a
 block every dimension is a list sorted by its component. For a query the lists are read in step, from
-the end that its component's sign makes the better one; known parts of scores are summed, and each
-row has a lower bound (unread parts at their list's worst) and an upper bound (unread parts at
-the list's present value). Reading stops when neither unseen rows nor those of too small an upper
-bound can reach the k-th lower bound; the rows left get their full scores. The blocks' results,
-k rows a query and block at most, are ranked in the end.
+the end that its component's sign makes the better one; known parts of scores are summed, and what a
+row has not been met for is bounded above by the list's present value. Once the lists are half read the
+leading rows' final scores give a lower bound of the k-th score, anew at each step. Reading stops when
+unseen rows cannot reach that bound and few of those seen still can; these get their final scores.
+The blocks' results, k rows a query and block at most, are ranked in the end.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 1024
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component, x as double.
+    """vec_id, v, n: floor(scale * x) of each component, x as double, and how many rows are alike in both.
 
-    Rows with a null vec_id, a null vector, or a null or non-finite component are left out; of
-    several vectors with one vec_id the greatest stands."""
+    Rows with a null vec_id, a null vector, or a null or non-finite component are left out. Vectors so large that
+    an inner product may not fit a long are a ValueError, as a wrapped score would be wrong."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    return rows.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
+    scaled = rows.select("vec_id", F.transform("embedding", lambda x: F.lit(float(scale)) * x.cast("double")).alias("v"))
+    most, width = scaled.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))), F.max(F.size("v"))).first()
+    if most is not None and width * (most + 1) ** 2 >= 2.0**63:
+        raise ValueError(f"components up to {most} of {width} dimensions: inner products may not fit a long")
+    return scaled.select("vec_id", F.transform("v", lambda x: F.floor(x)).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("n"))
 
 
 class Lists:
@@ -37,52 +40,56 @@ class Lists:
         self.ids, self.rows = ids, rows
         order = np.argsort(rows, axis=0, kind="stable")
         values = np.take_along_axis(rows, order, axis=0).astype(np.float64)
-        self.place = np.empty_like(order)  # of each row in the ascending list of each dimension
-        np.put_along_axis(self.place, order, np.arange(len(rows))[:, None], axis=0)
         # by direction (0 ascending, 1 descending), dimension, place
         self.order, self.values = np.stack([order.T, order.T[:, ::-1]]), np.stack([values.T, values.T[:, ::-1]])
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows, the query's own left out."""
-        n = len(self.ids)
+        """Places and scores of the k best rows; rows of the query's own id are left out."""
         use = np.flatnonzero(query)
         alive = np.flatnonzero(self.ids != query_id)
         if len(use) and len(alive) > k:
-            alive = self._candidates(query, use, alive, k, n)
+            alive = self.candidates(query, use, alive, k)
         score = self.rows[alive] @ query
         top = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive][top], score[top]
+        return alive[top], score[top]
 
-    def _candidates(self, query: np.ndarray, use: np.ndarray, alive: np.ndarray, k: int, n: int) -> np.ndarray:
-        q = query[use].astype(np.float64)
+    def candidates(self, query: np.ndarray, use: np.ndarray, alive: np.ndarray, k: int) -> np.ndarray:
+        """The rows of alive that bounds cannot rule out; query's components at `use` are not 0."""
+        n, q = len(self.ids), query[use].astype(np.float64)
         way = (q > 0).astype(int)
-        worst = self.values[way, use, -1] * q
-        lower = np.full(n, worst.sum())
-        step = max(16, n // 8)
+        seen, unread = np.zeros(n), np.ones((n, len(use)))
+        slack = 0.5 + 1e-12 * float(np.abs(q) @ np.abs(self.values[0, use]).max(axis=1))  # scores are whole; sums are rounded
+        few, floor, step = max(4 * k, n // 32), -np.inf, max(16, n // 16)
         for begin in range(0, n, step):
             end = min(begin + step, n)
-            better = self.values[way, use, begin:end] * q[:, None] - worst[:, None]
-            lower += np.bincount(self.order[way, use, begin:end].ravel(), better.ravel(), minlength=n)
+            met = self.order[way, use, begin:end]
+            seen += np.bincount(met.ravel(), (self.values[way, use, begin:end] * q[:, None]).ravel(), minlength=n)
+            unread[met, np.arange(len(use))[:, None]] = 0
+            if 2 * end < n:
+                continue
+            lead = alive[np.argpartition(-seen[alive], min(2 * k, len(alive)) - 1)[: 2 * k]]
+            floor = max(floor, np.partition(self.rows[lead] @ query, len(lead) - k)[len(lead) - k] - slack)
             now = self.values[way, use, end - 1] * q  # what each list has come to
-            floor = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
-            if now.sum() < floor - 0.5:  # outsiders are out, and so are rows read too little; the rest get full scores
-                place = self.place[alive][:, use]
-                unread = np.where(way, n - 1 - place, place) >= end
-                return alive[lower[alive] + unread @ (now - worst) >= floor - 0.5]
+            if now.sum() < floor:  # rows met nowhere are out
+                alive = alive[seen[alive] + unread[alive] @ now >= floor]
+                if len(alive) <= few:
+                    break
         return alive
 
 
 def top_k(vectors: DataFrame, query_divisor: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by query_divisor its k best others.
 
-    Ties go to the smaller vec_id. A query with fewer others gets all of them. Components that a
-    shorter vector lacks count as 0. Extra columns are ignored; an empty table gives no rows."""
+    Ties go to the smaller vec_id. A query with fewer others gets all of them. Rows that share a vec_id are rows
+    like others, but never each other's results; as queries they share one list, the k best of all. Components that a
+    shorter vector lacks count as 0. Extra columns are ignored; an empty table gives no rows. Every query
+    meets every row, so rows are copied once for each QUERY_ROWS queries; equal rows travel as one."""
     rows = integer_vectors(vectors, scale)
     n = vectors.count()
     blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-n // (QUERY_ROWS * query_divisor)))
-    deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
+    deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    columns = lambda rows, b, qb, q: rows.select(F.lit(q).alias("is_query"), b.alias("block"), "vec_id", "v").withColumn("query_block", qb)
+    columns = lambda rows, b, qb, q: rows.select(F.lit(q).alias("is_query"), b.alias("block"), "vec_id", "v", "n").withColumn("query_block", qb)
     candidates = columns(rows, deal(blocks, 1), every(query_blocks), False)
     queries = columns(rows.filter(F.col("vec_id") % query_divisor == 0), every(blocks), deal(query_blocks, 2), True)
 
@@ -91,14 +98,15 @@ def top_k(vectors: DataFrame, query_divisor: int = 100, k: int = 10, scale: int
         both = np.zeros((len(part), width), dtype=np.int64)
         for i, v in enumerate(part["v"]):
             both[i, : len(v)] = v
-        is_query, ids = part["is_query"].to_numpy(), part["vec_id"].to_numpy()
+        is_query, ids, copies = part["is_query"].to_numpy(), part["vec_id"].to_numpy(), part["n"].to_numpy()
         lists = Lists(ids[~is_query], both[~is_query]) if (~is_query).any() else None
         out = []
         for i in np.flatnonzero(is_query) if lists else []:
             found, score = lists.best(ids[i], both[i], k)
-            out.append(pd.DataFrame({"query_id": ids[i], "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            out.append(pd.DataFrame({"query_id": ids[i], "vec_id": lists.ids[found], "score": score, "times": np.minimum(copies[~is_query][found] * copies[i], k)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "times": []}, dtype="int64")
 
-    scored = candidates.unionByName(queries).groupBy("block", "query_block").applyInPandas(run, "query_id long, vec_id long, score long")
+    scored = candidates.unionByName(queries).groupBy("block", "query_block").applyInPandas(run, "query_id long, vec_id long, score long, times long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spread = scored.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"))
+    return spread.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -31,19 +31,44 @@ def test_top_k(spark, monkeypatch, rows, sparse):
 
 def test_top_k_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (100, [2.0]), (0, [0.5])], "vec_id long, embedding array<double>")
-    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in exact_topk.top_k(df).collect()) == [(0, 100, 2 * 1024 * 1024), (100, 0, 2 * 1024 * 1024)]
+    one = 1024 * 1024  # both rows of vec_id 0 ask and answer
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in exact_topk.top_k(df).collect()) == [(0, 100, one), (0, 100, 2 * one), (100, 0, one), (100, 0, 2 * one)]
     assert exact_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_keeps_rows_of_one_id_and_refuses_overflow(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [3.0, 1.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [2.0, 2.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = [(i, (1024 * np.array(x)).astype(int)) for i, x in rows]
+    want = sorted(((-int(a @ b), j) for i, a in v for j, b in v if i == 0 and j != 0))[:6]
+    assert [(-r["score"], r["vec_id"]) for r in exact_topk.top_k(df, 100, 6).orderBy("rank").collect()] == want
+    with pytest.raises(ValueError):
+        exact_topk.top_k(spark.createDataFrame([(0, [1e17]), (1, [1e17])], df.schema))
+
+
 def test_lists_stop_early():
     rows = np.zeros((200, 4), dtype=np.int64)
     rows[:3, 0] = [1000, 900, 800]
     lists = exact_topk.Lists(np.arange(200), rows)
     q = np.array([1, 1, 1, 1])
-    assert len(lists._candidates(q, np.arange(4), np.arange(200), 2, 200)) < 200
+    assert len(lists.candidates(q, np.arange(4), np.arange(200), 2)) < 200
     assert lists.best(-1, q, 2)[0].tolist() == [0, 1]
 
 
+def test_bounds_leave_few_rows():
+    """On directions without any structure, too, a small share of the rows gets final scores."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2000, 64))
+    rows = np.floor(1024 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    lists = exact_topk.Lists(np.arange(2000), rows)
+    for i in range(0, 2000, 250):
+        left = lists.candidates(rows[i], np.flatnonzero(rows[i]), np.flatnonzero(lists.ids != i), 10)
+        assert len(left) <= 2000 // 16
+        score = rows @ rows[i]
+        score[i] = -(10**9)
+        assert set(np.argsort(-score, kind="stable")[:10]) <= set(left)
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow")]
 
 
