@@ -21,5 +21,8 @@ def training_labels(labels: DataFrame, column: str, modulus: int, remainder: int
 
 
 def with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """text, label of the sampled rows; the sample is bounded by its own parameter, so it is broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    """text, label, one row for each sampled id; the sample is bounded by its own parameter, so it is broadcast.
+
+    Where a doc_id repeats, its smallest text (nulls last) is the labelled one."""
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")

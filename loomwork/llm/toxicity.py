@@ -1,11 +1,12 @@
 """Toxicity with a weighted finite-state pattern grammar.
 
-A text's clauses are read as sequences of token classes (insult, threat, target, negation,
-report, other). Four transducers, composed into one, rewrite an insult or a threat by what
-stands around it: negated, reported, aimed at somebody, or plain. A clause gives the weight of
-its best path; a document's score is a logistic function of what its clauses gave, so an isolated
-word counts by the clause it stands in. The insult lexicon (weighted word stems) and the weights
-are learned from labelled rows; with none, the prior weights stand.
+A text's clauses are read as sequences of token classes. Five transducers, composed into one, rewrite
+them: insult (stronger after an intensifier), threat (stronger after an intention), reported speech,
+negation, and target. So an insult or a threat comes out plain, negated, reported or aimed at
+somebody, with the weight of its path. A document's score is a logistic function of what its matched
+clauses gave, so an isolated word counts by the clause it stands in. The insult lexicon (weighted word
+beginnings and short whole words) and the weights are learned from labelled rows; the other classes are
+fixed word lists. With no labelled row the prior weights stand.
 """
 
 from __future__ import annotations
@@ -22,17 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import small_batches
+from loomwork.llm.common import small_batches, stored
 from loomwork.llm.labelled import held_out, training_labels, with_labels
 
 # Fixed word lists in English, German, French and Spanish.
+# Threats are known by word beginnings, so that other forms of a verb count too.
 THREATS = "kill murder shoot stab hurt destroy strangle töten umbringen erschießen erstechen tuer assassiner poignarder matar asesinar apuñalar".split()
 TARGETS = "you your yours u he she they him her them dich dir du euch ihr sie toi vous te tu votre ustedes tú usted os vosotros".split()
 NEGATIONS = "not never no isn't aren't wasn't don't doesn't nicht nie kein keine niemals jamais aucun aucune nunca jamás ningún".split()
 REPORTS = "said says wrote writes called calls quoted quote claimed reported sagte schrieb nannte zitierte écrit cité appelé dijo escribió llamó citó".split()
+INTENSIFIERS = "so such really total totally complete completely utter utterly very absolute absolutely so'n echt total völlig absolut vraiment tellement complètement tan muy totalmente".split()
+INTENTIONS = "will i'll we'll gonna going shall want wants werde werden wirst wird will'n vais allons va voy vamos quiero".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "other insult threat target negation report".split()
-CLASSES = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSIFIER, INTENTION = "other insult threat target negation report intensifier intention".split()
+CLASSES = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSIFIER, INTENTION)
+WHOLE = "\0"  # ends a lexicon entry that is a whole word
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 REACH = 3
@@ -82,7 +87,7 @@ def _after(trigger: str, heads: dict[str, str], reach: int | None, labels: set[s
 
 
 def grammar() -> Transducer:
-    """The composition: reported speech, then negation, then target before insult or threat."""
+    """The composition: insult, threat, reported speech, negation, then target before insult or threat."""
     heads = (INSULT, THREAT)
     reported = {h: f"reported {h}" for h in heads}
     denied = {h: f"negated {h}" for h in heads} | {f"reported {h}": f"negated reported {h}" for h in heads}
@@ -93,7 +98,9 @@ def grammar() -> Transducer:
     speech = _after(REPORT, reported, None, one, -1.0)
     negation = _after(NEGATION, denied, REACH, two, -1.0)
     target = _after(TARGET, aimed, 2 * REACH, three, 1.0)
-    return speech.compose(negation, one).compose(target, one)
+    insult = _after(INTENSIFIER, {INSULT: INSULT}, 2, one, 1.0)
+    threat = _after(INTENTION, {THREAT: THREAT}, REACH, one, 1.0)
+    return insult.compose(threat, one).compose(speech, one).compose(negation, one).compose(target, one)
 
 
 #: The features of a document: their names and prior weights in log-odds.
@@ -112,7 +119,8 @@ def tokens_with_stems(text: str) -> set[str]:
 
 
 def _prefixes(tokens: set[str], least: int, most: int) -> set[str]:
-    return {t[:n] for t in tokens for n in range(least, min(len(t), most) + 1)}
+    """The beginnings of least to most characters, and shorter tokens as whole words."""
+    return {t[:n] for t in tokens for n in range(least, min(len(t), most) + 1)} | {t + WHOLE for t in tokens if len(t) < least}
 
 
 class Reader:
@@ -121,15 +129,20 @@ class Reader:
     def __init__(self, stems: dict[str, float]):
         self.stems, self.grammar = stems, grammar()
         self.search = ahocorasick.Automaton()
-        for x in (*stems, *THREATS):
+        for x in (*(s.rstrip(WHOLE) for s in stems), *THREATS):
             self.search.add_word(x, len(x))
         self.search.make_automaton()
-        self.kinds = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(THREATS, THREAT)
+        lists = ((INTENSIFIERS, INTENSIFIER), (INTENTIONS, INTENTION), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
+        self.kinds = {word: kind for words, kind in lists for word in words}
+        self.threats = tuple(THREATS)
         self.longest = max(map(len, stems), default=0)
 
     def insult(self, token: str) -> float:
-        """The greatest weight of the stems that the token starts with; 0 if none."""
-        return max((self.stems.get(token[:n], 0.0) for n in range(1, min(len(token), self.longest) + 1)), default=0.0)
+        """The greatest weight of the stems that the token starts with, or of the whole word; 0 if none."""
+        return max((self.stems.get(token[:n], 0.0) for n in range(1, min(len(token), self.longest) + 1)), default=0.0) or self.stems.get(token + WHOLE, 0.0)
+
+    def label(self, token: str, power: float) -> str:
+        return INSULT if power > 0 else self.kinds.get(token) or (THREAT if token.startswith(self.threats) else OTHER)
 
     def features(self, text: str) -> np.ndarray:
         """The values of FEATURES: the greatest weight of a clause (above 2.5), the summed weights of matched clauses, their rate."""
@@ -147,7 +160,7 @@ class Reader:
             read_to = clause.end()
             tokens = TOKEN.findall(clause[0])
             power = [self.insult(t) for t in tokens]
-            labels = [INSULT if p > 0 else self.kinds.get(t, OTHER) for t, p in zip(tokens, power, strict=True)]
+            labels = [self.label(t, p) for t, p in zip(tokens, power, strict=True)]
             for (label, weight), p in zip(self.grammar.read(labels), power, strict=True):
                 if label in (INSULT, f"aimed {INSULT}"):
                     strongest, evidence = max(strongest, p + 0.1 * weight), evidence + p + 0.1 * weight
@@ -158,47 +171,38 @@ class Reader:
         return np.array([1.0, max(0.0, strongest - 2.5), np.log1p(evidence), np.log1p(100 * (evidence + softened) / (words + 30)), np.log(words + 30) - 6, np.log1p(softened), aimed, threat])
 
 
-def learn_stems(rows: DataFrame, least: int = 4, longest: int = 12, most: int = 50_000, ratio: float = 4.0) -> dict[str, float]:
+def learn_stems(rows: DataFrame, least: int = 4, longest: int = 32, ratio: float = 4.0) -> dict[str, float]:
     """Word stems that mark label 1, with the log of how much more usual they are there.
 
-    rows: text, label, bounded by the caller. Stems are word beginnings of least to longest
-    characters that are in more label-1 texts than any longer beginning, at least `ratio` times as
-    usual there as elsewhere, and by more than chance allows for so many candidates (likelihood ratio).
-    At most `most` candidates, those in the most label-1 texts, come to the driver."""
-
-    def counted(wanted: int, only: set[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: Counter[str] = Counter()
-            n = 0
-            for batch in batches:
-                for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                    if (label > 0) == bool(wanted):
-                        n += 1
-                        terms = _prefixes(tokens_with_stems(text or ""), least, longest)
-                        found.update(terms if only is None else terms & only)
-            yield pa.RecordBatch.from_arrays([pa.array([*found, ""]), pa.array([*found.values(), n], pa.int64())], names=["term", "n"])
-
-        return rows.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-    toxic = {r["term"]: r["n"] for r in counted(1, None).orderBy(F.desc("n"), "term").limit(most).collect()}
-    toxic.pop("", None)
-    total = rows.groupBy((F.col("label") > 0).alias("one")).count().collect()
-    n1, n0 = (sum(r["count"] for r in total if r["one"] is v) for v in (True, False))
-    if not toxic or not n1:
+    rows: text, label, bounded by the caller. Stems are word beginnings of least to longest characters (longer
+    words are known by their first ones) that are in more label-1 texts than any longer beginning, and whole
+    words that are shorter. They are at least `ratio` times as usual in label-1 texts as elsewhere, by more
+    than chance allows for so many candidates (likelihood ratio). All candidates are counted and tested as a
+    table; only those chosen come to the driver, bounded as the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                found[int(label > 0)].update(_prefixes(tokens_with_stems(text or ""), least, longest))
+            for label, counts in enumerate(found):
+                n = [counts.values(), [0] * len(counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(n[1 - label]), pa.int64()), pa.array(list(n[label]), pa.int64())], names=["term", "t", "c"])
+
+    totals = rows.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") <= 0)).first()
+    n1, n0 = totals
+    if not n1:
         return {}
-    clean = {r["term"]: r["n"] for r in counted(0, set(toxic)).collect()}
-    longer: Counter[str] = Counter()
-    for x, t in toxic.items():
-        longer[x[:-1]] = max(longer[x[:-1]], t)
-    chosen: dict[str, float] = {}
-    for x, t in toxic.items():
-        c = clean.get(x, 0)
-        expected = (t + c) * n1 / (n0 + n1)
-        gain = 2 * (t * np.log(t / expected) + (c * np.log(c / (t + c - expected)) if c else 0.0))
-        odds = float(np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1)))
-        if longer[x] < t and odds >= np.log(ratio) and gain >= 2 * np.log(20 * len(toxic)):
-            chosen[x] = odds
-    return chosen
+    counted = stored(rows.mapInArrow(run, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t > 0"), "stems")
+    candidates = counted.count()
+    longer = counted.groupBy(F.expr("substring(term, 1, length(term) - 1)").alias("term")).agg(F.max("t").alias("longer"))
+    t, c = F.col("t"), F.col("c")
+    expected = (t + c) * n1 / (n0 + n1)
+    gain = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / (t + c - expected))).otherwise(0.0))
+    odds = F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))
+    tested = counted.join(longer, "term", "left").select("term", odds.alias("odds"), gain.alias("gain"), (F.coalesce("longer", F.lit(0)) < t).alias("whole"))
+    chosen = tested.filter(F.col("whole") & (F.col("odds") >= float(np.log(ratio))) & (F.col("gain") >= float(2 * np.log(20 * max(candidates, 1)))))
+    return {r["term"]: r["odds"] for r in chosen.select("term", "odds").collect()}
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, pull: float = 0.1) -> np.ndarray:
@@ -219,7 +223,7 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, pull: float = 0.1) ->
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, most_rows: int = 20_000) -> Model:
     """A model from at most most_rows labelled rows outside the held-out fold."""
     small_batches(spark)
-    rows = with_labels(docs, training_labels(labels, "toxic", modulus, remainder, most_rows))
+    rows = stored(with_labels(docs, training_labels(labels, "toxic", modulus, remainder, most_rows)), "labelled")
     stems = learn_stems(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +232,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int
             x = [reader.features(t or "").tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], names=["x", "label"])
 
-    got = rows.mapInArrow(run, "x array<double>, label int").limit(4 * most_rows).toPandas()
+    got = rows.mapInArrow(run, "x array<double>, label int").toPandas()  # a row for each sampled id: most_rows at most
     if not len(got):
         return Model(stems)
     return Model(stems, fit_weights(np.array(got["x"].tolist()), (got["label"].to_numpy() > 0).astype(float)))
