@@ -2,12 +2,15 @@
 
 Each DOM node has a density: its characters per tag, lowered by the share of its text that is in
 links. The node whose block children's densities sum to the most starts the article; the least
-density on its path up to body is the threshold. The article grows up that path to the
-highest node under which another branch reaches the threshold, but not out of an element that
-HTML itself marks as an article. Nodes that never hold article text (menus, forms, scripts,
-adverts, notices, comments and the like, by element and by the words of class, id and role) are
-left out before densities are computed, and inside the chosen subtree too; a node that is so
-named but holds most of the page's text in several paragraphs stays.
+density on its path up to body is the threshold. The article grows up that path to the highest node
+under which another branch reaches the threshold, is a headline, or has text but no link; branches
+of mostly links stay out. It does not grow out of an element that HTML itself marks as an article.
+
+Nodes that never hold article text are left out before densities are computed, and inside the chosen
+subtree too: by element (menus, forms, scripts and the like), and by the words of class, id and role.
+Such words count as parts of a name on containers, but only as whole names on paragraphs, headings and inline
+elements. A container named for its place (header, sidebar, ...) that holds an article, main or
+h1 element, and all of them if they leave the page without a paragraph, are read like others.
 """
 
 from __future__ import annotations
@@ -35,22 +38,27 @@ CLOSE_P = BLOCKS - {"br", "body", "html", "li", "dd", "dt", "td", "th", "tr", "t
 SCOPES = frozenset("table ul ol dl div section article main aside nav header footer form body html td th blockquote figure".split())
 FORMATS = frozenset("a b big code em font i s small span strike strong sub sup tt u abbr cite label mark q".split())
 SKIPPED = frozenset("script style noscript template head title iframe object svg canvas form button select textarea input nav footer aside dialog menu audio video map datalist".split())
-NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|masthead|topbar|toolbar|"
-    r"comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|"
-    r"related|recommended|widget|pagination|pager|tags|form)(?:$|[-_\s\d])",
-    re.IGNORECASE,
-)
+PLACES = r"nav|navbar|navigation|menu|sidebar|side|aside|footer|foot|header|masthead|topbar|toolbar|banner|widget|overlay|modal|popup|search|share|sharing|social|tags|form"
+NEVER = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumbs?|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|signup|login|related|recommended|pagination|pager"
+PLACE, PURPOSE = (re.compile(rf"(?:^|[-_\s])(?:{words})(?:$|[-_\s\d])", re.IGNORECASE) for words in (PLACES, NEVER))
+WHOLE_NAME = re.compile(rf"(?:{PLACES}|{NEVER})\d*", re.IGNORECASE)
+#: Names of an article's own parts, and of pages that have a sidebar or the like.
+OWN_PARTS = re.compile(r"\b(?:(?:post|article|entry|story|content)[-_]?(?:header|head|title|body|content|text|footer)|(?:with|has|no)[-_]\w+)\b", re.IGNORECASE)
+HEAD_ELEMENTS = frozenset("base link meta title style script noscript template head".split())
+HEADLINES = frozenset("h1 h2 h3".split())
+#: Elements on which only a whole name counts.
+TEXTUAL = FORMATS | frozenset("p h1 h2 h3 h4 h5 h6 a li td th tr dt dd blockquote pre img figcaption".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
+TITLE = re.compile(r"<title\b[^>]*>", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "noise", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "noise", "placed", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, noise: bool):
-        self.tag, self.noise = tag, noise
+        self.tag, self.noise, self.placed = tag, noise, False
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -64,17 +72,28 @@ class Tree(HTMLParser):
         self.root = Node("html", False)
         self.open = [self.root]
 
-    def _noise(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SKIPPED:
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
+    def _judge(self, node: Node, attrs: list[tuple[str, str | None]]) -> None:
+        """Sets noise, and placed where only a name of a place says so."""
+        if node.tag in SKIPPED:
+            node.noise = True
+            return
+        if node.tag in ("html", "body", "article", "main"):
+            return
         for name, value in attrs:
-            if value and (name in ("class", "id") and NOISE.search(CAMEL.sub("-", value)) or name == "role" and value.lower() in NOISE_ROLES):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-        return tag == "header" and not any(x.tag in ("article", "main") for x in self.open)
+            if name in ("class", "id") and value:
+                value = CAMEL.sub("-", OWN_PARTS.sub(" ", value))
+                if node.tag in TEXTUAL:
+                    node.noise |= any(map(WHOLE_NAME.fullmatch, value.split()))
+                else:
+                    node.placed |= bool(PLACE.search(value))
+                    node.noise |= bool(PURPOSE.search(value))
+            elif name == "role" and value and value.lower() in NOISE_ROLES:
+                node.noise = True
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
+                node.noise = True
+        node.noise |= node.tag == "header" and not any(x.tag in ("article", "main") for x in self.open)
+        node.placed &= not node.noise
+        node.noise |= node.placed
 
     def _close_to(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -85,10 +104,15 @@ class Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD_ELEMENTS and tag != "html":  # what cannot be in head ends it
+            for i, x in enumerate(self.open):
+                if x.tag == "head":
+                    del self.open[i:]
+                    break
         if tag in ("html", "body"):
             if tag == "body" and not any(x.tag == "body" for x in self.open):
                 del self.open[1:]
-                self._push(tag, False)
+                self._push(tag, [])
             return
         if tag in CLOSE_P:
             self._close_to(("p",), SCOPES)
@@ -99,7 +123,7 @@ class Tree(HTMLParser):
                 self.open.pop()
             if tag in CLOSE_P:
                 self._close_to(("p",), SCOPES)
-        self._push(tag, self._noise(tag, attrs))
+        self._push(tag, attrs)
         if tag in VOID:
             self.open.pop()
 
@@ -108,8 +132,9 @@ class Tree(HTMLParser):
         if tag not in VOID and self.open[-1].tag == tag and tag not in ("p", "div", "span", "b", "script"):
             self.open.pop()
 
-    def _push(self, tag: str, noise: bool) -> None:
-        node = Node(tag, noise)
+    def _push(self, tag: str, attrs: list) -> None:
+        node = Node(tag, False)
+        self._judge(node, attrs)
         self.open[-1].kids.append(node)
         self.open.append(node)
 
@@ -128,31 +153,34 @@ class Tree(HTMLParser):
             self.open[-1].kids.append(data)
 
 
-def _keep_large(root: Node) -> None:
-    """A node that is noise by its name only, but holds over half of the page's text, is none."""
-    order, todo = [], [root]
+def _below(node: Node, within: bool = True) -> Iterator[Node]:
+    """The elements below a node; noise and what is in it only if asked for."""
+    todo = [k for k in node.kids if isinstance(k, Node)]
     while todo:
-        node = todo.pop()
-        if node.tag not in SKIPPED:
-            order.append(node)
-            todo += [k for k in node.kids if isinstance(k, Node)]
-    size: dict[int, int] = {}
-    for node in reversed(order):
-        size[id(node)] = sum(len(k.strip()) if isinstance(k, str) else size.get(id(k), 0) for k in node.kids)
+        k = todo.pop()
+        if within or not k.noise:
+            yield k
+            todo += [x for x in k.kids if isinstance(x, Node)]
+
+
+def _keep_wrappers(root: Node) -> None:
+    """Containers with the name of a place that hold the article are read like others."""
+    order = [root, *_below(root)]
+    holds: set[int] = set()
+    for node in reversed(order):  # what is below comes later in order
+        if any(isinstance(k, Node) and (k.tag in ("article", "main", "h1") and not k.noise or id(k) in holds and (k.placed or not k.noise)) for k in node.kids):
+            holds.add(id(node))
     for node in order:
-        if node.noise and 2 * size[id(node)] > size[id(root)] and _wraps(node):
+        if node.placed and id(node) in holds:
             node.noise = False
+    if not any(k.tag in ("p", "article", "main") and _has_text(k) for k in _below(root, within=False)):
+        for node in order:
+            if node.placed:
+                node.noise = False
 
 
-def _wraps(node: Node) -> bool:
-    """Whether a node holds an article or several paragraphs, as page-wide wrappers do."""
-    found, todo = 0, list(node.kids)
-    while todo:
-        k = todo.pop()
-        if isinstance(k, Node):
-            found += 1 if k.tag == "p" else 2 if k.tag in ("article", "main") else 0
-            todo += k.kids
-    return found > 1
+def _has_text(node: Node) -> bool:
+    return any(isinstance(k, str) and k.strip() for x in (node, *_below(node, within=False)) for k in x.kids)
 
 
 def _measure(root: Node) -> None:
@@ -214,8 +242,11 @@ def _main(root: Node) -> Node:
     threshold = min(n.density for n in path)
     chosen = best
     for below, node in zip(path, path[1:], strict=False):
-        if any(k is not below and k.density >= threshold for k in _branches(node)):
+        others = [k for k in _branches(node) if k is not below]
+        if any(k.density >= threshold or k.tag in HEADLINES or not k.link_chars for k in others):
             chosen = node
+            for k in others:
+                k.noise = 2 * k.link_chars > k.chars and k.density < threshold
     return chosen
 
 
@@ -239,10 +270,16 @@ def main_text(html: str | None) -> str:
     """The article of a page; empty for null, for no markup with text, or if all is noise."""
     if not html:
         return ""
+    cut = html.rfind("<!--")
+    if cut >= 0 and html.find("-->", cut) < 0:  # a comment without end goes on to the end
+        html = html[:cut]
+    open_title = list(TITLE.finditer(html))
+    if open_title and html.lower().find("</title", open_title[-1].end()) < 0:  # a title without end is no title
+        html = html[: open_title[-1].start()] + html[open_title[-1].end() :]
     tree = Tree()
     tree.feed(html)
     tree.close()
-    _keep_large(tree.root)
+    _keep_wrappers(tree.root)
     _measure(tree.root)
     return _text(_main(tree.root)) if tree.root.chars else ""
 

@@ -105,6 +105,61 @@ def test_main_text(html, expected):
     assert html_text.main_text(html) == expected
 
 
+LONG = "<p>A long paragraph of the story, with many words in it, as stories have.</p>" * 3
+STORY = " ".join(["A long paragraph of the story, with many words in it, as stories have."] * 3)
+
+
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ("<head><title>t</title><p>Hello there", "Hello there"), ("<title>t<body><p>Hello there</p>", "Hello there"), ("<p>Hello there</p><!-- <p>gone</p>", "Hello there"),
+        (f"<article>{LONG}<p id='share-price'>It rose.</p></article>", f"{STORY} It rose."), (f"<div class='post-header'><h1>Head</h1></div><div>{LONG}</div>", f"Head {STORY}"),
+        (f"<div class=page><h2>Head</h2><div>{LONG}</div><div>The end.</div><ul><li><a href=x>More like this</a></ul></div>", f"Head {STORY} The end."),
+        (f"<div class='has-sidebar'><div>{LONG}</div><div class='sidebar'><p>Side text</p></div></div><p>x</p>", f"{STORY} x"),
+        (f"<div id=header><article>{LONG}</article><p>And more of it than there was.</p></div>", STORY), (f"<div class='sidebar'>{LONG}</div>", STORY),
+        (f"{LONG}<p class='notice'>We use them.</p><section id=comments>{LONG}{LONG}{LONG}</section>", STORY),
+    ],
+)
+def test_main_text_of_other_markup(html, expected):
+    assert html_text.main_text(html) == expected
+
+
+def plain_densities(html):
+    """The measures of well-formed markup, by the definition, with recursion over a second parser's tree."""
+    import math
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(html)
+    text = lambda n: "".join("".join(n.itertext()).split())
+    links = lambda n: "".join(text(a) for a in n.iter("a") if a is not n)
+    share = len(links(root)) / len(text(root))
+    out = {}
+    for n in root.iter():
+        if n.tag == "a" or not text(n):
+            continue
+        c, t = len(text(n)), max(sum(1 for _ in n.iter()) - 1, 1)
+        lc, lt = len(links(n)), max(sum(1 for a in n.iter("a") if a is not n), 1)
+        base = math.log(c * max(lc, 1) / max(c - lc, 1) + share * c + math.e)
+        out.setdefault(n.tag, []).append(c / t * max(math.log(c / max(lc, 1) * t / lt) / math.log(base), 0))
+    return out
+
+
+def test_densities_are_those_of_the_definition():
+    html = "<body><div><p>Some words of text here</p><p>More <a>link text</a> here</p></div><section><a>one link</a><a>two</a></section><p>end</p></body>"
+    tree = html_text.Tree()
+    tree.feed(html)
+    html_text._measure(tree.root)
+    body = tree.root.kids[0]
+    got = {}
+    for n in (body, *html_text._below(body)):
+        if n.tag != "a":
+            got.setdefault(n.tag, []).append(n.density)
+    want = plain_densities(html)
+    assert {k: sorted(v) for k, v in got.items()} == {k: pytest.approx(sorted(v)) for k, v in want.items()}
+    best = max((body, *html_text._below(body)), key=lambda n: n.sum)
+    assert best.sum == pytest.approx(max(sum(want["p"][:2]), want["div"][0] + want["section"][0] + want["p"][2]))
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>é</p>", "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect()] == [(1, "é", 1), (None, "", 0)]
