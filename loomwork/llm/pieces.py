@@ -1,9 +1,11 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie, with byte fallback.
 
-The pieces, their log scores and kinds are read from a model file, whose path is a parameter. Spaces
-become markers and one marker goes before the text. No piece has a marker after another character,
-so the best path of a text is the best paths of its words one after another; words are
-encoded once for each task while they are in its bounded memory. A character that no piece covers costs
+The pieces, their log scores and kinds are read from a model file, whose path is a parameter. A model that
+was made by merges has ranks instead of log scores; they are turned into log scores by the law of rank
+and frequency, log(1 / (rank + 1)) less a constant that makes the shares sum to 1. No score is trained here.
+Spaces become markers and one marker goes before the text. Where no piece has a marker after another
+character, which is tested when a model is loaded, the best path of a text is the best paths of its words
+one after another, and words are encoded once for each task while they are in its bounded memory. A character that no piece covers costs
 10 less than the least score and is written as its UTF-8 bytes' pieces.
 """
 
@@ -22,6 +24,7 @@ from loomwork.llm.common import small_batches
 
 MARK = "▁"
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+MERGES = 2  # a model's type
 UNKNOWN_PENALTY = 10.0
 MEMORY_WORDS = 500_000
 GROUP_CHARS = 2_000_000
@@ -51,10 +54,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 def read_pieces(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, kind) of a SentencePiece model file, in the order of ids."""
+    """(piece, log score, kind) of a SentencePiece model file, in the order of ids.
+
+    A model that rewrites characters (a normaliser with a map) is a ValueError, as texts are encoded as they are."""
+    found, merged = [], False
     with open(path, "rb") as file:
-        found = [dict(_fields(value)) for number, value in _fields(file.read()) if number == 1]
-    return [(x[1].decode(), struct.unpack("<f", x[2])[0] if 2 in x else 0.0, x.get(3, NORMAL)) for x in found]
+        for number, value in _fields(file.read()):
+            if number == 1:
+                x = dict(_fields(value))
+                found.append((x[1].decode(), struct.unpack("<f", x[2])[0] if 2 in x else 0.0, x.get(3, NORMAL)))
+            elif number == 2:
+                merged = dict(_fields(value)).get(3) == MERGES
+            elif number == 3 and dict(_fields(value)).get(2):
+                raise ValueError(f"{path} rewrites characters before encoding")
+    return log_scores(found) if merged else found
+
+
+def log_scores(ranked: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """Pieces whose scores are negated ranks, with log scores by the law of rank and frequency."""
+    total = sum(1 / (1 - s) for _, s, kind in ranked if kind == NORMAL)
+    return [(p, -float(np.log((1 - s) * total)) if kind == NORMAL else s, kind) for p, s, kind in ranked]
 
 
 def double_array(keys: dict[bytes, int]) -> tuple[array, array, array]:
@@ -125,6 +144,7 @@ class Vocabulary:
     value: array
     byte_ids: list[int]
     unknown: int
+    by_words: bool = True  # whether no piece goes from one word into the next
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -137,7 +157,7 @@ class Vocabulary:
                 byte_ids[int(p[3:5], 16)] = i
             plain.append(bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER_DEFINED) else b"")
         unknown = next((i for i, (_, _, kind) in enumerate(found) if kind == 2), 0)
-        return cls(plain, [s for _, s, _ in found], *double_array(keys), byte_ids, unknown)
+        return cls(plain, [s for _, s, _ in found], *double_array(keys), byte_ids, unknown, not any(MARK in p.lstrip(MARK) for p, _, kind in found if kind in (NORMAL, USER_DEFINED)))
 
 
 class Coder:
@@ -266,7 +286,7 @@ class Coder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids (32-bit) of each text. The words that are new go through the trie together."""
-        keys = [self.keys(t) for t in texts]
+        keys = [self.keys(t) if self.v.by_words else [t] * bool(t) for t in texts]
         words = self.words
         if len(words) > MEMORY_WORDS:
             words.clear()

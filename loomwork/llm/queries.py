@@ -26,11 +26,13 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table has audio, so a recording is rendered for each embedding; every recording is indexed."""
+    """No table has audio, so two takes are rendered of each embedding (ids 2 * vec_id and 2 * vec_id + 1).
+
+    Every recording is indexed; the first takes of vec_ids divisible by 50 are the queries."""
     vectors = table(spark, sf_dir, "embeddings")
     levels = chroma.fit_levels(chroma.rendered(chroma.sampled(vectors, "vec_id")))  # so only the sample is rendered for it
     marks = stored(chroma.fingerprints(chroma.rendered(vectors), levels), "fingerprints")
-    return chroma.align(marks, query_divisor=50)
+    return chroma.align(marks, query_divisor=100)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,14 +283,35 @@ def test_mixed_uses_whole_documents(spark):
     assert abs(words - target) <= 41 and mixing.mixed(df.limit(0)).count() == 0
 
 
-def test_chroma_alignment(spark):
-    df = spark.createDataFrame([(i, [0.1 * (i % 7)]) for i in range(100)] + [(None, [1.0]), (500, None)], "vec_id long, embedding array<double>")
-    media = chroma.rendered(df)
-    marks = chroma.fingerprints(media, chroma.fit_levels(media, 64))
-    got = {(r["query_id"], r["match_id"]): r["offset"] for r in chroma.align(marks).collect()}
-    want = {(q, i): i % 3 - q % 3 for q in (0, 50) for i in range(100) if i // 8 == q // 8 and i != q}
-    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
-    assert all(got[k] == want[k] for k in got)
+def all_matches(marks, divisor, most_error=0.2, least_overlap=8):
+    """Every pair and every offset, by counting bits."""
+    words = {r["id"]: np.array(r["words"], dtype=np.uint32) for r in marks if len(r["words"]) >= least_overlap}
+    out = {}
+    for q, a in words.items():
+        for i, b in words.items():
+            if q % divisor == 0 and q != i:
+                for o in range(least_overlap - len(a), len(b) - least_overlap + 1):
+                    x, y = a[max(0, -o) :], b[max(0, o) :]
+                    n = min(len(x), len(y))
+                    error = np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)
+                    if n >= least_overlap and error <= most_error:
+                        out.setdefault((q, i), set()).add(o)
+    return out
+
+
+def test_chroma_alignment_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(30, 64))
+    v[10:16] = v[:6] + rng.normal(size=(6, 64)) * np.linspace(0.02, 0.25, 6)[:, None]  # from near to at the limit
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, x.tolist(), "x") for i, x in enumerate(v)] + [(None, [1.0], "x"), (500, None, "x"), (501, [1.0, None], "x")]
+    media = chroma.rendered(spark.createDataFrame(rows, "vec_id long, embedding array<double>, audio string"))
+    marks = chroma.fingerprints(media, chroma.fit_levels(media, 64)).cache()
+    got = {(r["query_id"], r["match_id"]): r["offset"] for r in chroma.align(marks, 4).collect()}
+    want = all_matches(marks.collect(), 4)
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want) and len(want) > 15
+    assert all(got[k] in want[k] for k in got)
+    assert {(q, q + 1) for q in range(0, 60, 4)} <= set(got)  # the other take
     assert chroma.align(marks.limit(0)).count() == 0
 
 
@@ -299,3 +320,18 @@ def test_chroma_copies_are_one_class(spark):
     df = spark.createDataFrame([(i, bytearray(media)) for i in (0, 1, 50)] + [(7, None), (8, bytearray(b"x"))], "id long, audio binary")
     got = chroma.align(chroma.fingerprints(df, chroma.fit_levels(df))).collect()
     assert sorted((r["query_id"], r["match_id"], r["class_size"], r["offset"], r["bit_error"]) for r in got) == [(0, 0, 3, 0, 0.0), (50, 0, 3, 0, 0.0)]
+
+
+def test_ranks_become_log_scores():
+    ranked = [("<unk>", 0.0, 2), ("a", 0.0, 1), ("b", -1.0, 1), ("c", -3.0, 1)]
+    got = pieces.log_scores(ranked)
+    assert sum(np.exp(s) for _, s, kind in got if kind == 1) == pytest.approx(1) and got[0] == ranked[0]
+    assert np.exp(got[1][1] - got[3][1]) == pytest.approx(4)
+
+
+def test_pieces_over_spaces_are_not_cut_at_them():
+    found = [("<unk>", 0.0, 2)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] + [("▁a", -1.0, 1), ("▁b", -1.0, 1), ("▁a▁b", -1.5, 1)]
+    keys = {p.encode(): i for i, (p, _, kind) in enumerate(found) if kind == 1}
+    plain = [bytes([i - 1]) if 1 <= i <= 256 else p.replace("▁", " ").encode() if kind == 1 else b"" for i, (p, _, kind) in enumerate(found)]
+    make = lambda by_words: pieces.Coder(pieces.Vocabulary(plain, [s for _, s, _ in found], *pieces.double_array(keys), list(range(1, 257)), 0, by_words))
+    assert list(make(False).encode("a b")) == [259] and list(make(True).encode("a b")) == [257, 258] and make(False).decode([259]) == "a b"
