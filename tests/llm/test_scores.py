@@ -79,3 +79,64 @@ def test_held_out(spark):
 
     got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", held_out(5, 0).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def plain_rewrite(labels):
+    """The five passes one after another, over the whole sequence each, without states or composition."""
+    steps = [("intensifier", {"insult": "insult"}, 2, 1.0), ("intention", {"threat": "threat"}, 3, 1.0)]
+    steps.append(("report", {"insult": "reported insult", "threat": "reported threat"}, None, -1.0))
+    steps.append(("negation", {f"{a}{h}": f"negated {a}{h}" for a in ("", "reported ") for h in ("insult", "threat")}, 3, -1.0))
+    steps.append(("target", {h: f"aimed {h}" for h in ("insult", "threat")}, 6, 1.0))
+    now, weight = list(labels), [0.0] * len(labels)
+    for trigger, heads, reach, gain in steps:
+        out, left = [], 0
+        for i, x in enumerate(now):
+            if left and x in heads:
+                out.append(heads[x])
+                weight[i] += gain
+                continue  # a head leaves the reach as it is
+            out.append(x)
+            left = (reach or 1) if x == trigger else left if reach is None else max(0, left - 1)
+        now = out
+    return list(zip(now, weight, strict=True))
+
+
+def test_composition_is_the_passes_one_after_another():
+    rng = random.Random(3)
+    g = toxicity.grammar()
+    for _ in range(400):
+        labels = [rng.choice(toxicity.CLASSES) for _ in range(rng.randrange(1, 14))]
+        assert g.read(labels) == plain_rewrite(labels)
+
+
+def test_lexicon_has_no_cap_and_short_words_are_whole(spark):
+    rows = [(f"bad{i}word{i} ork fill{i}", 1) for i in range(3000) for _ in range(2)] + [(f"orkan fill{i} good", 0) for i in range(3000)]
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "text string, label int"))
+    assert "ork" + toxicity.WHOLE in stems and "good" not in stems and not any("fill".startswith(s) for s in stems)
+    reader = toxicity.Reader(stems)
+    assert reader.insult("ork") > 0 and reader.insult("orkan") == 0
+
+
+def test_quality_equals_plain_algebra(spark):
+    """The summed normal equations against one solution over all rows, and calibration by the min-max formula."""
+    docs, labels = corpus(spark, lambda w, rng: " ".join(x.upper() if rng.random() < 0.3 else x for x in w) + "!")
+    labels = labels.withColumn("quality", 1 - F.col("quality"))
+    model = quality.train(spark, docs, labels, waves=24)
+    rows = docs.join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id").filter(~held_out(5, 0)).select("text", "y").collect()
+    x, y = np.array([quality.statistics(r["text"]) for r in rows]), np.array([r["y"] for r in rows], dtype=float)
+    assert model.centre == pytest.approx(x.mean(axis=0)) and model.scale == pytest.approx(np.maximum(x.std(axis=0), 1e-6))
+    fold = np.array([r["f"] for r in spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(F.pmod(F.xxhash64("x"), F.lit(quality.FOLDS)).alias("f")).collect()])
+    z = model.features(x)
+    solve = lambda use, s: np.linalg.solve(z[use].T @ z[use] + s * np.eye(z.shape[1]), z[use].T @ y[use])
+    held = {s: np.array([z[i] @ w for f in range(quality.FOLDS) for w in [solve(fold != f, s)] for i in np.flatnonzero(fold == f)]) for s in quality.STRENGTHS}
+    target = np.concatenate([y[fold == f] for f in range(quality.FOLDS)])
+    best = min(held, key=lambda s: ((held[s] - target) ** 2).sum())
+    assert model.weights == pytest.approx(solve(fold >= 0, best), abs=1e-6)
+    at = np.clip(((held[best] + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    used = np.unique(at)
+    good, total = np.array([target[at == b].sum() for b in used]), np.array([(at == b).sum() for b in used])
+    mean = lambda a, b: good[a : b + 1].sum() / total[a : b + 1].sum()
+    fitted = np.array([max(min(mean(a, b) for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))])
+    blocks = [np.flatnonzero(np.isclose(fitted, v)) for v in np.unique(fitted.round(12))]
+    assert model.value == pytest.approx([(good[b].sum() + 0.5) / (total[b].sum() + 1) for b in blocks])
+    assert model.at == pytest.approx([((used[b] + 0.5) / quality.BINS * 2 - 0.5) @ total[b] / total[b].sum() for b in blocks])
