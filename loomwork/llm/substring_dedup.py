@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import KEY, keyed, small_batches, stored
-from loomwork.llm.wordstream import Words, chunks, grams
+from loomwork.llm.wordstream import SPACE, Words, chunks, grams
 
 PREFIX = 6
 LONGER = (8, 12)
@@ -196,11 +196,9 @@ def numbered(words: Words) -> np.ndarray:
     _, first, rank = np.unique(words.hash, return_index=True, return_inverse=True)
     length = words.end - words.start
     same = length == length[first][rank]
-    if same.all() and len(rank):
-        at = np.repeat(words.start, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        model = words.start[first][rank]
-        of = np.repeat(model, length) + at - np.repeat(words.start, length)
-        same = words.data[at] == words.data[of]
+    if same.all() and len(rank):  # each byte against that of the word's first occurrence
+        at = np.flatnonzero(~SPACE[words.data])
+        same = words.data[at] == words.data[at + np.repeat(words.start[first][rank] - words.start, length)]
     if same.all():
         return rank
     spelt = [words.data[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
