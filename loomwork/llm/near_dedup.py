@@ -9,10 +9,14 @@ are far below the threshold (six standard errors); the rest are confirmed on ful
 How groups of any size are handled:
   * equal sets collapse to one representative before banding, with map-side combining;
   * in a band, each document is first compared with the band's smallest document only;
-  * bands whose documents are still in several components are compared by sketch, in tiles of
+  * documents of bands that are still in several components are sorted by their sketches, in
+    several orders, and compared with those beside them: a bounded number each, whatever the band;
+  * bands whose documents are then still in several components are compared by sketch, in tiles of
     bounded size, which give only enough pairs to connect what the sketches allow: the families;
   * a family's documents are compared on full sets, again in tiles, which give only enough links
     to join its components. So no step writes the pairs of a group.
+Tiles leave out pairs within the largest component of a band or family: where g documents have r
+outside of it, they take about (2 r g + r * r) / TILE rows.
 No candidate is dropped by a cap. A link at similarity 0.85 is missed with probability
 (1 - 0.85**4)**32, below 1e-10.
 """
@@ -36,6 +40,7 @@ ROWS_PER_BAND = 4
 BANDS = BUCKETS // ROWS_PER_BAND
 EMPTY = 0xFFFF
 TILE = 512
+ORDERS, BESIDE = 8, 2
 CENTRE_ROWS = 256
 
 
@@ -67,12 +72,27 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates for rows of registers, corrected for the registers equal by chance."""
+#: By the logarithm of two sets' shingles in all: the mean width of a mantissa's cell, weighted by where the smaller of their smallest hashes falls.
+LOG_SIZES = np.linspace(1, 48, 47 * 16 + 1)
+_low, _rate = 2.0 ** -np.arange(1, 60), 2.0 ** LOG_SIZES[:, None] / BUCKETS
+CELL_WIDTHS = (_low / 2**MANTISSA_BITS * (np.exp(-_rate * _low) - np.exp(-2 * _rate * _low))).sum(axis=1) / -np.expm1(-_rate[:, 0])
+
+
+def collisions(n_a: np.ndarray | float, n_b: np.ndarray | float) -> np.ndarray:
+    """The chance that a used register is equal for disjoint sets of n_a and n_b shingles.
+
+    A bucket's smallest hash is exponential with the set's shingles a bucket as its rate; two of them
+    fall into one cell with the product of their densities times the cell's width."""
+    both = np.add(n_a, n_b, dtype=np.float64)
+    return n_a / both * n_b / BUCKETS * np.interp(np.log2(both), LOG_SIZES, CELL_WIDTHS)
+
+
+def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray | float = 2.0**20, n_b: np.ndarray | float = 2.0**20) -> np.ndarray:
+    """Jaccard estimates for rows of registers of sets of n_a and n_b shingles, corrected for the registers equal by chance."""
     used = (a != EMPTY) | (b != EMPTY)
     same = ((a == b) & used).sum(axis=-1)
     n = np.maximum(used.sum(axis=-1), 1)
-    chance = 2.0 ** -(MANTISSA_BITS + 1.5)  # equal zeros in about a third of pairs, then equal mantissas
+    chance = collisions(n_a, n_b)
     return (same / n - chance) / (1 - chance)
 
 
@@ -114,7 +134,7 @@ def plausible(pairs: DataFrame, threshold: float) -> DataFrame:
             if batch.num_rows:
                 a, b = _regs(batch.column("regs_a")), _regs(batch.column("regs_b"))
                 n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                keep = (estimates(a, b) >= least_estimate(threshold, a, b)) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
+                keep = (estimates(a, b, n_a, n_b) >= least_estimate(threshold, a, b)) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
@@ -166,15 +186,54 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def _by_tiles(members: DataFrame, key: str, columns: list[str], pairs: Callable[[np.ndarray, list[tuple]], list[tuple[int, int]]]) -> DataFrame:
-    """a, b: what `pairs` gives for each two tiles of each key's documents.
+def neighbours(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: one pair for each two components with documents beside each other in an order of the sketches that allow the threshold.
+
+    members: doc_id, component, n_shingles, regs. Each order starts at another band, so documents that agree there and
+    further on stand together. A document gives at most ORDERS * BESIDE pairs. It only spares work: pairs that it does not see, such
+    as those over two partitions, are left to the tiles."""
+    start = F.col("turn") * (2 * BUCKETS // ORDERS)
+    turned = members.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    turned = turned.select("turn", F.concat(F.substring("regs", start + 1, F.lit(2 * BUCKETS)), F.substring("regs", F.lit(1), start)).alias("regs"), "doc_id", "component", "n_shingles")
+    ordered = turned.repartitionByRange("turn", "regs").sortWithinPartitions("turn", "regs")
 
-    members: key, size, doc_id and columns. A key of g documents has ceil(g / TILE) tiles; a task
-    holds two tiles at a time, whatever g is. pairs gets each row's tile and the rows."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = members.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keyed = spread.select(F.col(key).alias("key"), F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", *columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            held = rows[0].slice(max(rows[0].num_rows - BESIDE, 0))
+            turn, doc, component, n = (rows[0].column(c).to_numpy() for c in ("turn", "doc_id", "component", "n_shingles"))
+            regs = _regs(rows[0].column("regs"))
+            for step in range(1, BESIDE + 1):
+                i = np.flatnonzero((turn[step:] == turn[:-step]) & (component[step:] != component[:-step]))
+                j = i + step
+                likely = estimates(regs[i], regs[j], n[i], n[j])
+                keep = (likely >= least_estimate(threshold, regs[i], regs[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+                i, j, likely = i[keep], j[keep], likely[keep]
+                columns = [f(x[i], x[j]) for x in (component, doc) for f in (np.minimum, np.maximum)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(likely)], names=["low", "high", "a", "b", "likely"])
+
+    found = ordered.mapInArrow(run, "low long, high long, a long, b long, likely double")
+    return found.groupBy("low", "high").agg(F.max(F.struct("likely", "a", "b")).alias("best")).select("best.a", "best.b")
+
+
+def _by_tiles(members: DataFrame, key: str, carried: DataFrame, columns: list[str], pairs: Callable[[np.ndarray, list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """a, b: what `pairs` gives for each two tiles of each key's documents, but for tiles of its largest component, the main one.
+
+    members: key, doc_id, component; carried: doc_id and what else `columns` name. A key's documents up to TILE are one
+    tile. Of more, those outside the main component and those in it have tiles of their own; the former meet all,
+    the latter only the former. A task holds two tiles at a time, whatever the key's size. pairs gets each row's tile and the rows."""
+    counts = members.groupBy(key, "component").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(key).agg(F.sum("n").alias("size"), F.max("n").alias("main_size"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("size > main_size")
+    few, inside = F.col("size") <= TILE, F.col("component") == F.col("main")
+    n_out, n_main = (F.ceil(n / TILE).cast("int") for n in (F.col("size") - F.col("main_size"), F.col("main_size")))
+    own = F.when(few, 0).when(inside, n_out + F.pmod(F.xxhash64("doc_id"), n_main)).otherwise(F.pmod(F.xxhash64("doc_id"), n_out)).cast("int")
+    last = F.when(few, 0).when(inside, n_out - 1).otherwise(n_out + n_main - 1)
+    placed = members.join(sizes, key).select(F.col(key).alias("key"), "doc_id", "component", own.alias("own"), last.alias("last"))
+    spread = placed.join(carried, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    keyed = spread.select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), "own", *columns)
     ordered = keyed.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +263,7 @@ def _spanning(own: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray,
         at = np.flatnonzero((root != root[i]) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9))
         at = at[own[at] > own[i]] if apart else at[at > i]
         if len(at):
-            likely = estimates(regs[at], regs[i])
+            likely = estimates(regs[at], regs[i], n[at], n[i])
             keep = likely >= least_estimate(threshold, regs[at], regs[i])
             at = at[keep][np.argsort(-likely[keep], kind="stable")]
         while len(at):
@@ -216,10 +275,10 @@ def _spanning(own: np.ndarray, ids: np.ndarray, root: np.ndarray, n: np.ndarray,
     return out
 
 
-def families(members: DataFrame, threshold: float) -> DataFrame:
+def families(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """a, b: pairs of components, enough to connect all with documents whose sketches allow the threshold.
 
-    members: band, size, doc_id, component, n_shingles, regs. A band gives fewer pairs than it has documents."""
+    members: band, doc_id, component; sketches: doc_id, n_shingles, regs. A band gives fewer pairs than it has documents."""
 
     def pairs(own: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
         order = sorted(range(len(rows)), key=lambda i: rows[i][1])  # the smallest component is tried first, in every band
@@ -228,13 +287,13 @@ def families(members: DataFrame, threshold: float) -> DataFrame:
         component = np.array(component)
         return _spanning(own[order], component, component, np.array(n), regs, threshold, lambda i, j: True)
 
-    return _by_tiles(members, "band", ["doc_id", "component", "n_shingles", "regs"], pairs)
+    return _by_tiles(members, "band", sketches, ["doc_id", "component", "n_shingles", "regs"], pairs)
 
 
-def links_within(members: DataFrame, k: int, percent: int) -> DataFrame:
+def links_within(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links between different components of a family, confirmed on full sets, enough to join them.
 
-    members: family, size, doc_id, component, text."""
+    members: family, doc_id, component; texts: doc_id, text."""
 
     def pairs(own: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
         ids, component, texts = zip(*rows, strict=True)
@@ -249,7 +308,7 @@ def links_within(members: DataFrame, k: int, percent: int) -> DataFrame:
 
         return _spanning(own, np.array(ids), np.array(component), n, np.array([registers(x) for x in sets]), percent / 100, linked)
 
-    return _by_tiles(members, "family", ["doc_id", "component", "text"], pairs)
+    return _by_tiles(members, "family", texts, ["doc_id", "component", "text"], pairs)
 
 
 def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -283,19 +342,23 @@ def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = stored(confirmed(stored(plausible(with_sketches(stars), threshold), "pairs"), texts, k, percent), "links")
     joined = components(first)
 
-    # bands whose documents are still in several components: what the sketches allow makes families,
-    # and a family's documents are compared on full sets
+    # bands whose documents are still in several components: first those beside each other, then what is left
+    # apart. What the sketches allow makes families, and a family's documents are compared on full sets
     label = F.coalesce("component", "doc_id").alias("component")
-    by_id = joined.withColumnRenamed("id", "doc_id")
-    labelled = members.join(by_id, "doc_id", "left").select("band", "size", "doc_id", label)
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band")
-    likely = stored(families(labelled.join(mixed, "band").join(own, "doc_id"), threshold), "likely")
+
+    def apart(joined: DataFrame) -> DataFrame:
+        labelled = members.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", label)
+        mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band")
+        return labelled.join(mixed, "band")
+
+    beside = stored(neighbours(apart(joined).select("doc_id", "component").distinct().join(own, "doc_id"), threshold), "pairs")
+    first = first.union(stored(confirmed(beside, texts, k, percent), "links"))
+    joined = components(first)
+    likely = stored(families(apart(joined), own, threshold), "likely")
     family = components(likely)
     grown = joined.join(family.select(F.col("id").alias("component"), F.col("component").alias("family")), "component").select("family", F.col("id").alias("doc_id"), "component")
     single = family.join(joined.select("id"), "id", "left_anti").select(F.col("component").alias("family"), F.col("id").alias("doc_id"), F.col("id").alias("component"))
-    within = grown.union(single)
-    split = within.groupBy("family").agg(F.count("*").alias("size"))
-    second = stored(links_within(within.join(split.select("family", "size"), "family").join(texts, "doc_id"), k, percent), "links")
+    second = stored(links_within(grown.union(single), texts, k, percent), "links")
     joined = components(first.union(second))
 
     final = reps.select("set_key", F.col("node").alias("doc_id")).join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("set_key", label)

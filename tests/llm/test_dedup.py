@@ -180,3 +180,34 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, long, "x", 1), (2, "start " + long, "x", 1)], DOCS)
     assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs).collect()} == {1: 0, 2: 120_000}
     assert {r["doc_id"]: r["kept"] for r in near_duplicates(docs).collect()} == {1: True, 2: False}
+
+
+def test_collision_chance_follows_sizes():
+    rng = np.random.default_rng(5)
+    for n, m in ((300, 300), (3000, 2000), (20_000, 500)):
+        equal = used = 0
+        for _ in range(300):
+            a, b = (near_dedup.registers(np.unique(rng.integers(0, 2**64, x, dtype=np.uint64))) for x in (n, m))
+            some = (a != near_dedup.EMPTY) | (b != near_dedup.EMPTY)
+            equal, used = equal + int(((a == b) & some).sum()), used + int(some.sum())
+        assert abs(equal - used * near_dedup.collisions(n, m)) < 5 * (used * near_dedup.collisions(n, m)) ** 0.5 + 3
+
+
+def test_large_loose_family_takes_few_rows(spark, monkeypatch):
+    """5,000 texts, each linked with those before and after it; few of them with more. All share their bands with many."""
+    rng = random.Random(4)
+    words, rows = [f"s{i}" for i in range(200)], []
+    for i in range(5000):
+        at = rng.randrange(150, 200)
+        words = [*words[:at], f"n{i}", *words[at + 1 :]]
+        rows.append((i, " ".join(words), "x", 1))
+    dealt, plain = [], near_dedup._by_tiles
+
+    def counted(members, key, *rest):
+        dealt.append(members.count())
+        return plain(members, key, *rest)
+
+    monkeypatch.setattr(near_dedup, "_by_tiles", counted)
+    got = near_duplicates(spark.createDataFrame(rows, DOCS), 5, 85).agg({"component_id": "max", "n_shingles": "max"}).collect()[0]
+    assert got["max(component_id)"] == 0 and dealt
+    assert sum(dealt) < 5000
