@@ -172,13 +172,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for every id of links (a, b).
 
-    Each round takes the smallest label among a node and its neighbours, then the label of that
-    label, and writes the labels to the shared folder; it ends when no label changes."""
+    Each round takes the smallest label among a node and its neighbours, tells it to the node of the old
+    label too, then takes the label of that label, and writes the labels to the shared folder. It ends when
+    no label changes; the rounds grow with the logarithm of a chain's length."""
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        best = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("best"), F.col("component").alias("old"))
+        found = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("best"), F.col("component").alias("old"))
+        told = F.array(F.struct("id", "best", "old"), F.struct(F.col("old").alias("id"), "best", F.lit(None).cast("long").alias("old")))
+        best = found.select(F.inline(told)).groupBy("id").agg(F.min("best").alias("best"), F.max("old").alias("old"))
         up = labels.select(F.col("id").alias("best"), F.col("component").alias("above"))
         new = stored(best.join(up, "best").select("id", F.least("best", "above").alias("component"), "old"), "labels")
         if new.filter(F.col("component") != F.col("old")).isEmpty():
