@@ -144,8 +144,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets.
 
     A centre a and its partners are dealt in parts of about CENTRE_ROWS, each with the centre's text once,
-    so a hot centre is many tasks and no text travels once a pair."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
+    so a hot centre is many tasks and no text travels once a pair. The numbers of parts are a table of their
+    own: the pairs then meet it unaggregated, and Spark can split a hot centre in that join too."""
+    sizes = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts")), "parts")
     salted = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     partners = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
     centres = sizes.join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
@@ -377,9 +378,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     none of them has an id. Rows of one doc_id are judged each by its own text, and all that have the
     component's id are kept. Without an id in its component a row is kept if no text there has a
     smaller hash. Equal texts are always linked. An empty table gives an empty result."""
-    rows = _classes(docs, k, percent)
+    rows = stored(_classes(docs, k, percent), "classes")
     id_ = F.when(~F.col("no_id"), F.col("id"))
-    least = rows.filter("component is not null").groupBy("component").agg(F.min(id_).alias("component_id"), F.min("mark").alias("least"))
+    # a table of its own, so that Spark can split the rows of a large component in the join
+    least = stored(rows.filter("component is not null").groupBy("component").agg(F.min(id_).alias("component_id"), F.min("mark").alias("least")), "least")
     judged = rows.join(least, "component", "left").withColumn("doc_id", id_).withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     nameless = F.col("component").isNull() | (F.col("component_id").isNull() & (F.col("mark") == F.col("least")))
     kept = F.when(F.col("doc_id").isNull(), nameless).otherwise(F.col("doc_id") == F.col("component_id"))
