@@ -229,8 +229,10 @@ def _by_tiles(members: DataFrame, key: str, carried: DataFrame, columns: list[st
     members: key, doc_id, component; carried: doc_id and what else `columns` name. A key's documents up to TILE are one
     tile. Of more, those outside the main component and those in it have tiles of their own; the former meet all,
     the latter only the former. A task holds two tiles at a time, whatever the key's size. pairs gets each row's tile and the rows."""
+    members = stored(members, "members")
     counts = members.groupBy(key, "component").agg(F.count("*").alias("n"))
     sizes = counts.groupBy(key).agg(F.sum("n").alias("size"), F.max("n").alias("main_size"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("size > main_size")
+    sizes = stored(sizes, "sizes")  # so that Spark can split a large key's members in the join
     few, inside = F.col("size") <= TILE, F.col("component") == F.col("main")
     n_out, n_main = (F.ceil(n / TILE).cast("int") for n in (F.col("size") - F.col("main_size"), F.col("main_size")))
     own = F.when(few, 0).when(inside, n_out + F.pmod(F.xxhash64("doc_id"), n_main)).otherwise(F.pmod(F.xxhash64("doc_id"), n_out)).cast("int")
