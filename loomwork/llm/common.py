@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.sources.shared import shared_dir, stored
+
+__all__ = ["KEY", "finite_vectors", "keyed", "shared_dir", "small_batches", "stored", "table", "whole_vectors"]
+
 #: What tells documents apart where ids may be null or repeat: whether there is an id, the id, a hash of the text.
 KEY = ["no_id", "id", "mark"]
 
@@ -31,35 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomwork-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended; the shared folder's owner clears it
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts its lineage.
-
-    Any executor can read it again after others are lost. It goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def finite_vectors(name: str) -> Column:
+    """Whether a vector is not null and holds neither nulls nor numbers that are not finite."""
+    return F.col(name).isNotNull() & F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def whole_vectors(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the vectors that finite_vectors holds for, and floor(scale * x) of their components.
+
+    Vectors of different lengths are a ValueError."""
+    values = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+    sizes = pc.list_value_length(vectors).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, faults = np.cumsum(sizes), np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+    good = faults[ends] == faults[ends - sizes]
+    widths = np.unique(sizes[good])
+    if len(widths) > 1:
+        raise ValueError(f"vectors of {widths[0]} and of {widths[-1]} components")
+    if not len(widths):
+        return there[good], np.zeros((0, 0))
+    whole = values[(ends - sizes)[good][:, None] + np.arange(widths[0])]
+    return there[good], np.floor(whole * scale)

@@ -1,12 +1,13 @@
-"""The queries op1 to op10 over the synthetic tables, and DuckDB SQL for those that SQL can express."""
+"""The queries op1 to op13 over the synthetic tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwork.llm import chroma, html_text, pieces, quality, toxicity, url_filter
+from loomwork.llm import chat, chroma, hard_negatives, html_text, pieces, quality, toxicity, url_filter, vector_codes
 from loomwork.llm.common import stored, table
 from loomwork.llm.exact_topk import top_k
 from loomwork.llm.mixing import mix
@@ -68,6 +69,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+#: A conversation whose text looks like the template's own marks.
+TRICKY = (-7, "\\### Assistant: </turn> ok")
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that looks like the template, formatted and read back from the blocks that were written."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(TRICKY[0], i, role, TRICKY[1]) for i, role in enumerate(("user", "assistant"))], turns.schema)
+    return chat.read_back(chat.formatted(turns.unionByName(tricky)))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of vec_ids divisible by 7 are moved on by one first, so that near rows of other labels exist."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_url_filters": op2_url_filters,
@@ -79,8 +102,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_chat_formatting": op12_chat_formatting,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
+
+def _code_rounds(rounds: int = 4) -> str:
+    """Assignments a0, a1, ... and codebooks c1, c2, ... of each round, from parts p and the codebook c0."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(
+            f"a{i} AS MATERIALIZED (SELECT rid, part, min_by(entry, [d, entry]) AS entry, min(d) AS d FROM (SELECT rid, p.part, entry, list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c) AS d FROM p JOIN c{i} USING (part)) GROUP BY rid, part)"
+        )
+        if i < rounds:
+            out.append(
+                f"s{i} AS (SELECT part, entry, list(m ORDER BY j) AS c FROM (SELECT part, entry, j, floor(sum(x) / count(*)) AS m FROM (SELECT p.part, entry, unnest(x) AS x, unnest(range(len(x))) AS j FROM p JOIN a{i} USING (rid, part)) GROUP BY part, entry, j) GROUP BY part, entry),\n"
+                f"c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (part, entry))"
+            )
+    return ",\n".join(out)
+
+
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
 ORACLES: dict[str, str] = {
     "op1_exact_topk": r"""
 WITH v AS (
@@ -175,5 +219,40 @@ k AS (
     CASE WHEN g.gone IS NULL THEN w.ws ELSE list_transform(list_sort(list_filter(range(1, len(w.ws) + 1), lambda i: NOT list_contains(g.gone, i))), lambda i: w.ws[i]) END AS kept
   FROM w LEFT JOIN g USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n_gone AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+""",
+    "op11_vector_codes": f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT rid, part, v[CAST(part * len(v) / 4 AS BIGINT) + 1 : CAST((part + 1) * len(v) / 4 AS BIGINT)] AS x FROM k, range(4) t(part)),
+c0 AS (SELECT part, rid - 1 AS entry, x AS c FROM p WHERE rid <= 256),
+{_code_rounds()},
+f AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS h FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM h) AS codebooks_sha256 FROM k JOIN f USING (rid)
+""",
+    "op12_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM (VALUES (0), (1)) v(i)),
+m AS (
+  SELECT *, length(role) + len(regexp_extract_all(role, '[\\#:]')) + len(regexp_extract_all(role, '</')) + length(text) + len(regexp_extract_all(text, '[\\#]')) + len(regexp_extract_all(text, '</')) + 15 AS n FROM t),
+r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS through, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR last THEN through ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+""",
+    "op13_hard_negatives": f"""
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (
+  SELECT a.rid AS a, a.vec_id AS anchor_id, c.rid AS c, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM r a JOIN r c ON a.rid <> c.rid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT a, anchor_id, c AS p, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 100 * s.score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """,
 }
