@@ -21,7 +21,7 @@ from loomwork.llm.common import finite_vectors, stored, whole_vectors
 from loomwork.sources.shared import small
 
 #: Parts that are searched together, which are near in norm, and entries that give them a first distance.
-TOGETHER, FIRST = 512, 32
+TOGETHER, FIRST = 64, 16
 
 
 class Codebook:
