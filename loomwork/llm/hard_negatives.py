@@ -172,7 +172,9 @@ def mined(vectors: DataFrame, anchor_divisor: int = 100, n_positives: int = 5, k
     different lengths, or so large that scores would not be exact, are a ValueError. Other columns are ignored."""
     rows = integer_rows(vectors, scale)
     asked = rows.filter(F.col("vec_id") % anchor_divisor == 0)
-    n, n_anchors = rows.count(), asked.count()
+    n, n_anchors, shortest, longest = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % anchor_divisor == 0), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if shortest != longest:
+        raise ValueError(f"vectors of {shortest} and of {longest} components")
     nothing = F.array(F.struct(F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("most")))
     positives = stored(_nearest(rows, n, asked.select("row", "label", "v", nothing.alias("targets")), n_anchors, n_positives, True), "positives")
     low, high = F.ceil(F.col("score") * least / 100), F.floor(F.col("score") * most / 100)
