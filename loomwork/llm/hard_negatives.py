@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from loomwork.llm.common import stored, whole_vectors
 
-BLOCK_ROWS, ANCHOR_ROWS, LEAF_ROWS = 4096, 1024, 64
+BLOCK_ROWS, ANCHOR_ROWS, LEAF_ROWS = 8192, 1024, 256
 
 
 class Tree:
@@ -76,7 +76,8 @@ class Search:
         self.total = tree.square + float(query @ query)
         self.slack = 1e-7 * (1 + np.sqrt(self.total))  # distances are rounded roots of differences
         self.nearest_first = np.argsort(low, kind="stable")
-        self.scores: dict[int, np.ndarray] = {}
+        self.scores = np.full(len(tree.rows), np.nan)  # of rows of leaves that were read
+        self.read = np.zeros(len(tree.leaves), dtype=bool)
 
     def distance(self, score: float) -> float:
         return float(np.sqrt(max(0.0, self.total - 2 * score)))
@@ -92,14 +93,17 @@ class Search:
         places, scores, at, step = np.empty(0, dtype=np.int64), np.empty(0), 0, 4
         while at < len(leaves) and not (len(places) == k and self.low[leaves[at]] > self.distance(scores[-1]) + self.slack):
             for leaf in leaves[at : at + step]:
-                begin, end, _ = self.tree.leaves[leaf]
-                if leaf not in self.scores:
-                    self.scores[leaf] = self.tree.rows[begin:end] @ self.query
-                s = self.scores[leaf]
-                new = np.flatnonzero(fits[begin:end] & (s >= least) & (s <= most))
-                places, scores = np.concatenate([places, begin + new]), np.concatenate([scores, s[new]])
+                if not self.read[leaf]:
+                    begin, end, _ = self.tree.leaves[leaf]
+                    self.scores[begin:end] = self.tree.rows[begin:end] @ self.query
+                    self.read[leaf] = True
+            places = np.flatnonzero(fits & (self.scores >= least) & (self.scores <= most))
+            scores = self.scores[places]
+            if len(places) > k:  # ties with the k-th stay for the order by id
+                best = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                places, scores = places[best], scores[best]
             top = np.lexsort((ids[places], -scores))[:k]
-            places, scores, at, step = places[top], scores[top], at + step, 2 * step
+            places, scores, at, step = places[top], scores[top], at + step, 4 * step
         return places, scores
 
 
@@ -134,7 +138,7 @@ def _nearest(rows: DataFrame, n: int, anchors: DataFrame, n_anchors: int, k: int
     right = anchors.select("row", "label", "v", "targets", every(blocks).alias("block"), deal(sets).alias("set"))
 
     def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple] = []
         if len(held) and len(asked):
             tree = Tree(np.stack(held["v"]))
             in_order = held.iloc[tree.place]
@@ -148,10 +152,13 @@ def _nearest(rows: DataFrame, n: int, anchors: DataFrame, n_anchors: int, k: int
                 if same:
                     fits &= numbers != row
                 for target in targets:
-                    window = None if same else (target["least"], target["most"])
-                    places, scores = search.best(fits, sort_ids, k, window)
-                    out.append(pd.DataFrame({"anchor": row, "target": target["row"], "row": numbers[places], "vec_id": ids.iloc[places].to_numpy(), "score": scores.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype="Int64") for c in ("anchor", "target", "row", "vec_id", "score")})
+                    places, scores = search.best(fits, sort_ids, k, None if same else (target["least"], target["most"]))
+                    out.append((row, target["row"], places, scores))
+        sizes = [len(x[2]) for x in out]
+        found = np.concatenate([x[2] for x in out]) if out else np.empty(0, dtype=np.int64)
+        columns = {"anchor": np.repeat([x[0] for x in out], sizes), "target": np.repeat([x[1] for x in out], sizes)}
+        columns |= {"row": numbers[found] if out else found, "vec_id": pd.array(ids.iloc[found] if out else [], dtype="Int64")}
+        return pd.DataFrame(columns | {"score": np.concatenate([x[3] for x in out]).astype(np.int64) if out else found})
 
     grouped = left.groupBy("block", "set").cogroup(right.groupBy("block", "set"))
     found = grouped.applyInPandas(run, "anchor long, target long, row long, vec_id long, score long")

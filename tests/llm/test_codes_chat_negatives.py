@@ -165,9 +165,10 @@ def test_negatives_of_odd_tables(spark):
             hard_negatives.mined(wrong).collect()
 
 
-def test_tree_bounds_hold_and_spare_leaves():
+def test_tree_bounds_hold_and_spare_leaves(monkeypatch):
     rng = np.random.default_rng(4)
     rows = np.round(np.concatenate([rng.normal(size=(100, 6)) * 5 + c * 100 for c in rng.normal(size=(20, 6))]))
+    monkeypatch.setattr(hard_negatives, "LEAF_ROWS", 64)
     tree = hard_negatives.Tree(rows)
     assert sorted(tree.place) == list(range(2000)) and (tree.rows == rows[tree.place]).all()
     queries = rows[::50]
@@ -179,4 +180,4 @@ def test_tree_bounds_hold_and_spare_leaves():
     search = hard_negatives.Search(tree, queries[0], low[0], high[0])
     places, scores = search.best(np.ones(2000, dtype=bool), np.arange(2000), 5)
     assert sorted(scores, reverse=True) == sorted(rows @ queries[0], reverse=True)[:5]
-    assert len(search.scores) < len(tree.leaves)
+    assert search.read.sum() < len(tree.leaves)
