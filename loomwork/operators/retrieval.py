@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import tokenize
 from loomwork.functions.vectors import dot
+from loomwork.operators import lexical
+from loomwork.operators.lexical import ranked_terms
+from loomwork.operators.nearest import nearest
 from loomwork.sources.shared import small, stored
 
-# Fixed values of the score and of the pools.
-K1, B, RRF_K = 1.5, 0.75, 60
+# Fixed values of the fusion and of the pools.
+RRF_K = 60
 CANDIDATES, RERANK_POOL = 50, 100
 MODES = ("dense", "bm25", "hybrid")
 
@@ -31,61 +34,21 @@ def ranked(scores: DataFrame, most: int, score: str = "score", query: str = "que
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(most, 0))
 
 
-def terms(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dl (tokens of the text), term, tf. Texts without tokens have no row."""
-    split = docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    return split.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
-
-
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n_docs (texts without tokens included), n_terms, n_tokens, avgdl (0 for no text)."""
-    counted = docs.select(tokenize(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    totals = counted.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n_tokens"))
-    kinds = counted.select(F.explode("t").alias("term")).agg(F.count_distinct("term").alias("n_terms"))
-    return totals.join(F.broadcast(kinds)).select("n_docs", "n_terms", "n_tokens", F.coalesce(F.try_divide("n_tokens", "n_docs"), F.lit(0.0)).alias("avgdl"))
+    return lexical.corpus_stats(lexical.index_of(docs.select(F.lit(0).alias("doc_id"), text), text=text))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, most: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """query_id, id, score, rank of the texts that hold a term of the query.
-
-    queries: query_id, query. The corpus is tokenised once: weights of terms that some query has are written
-    to the shared folder. A query's strong terms (half of its greatest possible score) find `most` texts, the
-    least of whose whole scores is a floor of the `most`-th score. Terms that together stay below the floor bring no text in: a text needs another term, and what
-    it has of the others must be able to reach the floor. Only such texts meet the long lists of common terms."""
-    tokens = docs.select(F.col(key).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize("query"))).alias("term"))
-    posted = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    wanted = small(asked.select("term").distinct())
-    postings = stored(posted.join(wanted, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
-    n, avgdl = tokens.agg(F.count("*"), F.coalesce(F.try_divide(F.sum(F.size("tokens")), F.count("*")), F.lit(0.0))).first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
-    weighted = postings.join(df, "term").select("term", "id", weight.alias("w"))
-
-    tops = weighted.groupBy("term").agg(F.max("w").alias("top"))
-    own = Window.partitionBy("query_id")
-    below = F.sum("top").over(own.orderBy("top", "term"))
-    bounds = stored(asked.join(tops, "term").select("query_id", "term", below.alias("below"), F.sum("top").over(own).alias("all")), "bounds")
-    partial = lambda terms_: terms_.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-    strong = ranked(partial(bounds.filter(F.col("below") > F.col("all") / 2).select("query_id", "term")), max(most, 1))
-    whole = strong.select("query_id", "id").join(bounds.select("query_id", "term"), "query_id").join(weighted, ["term", "id"]).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-    floors = whole.groupBy("query_id").agg(F.count("*").alias("n"), (F.min("score") - 1e-6).alias("floor")).filter(F.col("n") == max(most, 1)).drop("n")
-    split = stored(bounds.join(floors, "query_id", "left").select("query_id", "term", "below", F.coalesce("floor", F.lit(0.0)).alias("floor")), "bounds")
-    weak = split.filter(F.col("below") < F.col("floor"))
-    rest = weak.groupBy("query_id").agg(F.max("below").alias("rest"), F.max("floor").alias("floor"))
-    found = partial(split.filter(F.col("below") >= F.col("floor")).select("query_id", "term"))
-    able = found.join(rest, "query_id", "left").filter(F.col("rest").isNull() | (F.col("score") + F.col("rest") >= F.col("floor"))).select("query_id", "id", "score")
-    more = able.select("query_id", "id").join(weak.select("query_id", "term"), "query_id").join(weighted, ["term", "id"]).select("query_id", "id", F.col("w").alias("score"))
-    return ranked(able.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score")), most)
+    """query_id, id, score, rank of the texts that hold a term of the query; queries: query_id, query.
 
+    The texts are indexed once, in the shared folder; for files that are asked again lexical.FileIndex keeps an index."""
+    return ranked_terms(lexical.index_of(docs, key, text), queries, most)
 
-def dense(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
-    """query_id, id, score (dot product of unit vectors), rank.
 
-    vectors: id, v; queries: query_id, q. The stated queries meet every vector, broadcast if a count shows that
-    they are few. Each partition keeps its best `most` of a query before anything is shuffled."""
-    return ranked(vectors.join(small(queries)).select("query_id", "id", dot("q", "v").alias("score")), most)
+def dense(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """query_id, id, score (dot product of unit vectors), rank; vectors: id, v; queries: query_id, q."""
+    return nearest(vectors, queries, most)
 
 
 def fused(routes: list[DataFrame], most: int, k: int = RRF_K) -> DataFrame:
@@ -165,27 +128,30 @@ def pool_size(top_k: int, candidates: int | None, rerank: bool) -> int:
 
 def search(
     chunks: DataFrame, queries: DataFrame, mode: str | None = None, top_k: int = 5, candidates: int | None = None,
-    rerank: Callable[[Column, Column], Column] = overlap_score,
+    rerank: Callable[[Column, Column], Column] = overlap_score, index: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, id, text, source, score (cosine in every mode), rank, dense_rank, rrf, rerank_score, rerank_rank.
 
-    chunks: id, text, source, embedding (unit); queries: query_id, query, q (unit). An unknown mode or
-    vectors of different lengths are ValueErrors before any work on the chunks."""
+    chunks: id, text, source, embedding (unit); queries: query_id, query, q (unit). A chunk without a vector is found by its
+    terms alone and has no cosine. index: the chunks' index, if there is one already. An unknown mode or
+    vectors of different lengths are ValueErrors before any work on the chunks. The routes are written to the shared folder
+    while the search is built."""
     asked = parse_mode(mode)
     if asked is None:
         raise ValueError(f"unknown mode: {mode}")
+    vectors = chunks.select("id", F.col("embedding").alias("v")).filter("v is not null")
     span = lambda rows, v: tuple(rows.agg(F.min(F.size(v)), F.max(F.size(v))).first())
-    asked_for, held = span(queries.filter("q is not null"), "q"), span(chunks.filter("embedding is not null"), "embedding")
+    asked_for, held = span(queries.filter("q is not null"), "q"), span(vectors, "v")
     if None not in (*asked_for, *held) and len({*asked_for, *held}) > 1:
         raise ValueError(f"vectors have {held[0]} to {held[1]} numbers, queries {asked_for[0]} to {asked_for[1]}")
     n = pool_size(top_k, candidates, asked.pool > 0)
-    vectors = chunks.select("id", F.col("embedding").alias("v"))
-    by_vector = dense(vectors, queries.select("query_id", "q"), n)
+    by_vector = stored(dense(vectors, queries.select("query_id", "q"), n), "dense")
     nothing = F.lit(None).cast("double")
     if asked.base == "dense":
         pool = by_vector.select("query_id", "id", "rank", nothing.alias("rrf"))
     else:
-        by_terms = bm25(chunks.select("id", "text"), queries.select("query_id", "query"), n, "id")
+        terms = lexical.index_of(chunks, "id") if index is None else index
+        by_terms = stored(ranked_terms(terms, queries.select("query_id", "query"), n), "terms")
         pool = by_terms.select("query_id", "id", "rank", nothing.alias("rrf")) if asked.base == "bm25" else fused([by_vector, by_terms], n).select("query_id", "id", "rank", F.col("score").alias("rrf"))
     shown = pool.join(chunks.select("id", "text", "source"), "id").join(small(queries.select("query_id", "query")), "query_id")
     if asked.pool:
@@ -196,7 +162,7 @@ def search(
         shown = shown.withColumn("rerank_score", nothing).withColumn("rerank_rank", F.lit(None).cast("int"))
     best = shown.filter(F.col("rank") <= top_k)
     dense_rank = by_vector.select("query_id", "id", F.col("rank").alias("dense_rank"))
-    pairs = best.join(vectors, "id").join(queries.select("query_id", "q"), "query_id").withColumn("score", dot("q", "v"))
+    pairs = best.join(vectors, "id", "left").join(queries.select("query_id", "q"), "query_id").withColumn("score", dot("q", "v"))
     return pairs.join(dense_rank, ["query_id", "id"], "left").select("query_id", "id", "text", "source", "score", "rank", "dense_rank", "rrf", "rerank_score", "rerank_rank")
 
 
