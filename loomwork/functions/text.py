@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,28 +73,36 @@ def clean(x: Column) -> Column:
     return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
 
 
-def merge_short(paragraphs: Column, least: int = LEAST_CHUNK) -> Column:
+def merged(paragraphs: Iterable[str], least: int = LEAST_CHUNK) -> list[str]:
     """Joins short paragraphs to the following ones until each has `least` characters.
 
     What is left over goes to the last one; alone it stays if it has a fifth of `least`, else it goes."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
+    done: list[str] = []
+    held: list[str] = []
+    size = 0
+    for p in paragraphs:
+        if not p and not held:
+            continue
+        size += len(p) + bool(held)
+        held.append(p)
+        if size >= least:
+            done.append("\n".join(held))
+            held, size = [], 0
+    if held and done:
+        done[-1] = "\n".join([done[-1], *held])
+    elif held and size >= least // 5:
+        done.append("\n".join(held))
+    return done
+
 
-    def step(acc: Column, p: Column) -> Column:
-        joined = F.when(acc["held"] == "", p).otherwise(F.concat(acc["held"], F.lit("\n"), p))
-        full = F.length(joined) >= least
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(joined))).otherwise(acc["done"]).alias("done"), F.when(full, F.lit("")).otherwise(joined).alias("held"))
+def merge_short(paragraphs: Column, least: int = LEAST_CHUNK) -> Column:
+    """An array's paragraphs as `merged` joins them, in one pass over each array; null stays null."""
 
-    def finish(acc: Column) -> Column:
-        n = F.size(acc["done"])
-        last = F.concat(F.element_at(acc["done"], -1), F.lit("\n"), acc["held"])
-        return (
-            F.when(acc["held"] == "", acc["done"])
-            .when(n > 0, F.concat(F.slice(acc["done"], F.lit(1), n - 1), F.array(last)))
-            .when(F.length(acc["held"]) >= least // 5, F.array(acc["held"]))
-            .otherwise(F.array().cast("array<string>"))
-        )
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda x: None if x is None else merged(x, least))
 
-    return F.aggregate(paragraphs, start, step, finish)
+    return run(paragraphs)
 
 
 def windows(p: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column:
@@ -107,7 +116,7 @@ def windows(p: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Column
 
 
 def chunks(cleaned: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = LEAST_CHUNK) -> Column:
-    """Chunks of a cleaned text: short paragraphs merged, long ones in windows."""
+    """Chunks of a cleaned text: short paragraphs merged, long ones in windows; a text of one paragraph needs no merging."""
     paragraphs = F.filter(F.split(cleaned, "\n\n"), lambda p: p != "")
     return F.flatten(F.transform(merge_short(paragraphs, least), lambda p: windows(p, size, overlap)))
 
@@ -142,26 +151,48 @@ def eligible_for_questions(x: Column, least: int = 150) -> Column:
     return (F.length(text) >= least) & text.rlike(BOUNDARY) & (F.regexp_count(text, F.lit("[一-鿿]")) >= least // 4)
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common substring of two texts.
+
+    Every place of both texts gets the class of the substring that begins there, for lengths 1, 2, 4 and on, as long as a
+    class is met in both; a class of double length is a pair of classes. The powers below are then added from the greatest
+    down. Classes are exact, so nothing needs confirming; a step sorts one array as long as both texts."""
+    both = np.concatenate([np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)]).astype(np.int64)
+    n, least = len(a), min(len(a), len(b))
+
+    def classes(left: np.ndarray, right: np.ndarray, gap: int, length: int) -> np.ndarray | None:
+        """Classes of places from those of the substring there and of that `gap` on; None if none of `length` is in both texts."""
+        pairs = np.full(len(both), -1, np.int64)
+        for begin, end in ((0, n), (n, len(both))):
+            last = end - length + 1
+            if last <= begin:
+                return None
+            pairs[begin:last] = (left[begin:last] << 32) | right[begin + gap : last + gap]
+        out = np.unique(pairs, return_inverse=True)[1]
+        seen = np.zeros(int(out.max()) + 1, np.uint8)
+        seen[out[: n - length + 1]] = 1
+        return out if seen[out[n : len(both) - length + 1]].any() else None
+
+    if not least or not np.isin(both[:n], both[n:]).any():
+        return 0
+    powers, length = [both], 1
+    while 2 * length <= least and (doubled := classes(powers[-1], powers[-1], length, 2 * length)) is not None:
+        powers.append(doubled)
+        length *= 2
+    now = powers.pop()
+    for power in reversed(range(len(powers))):
+        more = 1 << power
+        if length + more <= least and (longer := classes(now, powers[power], length, length + more)) is not None:
+            now, length = longer, length + more
+    return length
+
+
 @F.pandas_udf(T.IntegerType())
 def overlap_length(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Length of the longest common substring of two texts without white space.
-
-    Binary search over the length: common substrings of one length have ones of all shorter lengths."""
-
-    def longest(a: str | None, b: str | None) -> int:
-        a, b = "".join((a or "").split()), "".join((b or "").split())
-        low, high = 0, min(len(a), len(b))
-        while low < high:
-            n = (low + high + 1) // 2
-            have = {a[i : i + n] for i in range(len(a) - n + 1)}
-            if any(b[i : i + n] in have for i in range(len(b) - n + 1)):
-                low = n
-            else:
-                high = n - 1
-        return low
-
+    """Length of the longest common substring of two texts without white space; nulls count as empty."""
+    bare = lambda x: "".join((x or "").split())
     for a, b in parts:
-        yield pd.Series([longest(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+        yield pd.Series([common_length(bare(x), bare(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def format_chunks(items: Column) -> Column:

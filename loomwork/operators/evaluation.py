@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.running import medians
 from loomwork.sources.shared import small
 
 KS = (1, 3, 5, 10, 20, 50, 100)
@@ -50,8 +51,9 @@ def production_metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame) -> DataFrame:
-    """Medians of ms and rerank_ms and the mean of top1_score, nulls skipped."""
-    return rows.agg(F.median("ms").alias("median_ms"), F.median("rerank_ms").alias("median_rerank_ms"), F.avg("top1_score").alias("mean_top1_score"))
+    """Exact medians of ms and rerank_ms and the mean of top1_score, nulls skipped."""
+    held = medians(rows, ["ms", "rerank_ms"]).select(F.col("ms").alias("median_ms"), F.col("rerank_ms").alias("median_rerank_ms"))
+    return held.join(F.broadcast(rows.agg(F.avg("top1_score").alias("mean_top1_score"))))  # one row each
 
 
 def mode_contingency(rows: DataFrame, modes: list[str], k: int = 5) -> DataFrame:
@@ -147,7 +149,9 @@ def answer_summary(rows: DataFrame) -> DataFrame:
 def answer_means(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """n and the mean of each axis (0 for none), median ms of those above 0 (0 for none)."""
     means = [F.coalesce(F.avg(a), F.lit(0.0)).alias(f"mean_{a}") for a in AXES]
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *means, F.coalesce(F.median(F.when(F.col("answer_ms") > 0, F.col("answer_ms"))), F.lit(0.0)).alias("median_ms"))
+    groups = rows.groupBy(*by).agg(F.count("*").alias("n"), *means)
+    middle = medians(rows.withColumn("median_ms", F.when(F.col("answer_ms") > 0, F.col("answer_ms"))), ["median_ms"], by).withColumn("median_ms", F.coalesce("median_ms", F.lit(0.0)))
+    return groups.join(middle.select(*(F.col(c).alias(f"_{c}") for c in by), "median_ms"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or None).drop(*(f"_{c}" for c in by))
 
 
 def unstable(samples: DataFrame) -> DataFrame:

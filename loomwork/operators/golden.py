@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import META_WORDS, eligible_for_questions, looks_like_table, norm_ws, overlap_length, starts_mid_sentence, strip
 from loomwork.functions.vectors import dot, normalise
-from loomwork.operators.running import running_total
+from loomwork.operators import running
 
 CATEGORIES = ("factual", "numeric", "procedural", "comparative")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -20,9 +20,9 @@ def question_pool(chunks: DataFrame, least: int = 150) -> DataFrame:
 
 def interleaved(rows: DataFrame, source: str = "source", key: str = "id", seed: int = 0, order: list[str] | None = None) -> DataFrame:
     """rows with turn and place: each source in a seeded order (or that of `order`), one of each in turn, sources by name."""
-    within = Window.partitionBy(source).orderBy(*(order or [F.xxhash64(key, F.lit(seed)), key]))
-    turns = rows.withColumn("turn", F.row_number().over(within))
-    return running_total(turns, ["turn", source], F.lit(1), "place").withColumn("place", F.col("place") + 1)
+    by = order or ["_seeded", key]
+    turns = running.numbered_within(rows.withColumn("_seeded", F.xxhash64(key, F.lit(seed))), source, by, "turn")
+    return running.numbered(turns.drop("_seeded"), ["turn", source], "place")
 
 
 def drop_reason(question: Column, answer: Column, evidence: Column, chunk: Column) -> Column:
@@ -64,8 +64,7 @@ def fresh(pool: DataFrame, used_chunks: DataFrame, prefix: int = 80) -> DataFram
 
 def numbered(rows: DataFrame, last_numbers: DataFrame, order: list[str]) -> DataFrame:
     """rows (slug, ...) with golden_id: slug and a number that goes on from the slug's last one."""
-    n = F.row_number().over(Window.partitionBy("slug").orderBy(*order))
-    joined = rows.join(last_numbers, "slug", "left").withColumn("_n", n + F.coalesce("last", F.lit(0)))
+    joined = running.numbered_within(rows, "slug", order, "_n").join(last_numbers, "slug", "left").withColumn("_n", F.col("_n") + F.coalesce("last", F.lit(0)))
     number = F.col("_n").cast("string")
     return joined.withColumn("golden_id", F.concat("slug", F.lit("-"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0")))).drop("_n", "last")
 
@@ -126,7 +125,7 @@ def worksheet(entries: DataFrame) -> DataFrame:
     need = entries.filter((F.size("warnings") > 0) | (F.col("n_strong") > 0) | (F.col("n_similar") > 0))
     late = ~F.arrays_overlap("warnings", F.array(*map(F.lit, WARNINGS[:2])))
     keyed = need.withColumns({"tags": short_tags(F.col("warnings")), "_weak": F.col("n_strong") == 0, "_late": late})
-    return running_total(keyed, ["_weak", "_late", "id"], F.lit(1), "priority").withColumn("priority", F.col("priority") + 1).drop("_weak", "_late")
+    return running.numbered(keyed, ["_weak", "_late", "id"], "priority").drop("_weak", "_late")
 
 
 def curation_tallies(entries: DataFrame) -> DataFrame:

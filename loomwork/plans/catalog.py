@@ -875,7 +875,7 @@ def rate_limit_stream(spark, sf_dir):
     """The stream's decisions over the same events, read by one availableNow run."""
     schema = _table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    decided = run_to_end(token_bucket_stream(rows, _LIMIT, _WINDOW, drop_idle=False), "bucket")
+    decided = run_to_end(token_bucket_stream(rows, _LIMIT, _WINDOW), "bucket")
     return decided.select("user_id", "event_id", "ok", F.round(F.col("tokens") * _WINDOW).cast("long").alias("token_ms"))
 
 

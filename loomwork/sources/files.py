@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import chunks, clean
 from loomwork.operators.running import running_total
+from loomwork.sources.shared import stored
 
 GOLDEN = "id string, question string, reference_answer string, gold_chunk_ids array<long>, category string, difficulty string"
 
@@ -29,8 +30,9 @@ def chunk_table(corpus: DataFrame, key: str = "source", text: str = "text") -> D
 def with_chunk_ids(chunked: DataFrame, key: str = "source") -> DataFrame:
     """chunked with `id`: 1, 2, ... in the order of key and ordinal.
 
-    A key's offset is the running sum of the chunks of the keys before it, over one row a key in spans
+    The chunks are written once to the shared folder. A key's offset is the running sum of the chunks of the keys before it, over one row a key in spans
     of the order; within a key the ordinal is the place, so no window holds all chunks or all keys."""
+    chunked = stored(chunked, "chunks")
     sizes = chunked.groupBy(key).agg(F.count("*").alias("n"))
     offsets = running_total(sizes, [key], F.col("n"), "offset").select(key, "offset")
     return chunked.join(offsets, key).withColumn("id", F.col("offset") + F.col("ordinal") + 1).drop("offset")

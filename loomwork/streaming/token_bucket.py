@@ -7,11 +7,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from loomwork.sources.shared import shared_path
 
 OUTPUT = "user_id long, event_id long, ms long, ok boolean, tokens double, retry_ms long"
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Added to times where Spark sees them, as it takes times up to 1970 for late ones.
+SHIFT_MS = 100 * 365 * 86_400_000
 
 
 def step(tokens: float, at: int | None, ms: int, limit: int, window_ms: int) -> tuple[float, int, bool, int]:
@@ -24,37 +28,71 @@ def step(tokens: float, at: int | None, ms: int, limit: int, window_ms: int) ->
     return held, at, False, math.ceil((1 - held) / (limit / window_ms))
 
 
-def token_bucket_stream(rows: DataFrame, limit: int, window_ms: int, drop_idle: bool = True) -> DataFrame:
-    """Decisions for a streaming DataFrame of user_id, event_id, ms; same results as the batch operator.
+class Bucket(StatefulProcessor):
+    """The tokens and the time of a key's last request, and one timer a window after it."""
 
-    Within a micro-batch a key's requests are sorted by time. Idle state is dropped: a bucket that has
-    had a whole window to refill is full, like one never seen. Timers keep a query running, so a run
-    that ends with its input (availableNow) is asked for without drop_idle."""
+    def __init__(self, limit: int, window_ms: int, drop_idle: bool):
+        self.limit, self.window_ms, self.drop_idle = limit, window_ms, drop_idle
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, at = state.get if state.exists else (float(limit), None)
-        batch = pd.concat(list(parts)).sort_values(["ms", "event_id"])
-        out = []
-        for event_id, ms in zip(batch["event_id"], batch["ms"], strict=True):
-            tokens, at, ok, wait = step(tokens, at, int(ms), limit, window_ms)
-            out.append((key[0], event_id, ms, ok, tokens, wait))
-        state.update((tokens, at))
-        if drop_idle:
-            state.setTimeoutDuration(max(1, window_ms))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "ms", "ok", "tokens", "retry_ms"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "tokens double, at long")
 
-    return rows.groupBy("user_id").applyInPandasWithState(run, OUTPUT, "tokens double, at long", "append", GroupStateTimeout.ProcessingTimeTimeout if drop_idle else GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        tokens, at = held if held else (float(self.limit), None)
+        before = at
+        for part in rows:  # some thousand rows at a time, whatever the key has
+            part = part.sort_values(["ms", "event_id"], kind="stable")
+            out = []
+            for ms in part["ms"]:
+                tokens, at, ok, wait = step(tokens, at, int(ms), self.limit, self.window_ms)
+                out.append((ok, tokens, wait))
+            decided = pd.DataFrame(out, columns=["ok", "tokens", "retry_ms"], index=part.index)
+            yield pd.concat([part[["user_id", "event_id", "ms"]], decided], axis=1)
+        if self.drop_idle and at is not None and at != before:
+            if before is not None:
+                self.handle.deleteTimer(SHIFT_MS + before + self.window_ms)
+            self.handle.registerTimer(SHIFT_MS + at + self.window_ms)
+        if at is not None:
+            self.state.update((tokens, at))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()  # full again, like a key never seen
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def token_bucket_stream(rows: DataFrame, limit: int, window_ms: int, drop_idle: bool = True, late_ms: int | None = None) -> DataFrame:
+    """Decisions for a streaming DataFrame of user_id, event_id, ms (none null).
+
+    A key's requests are folded as they come, a chunk of rows at a time in order of time, so no key's rows are gathered; where
+    they come in order of time the decisions are those of the batch operator. With drop_idle a key's state goes when the stream's event time has
+    passed its last request by a window: its bucket is full then, like one never seen. The watermark stays `late_ms` (a window,
+    if not given) behind the latest request; Spark leaves out rows that come later than that. The state lives in
+    RocksDB, which the session must name as its state store (`run_to_end` does for its run)."""
+    late = window_ms if late_ms is None else late_ms
+    timed = rows.select("user_id", "event_id", "ms", F.timestamp_millis(F.col("ms") + SHIFT_MS).alias("at")).withWatermark("at", f"{late} milliseconds")
+    return timed.groupBy("user_id").transformWithStateInPandas(Bucket(limit, window_ms, drop_idle), OUTPUT, "append", "eventTime")
 
 
 def run_to_end(rows: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what its source holds now, and gives what it wrote as a table.
 
     Executors write the rows and the state to the shared folder, so none pass through the driver. They go
-    when the driver ends."""
+    when the driver ends. The session's state store is set for the start of the run and put back."""
     spark = rows.sparkSession
     path = shared_path(spark, name)
-    rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        run = rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(ROCKS[0])
+        else:
+            spark.conf.set(ROCKS[0], before)
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
