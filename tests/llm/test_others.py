@@ -315,6 +315,37 @@ def test_chroma_alignment_against_all_pairs(spark):
     assert chroma.align(marks.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("error, least", [(0.05, 1.0), (0.1, 1.0), (0.15, 0.995), (0.2, 0.98)])
+def test_chroma_votes_find_flipped_words(error, least):
+    """Recall of recordings whose bits are flipped at random up to the limit, at any offset, over many seeds."""
+    found = tried = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        clean = rng.integers(0, 2**32, (20, 36), dtype=np.uint32)
+        flips = np.zeros((20, 36 * 32), np.uint32)
+        for row in flips:
+            row[rng.choice(36 * 32, int(error * 36 * 32), replace=False)] = 1
+        noisy = clean ^ (flips.reshape(20, 36, 32) << np.arange(32, dtype=np.uint32)).sum(axis=2).astype(np.uint32)
+        shift = rng.integers(0, 6, 20)
+        block = chroma.Block([np.concatenate([rng.integers(0, 2**32, k, dtype=np.uint32), x]) for k, x in zip(shift, noisy)])
+        for i, query in enumerate(clean):
+            recording, offset, errors, overlap = block.matches(query, 0.2, 8)
+            tried += 1
+            found += (i, shift[i], 36) in set(zip(recording, offset, overlap))
+            assert all(errors <= 0.2)
+    assert found >= least * tried
+
+
+def test_chroma_common_words(spark):
+    """A third of all words alike, in recordings that differ: every pair at each offset is that of all pairs."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [5] * 12 + rng.integers(0, 2**32, rng.integers(4, 30)).tolist(), bytes([i])) for i in range(60)]
+    marks = spark.createDataFrame(rows, "id long, words array<long>, digest binary")
+    got = {(r["query_id"], r["match_id"]): r["offset"] for r in chroma.align(marks, 10).collect()}
+    want = all_matches(marks.collect(), 10)
+    assert set(got) == set(want) and all(got[k] in want[k] for k in got) and len(want) > 100
+
+
 def test_chroma_copies_are_one_class(spark):
     media = chroma.rendered(spark.createDataFrame([(0, [0.5])], "vec_id long, embedding array<double>")).first()["audio"]
     df = spark.createDataFrame([(i, bytearray(media)) for i in (0, 1, 50)] + [(7, None), (8, bytearray(b"x"))], "id long, audio binary")
