@@ -9,14 +9,18 @@ of mostly links stay out. It does not grow out of an element that HTML itself ma
 Nodes that never hold article text are left out before densities are computed, and inside the chosen
 subtree too: by element (menus, forms, scripts and the like), and by the words of class, id and role.
 Such words count as parts of a name on containers, but only as whole names on paragraphs, headings and inline
-elements. A container named for its place (header, sidebar, ...) that holds an article, main or
-h1 element, and all of them if they leave the page without a paragraph, are read like others.
+elements. A container named for its place (header, sidebar, form, ...) that holds an article, main or
+h1 element, and all of them if they leave the page without a paragraph, are read like others. On a page
+without an article or main element a name that only has such a word as a part, or a place's name, does not count against a container with more than half of the text of all paragraphs outside
+of links: what holds the page's text is no sidebar or form of it. A short container beside
+the article that speaks of accepting cookies is a notice, whatever it is called.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,10 +41,11 @@ CLOSES = {
 CLOSE_P = BLOCKS - {"br", "body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "summary", "figcaption"}
 SCOPES = frozenset("table ul ol dl div section article main aside nav header footer form body html td th blockquote figure".split())
 FORMATS = frozenset("a b big code em font i s small span strike strong sub sup tt u abbr cite label mark q".split())
-SKIPPED = frozenset("script style noscript template head title iframe object svg canvas form button select textarea input nav footer aside dialog menu audio video map datalist".split())
+SKIPPED = frozenset("script style noscript template head title iframe object svg canvas button select textarea input nav footer aside dialog menu audio video map datalist".split())
 PLACES = r"nav|navbar|navigation|menu|sidebar|side|aside|footer|foot|header|masthead|topbar|toolbar|banner|widget|overlay|modal|popup|search|share|sharing|social|tags|form"
 NEVER = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|breadcrumbs?|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|signup|login|related|recommended|pagination|pager"
 PLACE, PURPOSE = (re.compile(rf"(?:^|[-_\s])(?:{words})(?:$|[-_\s\d])", re.IGNORECASE) for words in (PLACES, NEVER))
+WHOLE_PURPOSE = re.compile(rf"(?:{NEVER})\d*", re.IGNORECASE)
 WHOLE_NAME = re.compile(rf"(?:{PLACES}|{NEVER})\d*", re.IGNORECASE)
 #: Names of an article's own parts, and of pages that have a sidebar or the like.
 OWN_PARTS = re.compile(r"\b(?:(?:post|article|entry|story|content)[-_]?(?:header|head|title|body|content|text|footer)|(?:with|has|no)[-_]\w+)\b", re.IGNORECASE)
@@ -49,16 +54,19 @@ HEADLINES = frozenset("h1 h2 h3".split())
 #: Elements on which only a whole name counts.
 TEXTUAL = FORMATS | frozenset("p h1 h2 h3 h4 h5 h6 a li td th tr dt dd blockquote pre img figcaption".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NOTICE = re.compile(r"\bcookies?\b.*\b(?:accept|agree|consent|allow|policy|settings)|\b(?:accept|agree|consent|allow)\b.*\bcookies?\b", re.IGNORECASE | re.DOTALL)
+MOST_NOTICE = 300
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 TITLE = re.compile(r"<title\b[^>]*>", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "noise", "placed", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "noise", "placed", "named", "sure", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, noise: bool):
-        self.tag, self.noise, self.placed = tag, noise, False
+        self.tag, self.noise = tag, noise
+        self.placed = self.named = self.sure = False
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -71,6 +79,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", False)
         self.open = [self.root]
+        self.count = Counter()  # of open elements by tag, below the root
 
     def _judge(self, node: Node, attrs: list[tuple[str, str | None]]) -> None:
         """Sets noise, and placed where only a name of a place says so."""
@@ -86,64 +95,69 @@ class Tree(HTMLParser):
                     node.noise |= any(map(WHOLE_NAME.fullmatch, value.split()))
                 else:
                     node.placed |= bool(PLACE.search(value))
-                    node.noise |= bool(PURPOSE.search(value))
+                    node.named |= bool(PURPOSE.search(value))
+                    node.sure |= any(map(WHOLE_PURPOSE.fullmatch, value.split()))
             elif name == "role" and value and value.lower() in NOISE_ROLES:
                 node.noise = True
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
                 node.noise = True
-        node.noise |= node.tag == "header" and not any(x.tag in ("article", "main") for x in self.open)
-        node.placed &= not node.noise
-        node.noise |= node.placed
+        node.noise |= node.tag == "header" and not self.count["article"] + self.count["main"]
+        node.placed = (node.placed or node.tag == "form") and not node.noise and not node.named
+        node.named &= not node.noise
+        node.noise |= node.placed or node.named
+
+    def _cut(self, i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        self.count.subtract(x.tag for x in self.open[i:])
+        del self.open[i:]
 
     def _close_to(self, tags: tuple[str, ...], scope: frozenset[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in scope:
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in HEAD_ELEMENTS and tag != "html":  # what cannot be in head ends it
-            for i, x in enumerate(self.open):
-                if x.tag == "head":
-                    del self.open[i:]
-                    break
+        if tag not in HEAD_ELEMENTS and tag != "html" and self.count["head"]:  # what cannot be in head ends it
+            self._cut(next(i for i, x in enumerate(self.open) if x.tag == "head"))
         if tag in ("html", "body"):
-            if tag == "body" and not any(x.tag == "body" for x in self.open):
-                del self.open[1:]
+            if tag == "body" and not self.count["body"]:
+                self._cut(1)
                 self._push(tag, [])
             return
-        if tag in CLOSE_P:
+        if tag in CLOSE_P and self.count["p"]:
             self._close_to(("p",), SCOPES)
         if tag in CLOSES:
             self._close_to(CLOSES[tag], SCOPES - {"td", "th"} if tag in ("tr", "td", "th", "tbody", "thead", "tfoot") else SCOPES)
         if tag in BLOCKS and tag not in ("br", "hr"):
             while self.open[-1].tag in FORMATS:  # an unclosed inline element ends with its block
-                self.open.pop()
-            if tag in CLOSE_P:
+                self._cut(len(self.open) - 1)
+            if tag in CLOSE_P and self.count["p"]:
                 self._close_to(("p",), SCOPES)
         self._push(tag, attrs)
         if tag in VOID:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag not in ("p", "div", "span", "b", "script"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def _push(self, tag: str, attrs: list) -> None:
         node = Node(tag, False)
         self._judge(node, attrs)
         self.open[-1].kids.append(node)
         self.open.append(node)
+        self.count[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("html", "body"):
+        if tag in ("html", "body") or not self.count[tag]:
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
             if tag in FORMATS and self.open[i].tag in SCOPES:
                 return
@@ -163,9 +177,29 @@ def _below(node: Node, within: bool = True) -> Iterator[Node]:
             todo += [x for x in k.kids if isinstance(x, Node)]
 
 
+def _paragraphs(order: list[Node]) -> dict[int, int]:
+    """Characters of paragraphs below each node, outside of links and of elements that never hold text."""
+    own: dict[int, int] = {}
+    inside: dict[int, tuple[bool, bool]] = {id(order[0]): (False, False)}  # in a paragraph, out of the count
+    for node in order:
+        paragraph, out = inside[id(node)]
+        for k in node.kids:
+            if isinstance(k, Node):
+                inside[id(k)] = (paragraph or k.tag == "p", out or k.tag == "a" or k.noise and not (k.placed or k.named))
+        own[id(node)] = sum(len(SPACE.sub("", k)) for k in node.kids if isinstance(k, str)) if paragraph and not out else 0
+    for node in reversed(order):
+        own[id(node)] += sum(own[id(k)] for k in node.kids if isinstance(k, Node))
+    return own
+
+
 def _keep_wrappers(root: Node) -> None:
-    """Containers with the name of a place that hold the article are read like others."""
+    """Containers with a name that counts against them, but which hold the article, are read like others."""
     order = [root, *_below(root)]
+    if not any(k.tag in ("article", "main") for k in order):
+        held = _paragraphs(order)
+        for node in order:
+            if (node.placed or node.named and not node.sure) and 2 * held[id(node)] > held[id(root)]:
+                node.noise = node.placed = node.named = False
     holds: set[int] = set()
     for node in reversed(order):  # what is below comes later in order
         if any(isinstance(k, Node) and (k.tag in ("article", "main", "h1") and not k.noise or id(k) in holds and (k.placed or not k.noise)) for k in node.kids):
@@ -208,8 +242,8 @@ def _measure(root: Node) -> None:
         if c:
             base = math.log(c * max(lc, 1) / max(c - lc, 1) + share * c + math.e)
             node.density = c / t * max(math.log(c / max(lc, 1) * t / lt) / math.log(base), 0.0)
-    for node, _ in order:
-        node.sum = sum(k.density for k in _branches(node))
+    for node, _ in reversed(order):  # inline elements are seen through
+        node.sum = sum(k.density if k.tag in BLOCKS else k.sum for k in node.kids if isinstance(k, Node) and not k.noise and k.chars)
 
 
 def _branches(node: Node) -> list[Node]:
@@ -247,6 +281,8 @@ def _main(root: Node) -> Node:
             chosen = node
             for k in others:
                 k.noise = 2 * k.link_chars > k.chars and k.density < threshold
+    for k in _branches(chosen):
+        k.noise |= k.tag not in TEXTUAL and k.chars <= MOST_NOTICE and 2 * k.chars < chosen.chars and bool(NOTICE.search(_text(k)))
     return chosen
 
 

@@ -22,7 +22,6 @@ from loomwork.llm.common import small_batches, stored
 from loomwork.llm.labelled import held_out, training_labels, with_labels
 
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()\-]")
-UPPER = re.compile(r"[^\W\d_a-z]")
 DIGITS = re.compile(r"\d")
 STATISTICS = 18
 FOLDS, BINS = 5, 256
@@ -100,19 +99,27 @@ class Model:
         return np.interp(self.features(x) @ self.weights, self.at, self.value)
 
 
+def _pooled(blocks: list[tuple[float, float, float]]) -> np.ndarray:
+    """Blocks (sum of places, good, total) with neighbours joined until their shares of good rise."""
+    out: list[list[float]] = []
+    for block in blocks:
+        out.append(list(block))
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            last = out.pop()
+            out[-1] = [a + b for a, b in zip(out[-1], last, strict=True)]
+    return np.array(out)
+
+
 def isotonic(at: np.ndarray, good: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators over bins: places and values of the fitted steps, which never fall."""
-    blocks: list[list[float]] = []
-    for x, g, n in zip(at, good, total, strict=True):
-        if n:
-            blocks.append([x * n, g, n])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-                last = blocks.pop()
-                blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    """Pool-adjacent-violators over bins: places and values of the fitted steps, which never fall.
+
+    Each step counts half a row of each label more, so that none says never or always; steps that fall by that are pooled again."""
+    blocks = [(x * n, g, n) for x, g, n in zip(at, good, total, strict=True) if n]
     if not blocks:
         return np.array([0.0]), np.array([0.5])
-    x, g, n = np.array(blocks).T
-    return x / n, (g + 0.5) / (n + 1)  # half a row of each label, so that no block says never or always
+    x, g, n = _pooled(blocks).T
+    x, g, n = _pooled(list(zip(x / n * (n + 1), g + 0.5, n + 1, strict=True))).T
+    return x / n, g / n
 
 
 def _sums(rows: DataFrame, model: Model, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

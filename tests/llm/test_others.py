@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -144,6 +145,30 @@ def plain_densities(html):
     return out
 
 
+LAW = "".join(f"<p>The court held that section {i} of the act applies to all of the cases before it, and so the appeal fails.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("start, end", [("<form id='aspnet'>", "</form>"), ("<section id='comments-on-law'>", "</section>"), ("<section class='search-engines'>", "</section>"), ("<div class='promoted-story'>", "</div>"), ("<div class='social-history'>", "</div>")])
+def test_a_name_does_not_count_against_the_text(start, end):
+    page = f"<body><ul><li><a href=x>Home</a></li></ul>{start}<h2>Law</h2>{LAW}{end}<div class=footer>bye</div></body>"
+    assert html_text.main_text(page) == "Law " + html_text.main_text(f"<body>{LAW}</body>")
+
+
+def test_notices_forms_and_comments_stay_out():
+    plain = html_text.main_text(f"<body>{LAW}</body>")
+    assert plain.count("court") == 5
+    for extra in ("<div class='bar'><p>We use cookies. Accept all.</p></div>", "<form><label>Your name</label><input><p>Tell us</p></form>", "<div class='comments'><p>I like it</p></div>"):
+        assert html_text.main_text(f"<body>{extra}<div>{LAW}</div></body>") == plain == html_text.main_text(f"<body><div>{LAW}</div>{extra}</body>")
+    assert "cookies" in html_text.main_text("<body><article><p>Bake the cookies until they are brown, as the recipe will allow.</p></article></body>")
+
+
+@pytest.mark.parametrize("markup", ["<p>a" + "<font>x" * 100_000, "<div>" * 30_000 + "text", "<b>" * 50_000 + "</i>" * 50_000, "<p><font>" * 50_000, "<section class='search'>" * 20_000 + "<p>hello", "<ul>" + "<li>x" * 50_000])
+def test_unclosed_markup_takes_linear_time(markup):
+    began = time.process_time()
+    html_text.main_text(f"<html><body>{markup}")
+    assert time.process_time() - began < 10  # it was minutes where each tag looked at all open elements
+
+
 def test_densities_are_those_of_the_definition():
     html = "<body><div><p>Some words of text here</p><p>More <a>link text</a> here</p></div><section><a>one link</a><a>two</a></section><p>end</p></body>"
     tree = html_text.Tree()

@@ -140,3 +140,14 @@ def test_quality_equals_plain_algebra(spark):
     blocks = [np.flatnonzero(np.isclose(fitted, v)) for v in np.unique(fitted.round(12))]
     assert model.value == pytest.approx([(good[b].sum() + 0.5) / (total[b].sum() + 1) for b in blocks])
     assert model.at == pytest.approx([((used[b] + 0.5) / quality.BINS * 2 - 0.5) @ total[b] / total[b].sum() for b in blocks])
+
+
+def test_isotonic_never_falls_on_unequal_bins():
+    rng = np.random.default_rng(0)
+    at, value = quality.isotonic(np.arange(3.0), np.array([0, 1, 90.0]), np.array([1, 100, 100.0]))
+    assert (np.diff(value) > 0).all() or len(value) == 1
+    for _ in range(300):
+        total = rng.choice([0, 1, 2, 7, 100, 5000], 12).astype(float)
+        good = np.floor(total * rng.random(12))
+        at, value = quality.isotonic(np.sort(rng.normal(size=12)), good, total)
+        assert (np.diff(value) >= 0).all() and (np.diff(at) >= 0).all() and ((0 < value) & (value < 1)).all()
