@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.text import META_WORDS, eligible_for_questions, looks_like_table, norm_ws, overlap_length, starts_mid_sentence, strip
 from loomwork.functions.vectors import dot, normalise
 from loomwork.operators import running
+from loomwork.sources.shared import small, stored
 
 CATEGORIES = ("factual", "numeric", "procedural", "comparative")
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -84,9 +85,10 @@ def centroids(members: DataFrame, group: str, vector: str) -> DataFrame:
 def other_gold(hits: DataFrame, centroid: DataFrame, vectors: DataFrame) -> DataFrame:
     """Hits that may be gold too: `strong` if they share the evidence, `similar` if near the gold's centroid.
 
-    hits: query_id, id, rank, text, evidence (non-gold rows); at most three similar ones a query, by rank."""
+    hits: query_id, id, rank, text, evidence (non-gold rows); at most three similar ones a query, by rank. A hit without a
+    vector, or of a query without a centroid, has no cosine and can only be strong."""
     shared = hits.withColumn("overlap", overlap_length(F.col("evidence"), F.col("text")))
-    near = shared.join(vectors, "id").join(centroid, "query_id").withColumn("cosine", dot("v", "centroid"))
+    near = shared.join(vectors, "id", "left").join(small(centroid), "query_id", "left").withColumn("cosine", dot("v", "centroid"))
     strong = F.col("overlap") >= EVIDENCE
     kind = F.when(strong, "strong").when(F.col("cosine") >= STRONG_COSINE, "similar")
     found = near.withColumn("kind", kind).filter(F.col("kind").isNotNull())
@@ -94,6 +96,26 @@ def other_gold(hits: DataFrame, centroid: DataFrame, vectors: DataFrame) -> Data
     return found.withColumn("_k", place).filter((F.col("kind") == "strong") | (F.col("_k") <= MOST_SIMILAR)).select("query_id", "id", "rank", "kind", "overlap", "cosine")
 
 
+def curation_entries(ranked: DataFrame, gold: DataFrame, chunks: DataFrame, evidence: DataFrame, vectors: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The sheet's entries (id, first_rank, n_strong, n_similar, warnings) of each query with gold, and its hits that may be gold too.
+
+    ranked: query_id, id, rank of a search; gold: query_id, gold, category; chunks: id, text; evidence: query_id, evidence; vectors: id, v. The gold
+    chunk shown is that of the smallest id."""
+    first = ranked.filter(F.col("rank") <= most)
+    asked = gold.filter(F.size("gold") > 0)
+    pairs = asked.select("query_id", F.explode("gold").alias("id"))
+    others = first.join(small(asked.select("query_id")), "query_id").join(small(pairs), ["query_id", "id"], "left_anti")
+    hits = others.select("query_id", "id", "rank").join(chunks.select("id", "text"), "id").join(small(evidence.select("query_id", "evidence")), "query_id")
+    centre = centroids(pairs.join(vectors, "id").select("query_id", "v"), "query_id", "v")
+    found = stored(other_gold(hits, centre, vectors), "other_gold")
+    ranks = first.join(small(pairs), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    counts = found.groupBy("query_id").agg(F.count_if(F.col("kind") == "strong").alias("n_strong"), F.count_if(F.col("kind") == "similar").alias("n_similar"))
+    shown = asked.select("query_id", F.array_min("gold").alias("id")).join(chunks.select("id", "text"), "id", "left").drop("id")
+    rows = shown.join(ranks, "query_id", "left").join(counts, "query_id", "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(F.col("query_id").alias("id"), "first_rank", number("n_strong"), number("n_similar"), gold_warnings(F.col("text"), F.col("first_rank")).alias("warnings")), found
+
+
 #: What is wrong with a gold chunk, in the order of the checks.
 WARNINGS = ("gold not found", "gold below rank 5", "gold looks like a table", "gold starts mid-sentence")
 SHORT_TAGS = dict(zip(WARNINGS, ("missing", "low rank", "table", "mid-sentence"), strict=True))

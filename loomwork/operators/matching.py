@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.shared import small
+
 
 def calorie_match(rows: DataFrame, targets: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """targets (target_id, kcal) with rows (ord, id, calories) within the tolerance, nearest first; the
@@ -12,12 +14,12 @@ def calorie_match(rows: DataFrame, targets: DataFrame, tolerance: float = 0.1) -
 
     Each target meets the rows once, with the targets broadcast; only targets without a match, found
     by an anti-join, meet them again, in an aggregate that keeps one row a target."""
-    t = F.broadcast(targets)
+    t = small(targets)
     gap = F.abs(F.col("calories") - F.col("kcal"))
     inside = F.col("calories").between(F.col("kcal") * (1 - tolerance), F.col("kcal") * (1 + tolerance))
     near = rows.join(t, inside).select("target_id", "ord", "id", "calories", gap.alias("gap"))
     missing = targets.join(near.select("target_id").distinct(), "target_id", "left_anti")
-    best = rows.join(F.broadcast(missing)).groupBy("target_id").agg(F.min(F.struct(gap.alias("gap"), F.col("ord"), F.col("id"), F.col("calories"))).alias("b"))
+    best = rows.join(small(missing)).groupBy("target_id").agg(F.min(F.struct(gap.alias("gap"), F.col("ord"), F.col("id"), F.col("calories"))).alias("b"))
     return near.withColumn("in_range", F.lit(True)).unionByName(best.select("target_id", "b.ord", "b.id", "b.calories", "b.gap").withColumn("in_range", F.lit(False)))
 
 
@@ -30,32 +32,34 @@ def meal_plans(recipes: DataFrame, targets: DataFrame) -> DataFrame:
 
     targets: target_id, kcal, carbs, protein, fat (shares). recipes is a rule table, so all its
     combinations (breakfasts times meals squared) are a bounded table too; the best of each target is an
-    aggregate over it. A target with a zero share has no plan. Ties go to the earlier rows."""
+    aggregate over it. Targets of equal numbers are planned once. A target with a zero share has no plan. Ties go to the earlier rows."""
     numbers = ("calories", "protein_g", "carbs_g", "fat_g")
     side = lambda r, p: r.select(F.col("ord").alias(f"{p}_ord"), F.col("id").alias(p), *(F.col(n).alias(f"{p}_{n}") for n in numbers))
     breakfast, meal = recipes.filter("meal_type = 'breakfast'"), recipes.filter("meal_type = 'meal'")
-    combos = side(breakfast, "breakfast").join(F.broadcast(side(meal, "lunch"))).join(F.broadcast(side(meal, "dinner")))
+    combos = side(breakfast, "breakfast").join(small(side(meal, "lunch"))).join(small(side(meal, "dinner")))
     total = {n: F.col(f"breakfast_{n}") + F.col(f"lunch_{n}") + F.col(f"dinner_{n}") for n in numbers}
     combos = combos.select("breakfast_ord", "lunch_ord", "dinner_ord", "breakfast", "lunch", "dinner", *(c.alias(n) for n, c in total.items()))
-    wanted = targets.select("target_id", "kcal", *target_macros(*map(F.col, ("kcal", "carbs", "protein", "fat"))))
+    shares = ["kcal", "carbs", "protein", "fat"]
+    wanted = targets.select(*shares).distinct().select(*shares, *target_macros(*map(F.col, shares)))
     pairs = (("calories", "kcal"), ("protein_g", "t_protein"), ("carbs_g", "t_carbs"), ("fat_g", "t_fat"))
     error = [F.try_divide(F.abs(F.col(n) - F.col(t)), F.col(t)) for n, t in pairs]
-    scored = wanted.join(F.broadcast(combos)).withColumn("score", error[0] + error[1] + error[2] + error[3]).filter("score is not null")
+    scored = wanted.join(small(combos)).withColumn("score", error[0] + error[1] + error[2] + error[3]).filter("score is not null")
     best = F.min_by(F.struct("breakfast", "lunch", "dinner", *numbers, "score"), F.struct("score", "breakfast_ord", "lunch_ord", "dinner_ord"))
-    return scored.groupBy("target_id").agg(best.alias("b")).select("target_id", "b.*")
+    plans = scored.groupBy(*shares).agg(best.alias("b"))
+    return targets.select("target_id", *shares).join(small(plans), shares).select("target_id", "b.*")
 
 
 def suggestions(plans: DataFrame, recipes: DataFrame) -> DataFrame:
     """target_id, slot, and the recipe of each of a plan's three meals."""
     slots = plans.select("target_id", F.posexplode(F.array("breakfast", "lunch", "dinner")).alias("slot", "id"))
-    return slots.join(F.broadcast(recipes.drop("ord")), "id")
+    return slots.join(small(recipes.drop("ord")), "id")
 
 
 def plan_lookup(plans: DataFrame, exercises: DataFrame) -> DataFrame:
     """id, name, place, exercise (its name, or its id where none is known), sets, reps in plan order."""
     items = plans.select("id", "name", F.posexplode("exercises").alias("place", "x")).select("id", "name", "place", "x.*")
     names = exercises.select(F.col("id").alias("exercise_id"), F.col("name").alias("exercise"))
-    return items.join(F.broadcast(names), "exercise_id", "left").select("id", "name", "place", F.coalesce("exercise", "exercise_id").alias("exercise"), "sets", "reps")
+    return items.join(small(names), "exercise_id", "left").select("id", "name", "place", F.coalesce("exercise", "exercise_id").alias("exercise"), "sets", "reps")
 
 
 def plan_for(requests: DataFrame, plans: DataFrame) -> DataFrame:

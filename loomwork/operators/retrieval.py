@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -75,11 +76,15 @@ def fused_at(routes: list[DataFrame], depths: list[int], k: int = RRF_K) -> Data
 def reranked(base: DataFrame, scores: DataFrame, pool: int) -> DataFrame:
     """base (query_id, id, rank) with its first `pool` rows in the order of rerank_score; the rest as they were.
 
-    Adds rerank_score, base_rank and a new rank; rows without a score keep their place after the scored."""
+    Adds rerank_score, base_rank and a new rank. Where any of a query's pool has no score the model has failed: the whole
+    query keeps its order and has no scores."""
     joined = base.join(scores.select("query_id", "id", "rerank_score"), ["query_id", "id"], "left")
     inside = F.col("base_rank") <= pool
-    pos = joined.withColumnRenamed("rank", "base_rank").withColumn("rerank_score", F.when(inside, F.col("rerank_score")))
-    order = Window.partitionBy("query_id").orderBy(~inside, F.desc_nulls_last(F.round("rerank_score", 9)), "base_rank")
+    own = Window.partitionBy("query_id")
+    pos = joined.withColumnRenamed("rank", "base_rank")
+    whole = F.min(F.when(inside, F.col("rerank_score").isNotNull())).over(own)
+    pos = pos.withColumn("rerank_score", F.when(inside & whole, F.col("rerank_score")))
+    order = own.orderBy(~inside, F.desc_nulls_last(F.round("rerank_score", 9)), "base_rank")
     return pos.withColumn("rank", F.row_number().over(order))
 
 
@@ -89,26 +94,44 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.size(q)), F.lit(0.0))
 
 
-def batched_scorer(model: Callable[[list[tuple[str, str]]], list[float]], batch: int = 16, most_tokens: int = 512) -> Callable[[Column, Column], Column]:
+#: Models of this worker by scorer: the loaded model, or None once it has failed.
+_LOADED: dict[str, Callable[[list[tuple[str, str]]], list[float]] | None] = {}
+
+
+def loaded_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16, most_tokens: int = 512) -> Callable[[Column, Column], Column]:
     """A re-ranking model as a column function: logits of (query, text) pairs, as probabilities.
 
-    Pairs go to the model `batch` at a time. Of a pair that is too long only the text is cut (in words), never the
-    query. A batch on which the model fails has null scores, so its rows keep their place in the order before."""
+    `load` is called once in each worker, when its first pair comes. Pairs go to the model `batch` at a time, those of like length
+    together, and scores come back in the rows' order. Of a pair that is too long only the text is cut (in words), never the query.
+    A model that cannot be loaded or fails on a batch has failed for good: that worker's further pairs have null scores, and it is not
+    tried again; `reranked` leaves a query with such a pair in its order."""
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(query: pd.Series, text: pd.Series) -> pd.Series:
-        out: list[float | None] = []
         pairs = [(q or "", " ".join((t or "").split(" ")[: max(0, most_tokens - len((q or "").split(" ")))])) for q, t in zip(query, text, strict=True)]
-        for i in range(0, len(pairs), batch):
-            try:
-                out += [1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x)) for x in model(pairs[i : i + batch])]
-            except Exception:  # a failing model must not fail the search
-                out += [None] * len(pairs[i : i + batch])
+        out: list[float | None] = [None] * len(pairs)
+        by_length = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]) + len(pairs[i][1]))
+        try:
+            if pairs and name not in _LOADED:
+                _LOADED[name] = None  # what it stays if loading fails
+                _LOADED[name] = load()
+            for begin in range(0, len(pairs) if _LOADED.get(name) else 0, batch):
+                chosen = by_length[begin : begin + batch]
+                for i, x in zip(chosen, _LOADED[name]([pairs[i] for i in chosen]), strict=True):
+                    out[i] = 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
+        except Exception:  # a failing model must not fail the search
+            _LOADED[name] = None
         return pd.Series(out, dtype="float64")
 
     return score
 
 
+def batched_scorer(model: Callable[[list[tuple[str, str]]], list[float]], batch: int = 16, most_tokens: int = 512) -> Callable[[Column, Column], Column]:
+    """As loaded_scorer, of a model that is there already."""
+    return loaded_scorer(lambda: model, batch, most_tokens)
+
+
 @dataclass(frozen=True)
 class Mode:
     base: str

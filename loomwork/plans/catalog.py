@@ -11,8 +11,8 @@ from loomwork.functions import calculators as calc
 from loomwork.functions import scalars, text
 from loomwork.functions.vectors import dot
 from loomwork.operators import evaluation, golden, lexical, matching, passages, retrieval, usage
-from loomwork.sources import files, rules
-from loomwork.sources.shared import small, stored
+from loomwork.sources import files, rules, tables
+from loomwork.sources.shared import shared_path, small, stored
 from loomwork.streaming.token_bucket import run_to_end, token_bucket_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,32 @@ def search_hybrid_rerank(spark, sf_dir):
     return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "dense_rank", "rerank_rank")
 
 
+_CUT = "array_to_string(string_split(d.text, ' ')[1 : greatest(0, 512 - len(string_split(b.text, ' ')))], ' ')"
+
+
+@query(
+    f"WITH {_BM25.strip()}, {_OVERLAP.strip().replace('d.text AS dt', _CUT + ' AS dt')} SELECT query_id, id, base_rank, CASE WHEN base_rank <= 20 THEN round(1 / (1 + exp(4 - 8 * rerank_score)), 6) END AS rerank_score, "
+    "row_number() OVER (PARTITION BY query_id ORDER BY base_rank > 20, CASE WHEN base_rank <= 20 THEN -round(1 / (1 + exp(4 - 8 * rerank_score)), 9) END, base_rank) AS rank FROM olap"
+)
+def rerank_by_model(spark, sf_dir):
+    """The pool re-ranked by a scorer that each worker loads once; its stand-in model has logits from the share of the query's terms."""
+
+    def load():
+        from loomwork.functions.text import tokens_of
+
+        def share(query, words):
+            asked = set(tokens_of(query))
+            return len(asked & set(tokens_of(words))) / len(asked) if asked else 0.0
+
+        return lambda pairs: [8 * share(*pair) - 4 for pair in pairs]
+
+    hybrid = stored(_routes(spark, sf_dir)["hybrid"].select("query_id", "id", "rank"), "hybrid")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    joined = hybrid.filter("rank <= 20").join(docs, "id").join(small(_items(spark, sf_dir)), "query_id")
+    scored = joined.select("query_id", "id", retrieval.loaded_scorer(load)(F.col("query"), F.col("text")).alias("rerank_score"))
+    return retrieval.reranked(hybrid, scored, 20).select("query_id", "id", "base_rank", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 def _chunks(spark, sf_dir):
     """All documents, with vectors where they have them, and the items that have one."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
@@ -493,37 +519,61 @@ def fresh_chunks(spark, sf_dir):
     return golden.fresh(docs, docs.filter("id % 3 = 0").select(F.col("id").alias("chunk_id"))).select("id")
 
 
+_NO_WS = r"regexp_replace({0}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', '', 'g')"
+_OTHER_SQL = f"""
+hit AS (
+  SELECT f.query_id, f.id, f.rank, {_NO_WS.format("d.text")} AS t, {_NO_WS.format("left(b.text, 60)")} AS e
+  FROM frank f JOIN gold g USING (query_id) JOIN documents d ON d.doc_id = f.id JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 50 AND NOT list_contains(g.gold, f.id)),
+gp AS (SELECT query_id, unnest(gold) AS id FROM gold), gx AS (SELECT query_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM gp JOIN vec USING (id)),
+gm AS (SELECT query_id, i, avg(x) AS m FROM gx GROUP BY query_id, i), cen AS (SELECT query_id, list(m ORDER BY i) AS c FROM gm GROUP BY query_id),
+kin AS (
+  SELECT hit.query_id, hit.id, rank, len(list_filter(range(1, greatest(length(e) - 13, 1)), lambda i: contains(t, substr(e, i, 15)))) > 0 AS strong,
+    coalesce(list_dot_product(v, c) / sqrt(list_dot_product(c, c)) >= 0.88, false) AS near
+  FROM hit LEFT JOIN vec ON vec.id = hit.id LEFT JOIN cen ON cen.query_id = hit.query_id),
+oth AS (
+  SELECT query_id, id, rank, CASE WHEN strong THEN 'strong' ELSE 'similar' END AS kind FROM kin WHERE strong OR near
+  QUALIFY strong OR row_number() OVER (PARTITION BY query_id, strong ORDER BY rank) <= 3)"""
 _SHEET_SQL = f"""
-l AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 12 + 1 END AS first_rank, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 0 END AS n_strong, CASE WHEN doc_id % 15 = 0 THEN 1 ELSE 0 END AS n_similar,
-    list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda v: {_STRIPPED.format("v")}), lambda v: v <> '') AS ls FROM documents),
+g1 AS (SELECT query_id, list_min(gold) AS least FROM gold),
+fr AS (SELECT gp.query_id, min(rank) AS first_rank FROM gp JOIN frank f ON f.query_id = gp.query_id AND f.id = gp.id WHERE rank <= 50 GROUP BY gp.query_id),
+l AS (
+  SELECT g1.query_id AS id, text, first_rank, (SELECT count(*) FROM oth o WHERE o.query_id = g1.query_id AND kind = 'strong') AS n_strong, (SELECT count(*) FROM oth o WHERE o.query_id = g1.query_id AND kind = 'similar') AS n_similar,
+    list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda v: {_STRIPPED.format("v")}), lambda v: v <> '') AS ls FROM g1 JOIN documents ON doc_id = least LEFT JOIN fr USING (query_id)),
 t AS (
   SELECT id, first_rank, n_strong, n_similar, first_rank IS NULL AS w1, coalesce(first_rank > 5, false) AS w2,
     len(ls) >= 6 AND len(regexp_extract_all(coalesce(text, ''), '[。！？]')) <= 2 AND coalesce(list_aggregate(list_transform(ls, lambda v: length(v)), 'median'), 0) <= 18 AS w3, NOT regexp_matches(coalesce(text, ''), '{_POOL_START}') AS w4
   FROM l)"""
 
 
-def _entries(spark, sf_dir):
-    i = F.col("doc_id")
-    rank = F.when(i % 7 != 0, i % 12 + 1)
-    rows = _table(spark, sf_dir, "documents").select(i.alias("id"), rank.alias("first_rank"), F.when(i % 10 == 0, 2).otherwise(0).alias("n_strong"), F.when(i % 15 == 0, 1).otherwise(0).alias("n_similar"), "text")
-    return rows.withColumn("warnings", golden.gold_warnings(F.col("text"), F.col("first_rank"))).drop("text")
+def _curation(spark, sf_dir):
+    """The entries of benchmark items that documents hold, and their further hits, over the fused search; the evidence is an item's beginning."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    evidence = _items(spark, sf_dir).select("query_id", F.left("query", F.lit(60)).alias("evidence"))
+    hybrid = stored(_routes(spark, sf_dir)["hybrid"], "hybrid")
+    return golden.curation_entries(hybrid, _gold(spark, sf_dir), docs, evidence, _vectors(spark, sf_dir))
+
+
+@query(f"WITH {_BM25.strip()}, {_GOLD.strip()}, {_OTHER_SQL.strip()} SELECT query_id, id, rank, kind FROM oth")
+def other_gold_hits(spark, sf_dir):
+    """Hits outside the gold that share its evidence, or are near its centroid (three a query at most)."""
+    return _curation(spark, sf_dir)[1].select("query_id", "id", "rank", "kind")
 
 
 @query(
-    f"""WITH {_SHEET_SQL.strip()}
+    f"""WITH {_BM25.strip()}, {_GOLD.strip()}, {_OTHER_SQL.strip()}, {_SHEET_SQL.strip()}
 SELECT id, array_to_string(list_filter([CASE WHEN w1 THEN 'missing' END, CASE WHEN w2 THEN 'low rank' END, CASE WHEN w3 THEN 'table' END, CASE WHEN w4 THEN 'mid-sentence' END], lambda x: x IS NOT NULL), ', ') AS tags,
   row_number() OVER (ORDER BY n_strong = 0, NOT (w1 OR w2), id) AS priority FROM t WHERE w1 OR w2 OR w3 OR w4 OR n_strong > 0 OR n_similar > 0"""
 )
 def curation_sheet(spark, sf_dir):
-    """The worksheet's rows by priority, over documents as gold chunks with ranks and counts made from their ids."""
-    return golden.worksheet(_entries(spark, sf_dir)).select("id", F.array_join("tags", ", ").alias("tags"), "priority")
+    """The worksheet's rows by priority, over the fused search's ranks of the gold."""
+    return golden.worksheet(_curation(spark, sf_dir)[0]).select("id", F.array_join("tags", ", ").alias("tags"), "priority")
 
 
 @query(
-    f"WITH {_SHEET_SQL.strip()} SELECT count(*) AS n, count(*) FILTER (n_strong > 0) AS n_strong, count(*) FILTER (n_similar > 0) AS n_similar, count(*) FILTER (w1 OR w2) AS n_bad_rank, count(*) FILTER (w3) AS n_table, count(*) FILTER (w4) AS n_mid_sentence FROM t"
+    f"WITH {_BM25.strip()}, {_GOLD.strip()}, {_OTHER_SQL.strip()}, {_SHEET_SQL.strip()} SELECT count(*) AS n, count(*) FILTER (n_strong > 0) AS n_strong, count(*) FILTER (n_similar > 0) AS n_similar, count(*) FILTER (w1 OR w2) AS n_bad_rank, count(*) FILTER (w3) AS n_table, count(*) FILTER (w4) AS n_mid_sentence FROM t"
 )
 def curation_counts(spark, sf_dir):
-    return golden.curation_tallies(_entries(spark, sf_dir))
+    return golden.curation_tallies(_curation(spark, sf_dir)[0])
 
 
 @query("SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN '' ELSE left(text, 30) END AS evidence FROM benchmark")
@@ -542,7 +592,6 @@ _CANDIDATES_SQL = """
 i AS (
   SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE left(text, 40) END AS question, CASE WHEN doc_id % 13 = 0 THEN left(text, 10) ELSE substr(text, 20, 60) END AS answer,
     CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 5 = 0 THEN left(text, 30) || ' never' ELSE substr(text, 5, 50) END AS evidence, text FROM documents)"""
-_NO_WS = r"regexp_replace({0}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', '', 'g')"
 
 
 @query(
@@ -586,7 +635,7 @@ SELECT vec_id, label, cosine FROM s"""
 def centroid_similarity(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings")
     centre = golden.centroids(rows, "label", "embedding")
-    return rows.join(F.broadcast(centre), "label").select("vec_id", "label", F.round(dot("embedding", "centroid"), 6).alias("cosine"))
+    return rows.join(small(centre), "label").select("vec_id", "label", F.round(dot("embedding", "centroid"), 6).alias("cosine"))
 
 
 @query(
@@ -725,45 +774,61 @@ def calorie_match(spark, sf_dir):
     return matching.calorie_match(rows, targets, 0.01).withColumn("gap", F.round("gap", 6))
 
 
-_TARGETS = [(1, 1500.0, 0.4, 0.4, 0.2), (2, 3000.0, 0.6, 0.3, 0.1), (3, 2000.0, 0.45, 0.3, 0.25), (4, 1800.0, 1.0, 0.0, 0.0), (5, 1200.0, 0.5, 0.3, 0.2)]
+_TARGET_SQL = """
+t AS (
+  SELECT c_custkey AS target_id, 1200.0::DOUBLE + c_custkey % 40 * 50 AS kcal, [0.4, 0.6, 0.45, 1.0][c_custkey % 4 + 1]::DOUBLE AS carbs, [0.4, 0.3, 0.3, 0.0][c_custkey % 4 + 1]::DOUBLE AS protein, [0.2, 0.1, 0.25, 0.0][c_custkey % 4 + 1]::DOUBLE AS fat
+  FROM customer)"""
+_SHARES = {"carbs": (0.4, 0.6, 0.45, 1.0), "protein": (0.4, 0.3, 0.3, 0.0), "fat": (0.2, 0.1, 0.25, 0.0)}
+
+
+def _targets(spark, sf_dir):
+    """Each customer's calories and shares."""
+    k = F.col("c_custkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % 4 + 1).cast("int"))
+    return _table(spark, sf_dir, "customer").select(k.alias("target_id"), (F.lit(1200.0) + k % 40 * 50).alias("kcal"), *(pick(v).alias(n) for n, v in _SHARES.items()))
 
 
 @query(
-    f"""WITH {_RECIPE_SQL}, t(target_id, kcal, carbs, protein, fat) AS (VALUES {", ".join(f"({a}, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE)" for a, b, c, d, e in _TARGETS)}),
+    f"""WITH {_RECIPE_SQL}, {_TARGET_SQL.strip()},
 c AS (
   SELECT b.ord AS bo, l.ord AS lo, d.ord AS dd, b.id AS breakfast, l.id AS lunch, d.id AS dinner, b.calories + l.calories + d.calories AS calories, b.protein_g + l.protein_g + d.protein_g AS protein_g,
     b.carbs_g + l.carbs_g + d.carbs_g AS carbs_g, b.fat_g + l.fat_g + d.fat_g AS fat_g FROM r b, r l, r d WHERE b.meal_type = 'breakfast' AND l.meal_type = 'meal' AND d.meal_type = 'meal'),
+u AS (SELECT DISTINCT kcal, carbs, protein, fat FROM t),
 s AS (
-  SELECT t.target_id, c.*, abs(calories - kcal) / kcal + abs(protein_g - kcal * protein / 4) / nullif(kcal * protein / 4, 0) + abs(carbs_g - kcal * carbs / 4) / nullif(kcal * carbs / 4, 0) + abs(fat_g - kcal * fat / 9) / nullif(kcal * fat / 9, 0) AS score FROM t, c),
-k AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score, bo, lo, dd) AS k FROM s WHERE score IS NOT NULL)
-SELECT target_id, breakfast, lunch, dinner, calories, protein_g, carbs_g, fat_g, round(score, 9) AS score FROM k WHERE k = 1"""
+  SELECT u.*, c.*, abs(calories - kcal) / kcal + abs(protein_g - kcal * protein / 4) / nullif(kcal * protein / 4, 0) + abs(carbs_g - kcal * carbs / 4) / nullif(kcal * carbs / 4, 0) + abs(fat_g - kcal * fat / 9) / nullif(kcal * fat / 9, 0) AS score FROM u, c),
+k AS (SELECT *, row_number() OVER (PARTITION BY kcal, carbs, protein, fat ORDER BY score, bo, lo, dd) AS k FROM s WHERE score IS NOT NULL)
+SELECT target_id, breakfast, lunch, dinner, calories, protein_g, carbs_g, fat_g, round(score, 9) AS score FROM k JOIN t USING (kcal, carbs, protein, fat) WHERE k = 1"""
 )
 def meal_combo_argmin(spark, sf_dir):
-    targets = spark.createDataFrame(_TARGETS, "target_id int, kcal double, carbs double, protein double, fat double")
-    return matching.meal_plans(rules.recipes(spark), targets).withColumn("score", F.round("score", 9))
+    """The best three meals for each customer's target."""
+    return matching.meal_plans(rules.recipes(spark), _targets(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
 _PLAN_VALUES = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', {p}, '{x[0]}', {x[1]}, {x[2]})" for r in rules.PLANS for p, x in enumerate(r[3]))
 _EXERCISE_VALUES = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}')" for r in rules.EXERCISES)
+_CHOSEN_SQL = "q AS (SELECT c_custkey AS request_id, CASE c_custkey % 6 WHEN 1 THEN 'shoulder-day' WHEN 2 THEN 'back-day' WHEN 3 THEN 'legs-day' WHEN 4 THEN 'arms-day' ELSE 'chest-day' END AS plan_id FROM customer)"
+
+
+def _chosen(spark, sf_dir):
+    """request_id, id: the plan that each customer's muscle group asks for."""
+    return plan_for_group(spark, sf_dir).withColumnRenamed("plan_id", "id")
 
 
 @query(
-    f"""WITH p(id, name, muscle_group, place, exercise_id, sets, reps) AS (VALUES {_PLAN_VALUES}), e(id, name, muscle_group) AS (VALUES {_EXERCISE_VALUES})
-SELECT p.id, p.name, p.place, coalesce(e.name, p.exercise_id) AS exercise, p.sets, p.reps FROM p LEFT JOIN e ON e.id = p.exercise_id"""
+    f"""WITH p(id, name, muscle_group, place, exercise_id, sets, reps) AS (VALUES {_PLAN_VALUES}), e(id, name, muscle_group) AS (VALUES {_EXERCISE_VALUES}), {_CHOSEN_SQL}
+SELECT request_id, p.id, p.name, p.place, coalesce(e.name, p.exercise_id) AS exercise, p.sets, p.reps FROM q JOIN p ON p.id = q.plan_id LEFT JOIN e ON e.id = p.exercise_id"""
 )
 def plan_lookup(spark, sf_dir):
-    return matching.plan_lookup(rules.plans(spark), rules.exercises(spark))
+    """The exercises of each customer's plan, by name."""
+    return _chosen(spark, sf_dir).join(small(matching.plan_lookup(rules.plans(spark), rules.exercises(spark))), "id")
 
 
-_COMBO_SQL = ORACLES["meal_combo_argmin"]
-
-
-@query(f"""WITH m AS ({_COMBO_SQL}), {_RECIPE_SQL}, s AS (SELECT target_id, unnest([0, 1, 2]) AS slot, unnest([breakfast, lunch, dinner]) AS id FROM m)
+@query(f"""WITH m AS ({ORACLES["meal_combo_argmin"]}), {_RECIPE_SQL}, s AS (SELECT target_id, unnest([0, 1, 2]) AS slot, unnest([breakfast, lunch, dinner]) AS id FROM m)
 SELECT target_id, slot, s.id, r.category, r.calories FROM s JOIN r ON r.id = s.id""")
 def plan_suggestions(spark, sf_dir):
-    targets = spark.createDataFrame(_TARGETS, "target_id int, kcal double, carbs double, protein double, fat double")
+    """The three recipes of each customer's plan."""
     table = rules.recipes(spark)
-    return matching.suggestions(matching.meal_plans(table, targets), table).select("target_id", "slot", "id", "category", "calories")
+    return matching.suggestions(matching.meal_plans(table, _targets(spark, sf_dir)), table).select("target_id", "slot", "id", "category", "calories")
 
 
 _PRESET_SQL = ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in scalars.PRESETS.items())
@@ -779,11 +844,16 @@ def preset_macros(spark, sf_dir):
     return rows.select("id", "goal", *grams).select("id", "goal", *(F.round(c, 6).alias(c) for c in ("t_carbs", "t_protein", "t_fat")))
 
 
-@query(f"""WITH p(id, name, muscle_group, place, exercise_id, sets, reps) AS (VALUES {_PLAN_VALUES}), k AS (SELECT id, place, exercise_id, sets, reps FROM p WHERE exercise_id <> 'push-up' UNION ALL SELECT DISTINCT id, 99, 'lunge', 3, 10 FROM p)
-SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS INTEGER) AS place, exercise_id, sets, reps FROM k""")
+@query(f"""WITH p(id, name, muscle_group, place, exercise_id, sets, reps) AS (VALUES {_PLAN_VALUES}), {_CHOSEN_SQL},
+o AS (SELECT request_id, plan_id AS id, ['push-up', 'pull-up', 'lunge'][request_id % 3 + 1] AS gone FROM q),
+k AS (SELECT request_id, o.id, place, exercise_id, sets, reps FROM o JOIN p ON p.id = o.id WHERE exercise_id <> gone UNION ALL SELECT request_id, id, 99, 'deadlift', 3, 10 FROM o)
+SELECT request_id, id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY place) - 1 AS INTEGER) AS place, exercise_id, sets, reps FROM k""")
 def plan_edited(spark, sf_dir):
-    changed = rules.plans(spark).select("id", F.posexplode(matching.edited(F.col("exercises"), F.lit("push-up"), F.lit("lunge"))).alias("place", "x"))
-    return changed.select("id", "place", "x.*")
+    """Each customer's plan without the exercise they took out, and with one more at its end."""
+    gone = F.element_at(F.array(*map(F.lit, ("push-up", "pull-up", "lunge"))), (F.col("request_id") % 3 + 1).cast("int"))
+    owned = _chosen(spark, sf_dir).join(small(rules.plans(spark).select("id", "exercises")), "id")
+    changed = owned.select("request_id", "id", F.posexplode(matching.edited(F.col("exercises"), gone, F.lit("deadlift"))).alias("place", "x"))
+    return changed.select("request_id", "id", "place", "x.*")
 
 
 @query("SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey % 4 <> 0")
@@ -799,9 +869,19 @@ def plan_for_group(spark, sf_dir):
     return matching.plan_for(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), group.alias("muscle_group")), rules.plans(spark))
 
 
-@query(f"WITH {_RECIPE_SQL} SELECT category, meal_type, count(*) AS n, sum(calories) AS calories FROM r GROUP BY category, meal_type")
+@query(
+    f"""WITH {_RECIPE_SQL}, {_TARGET_SQL.strip()}, w AS (SELECT kcal / 3 AS kcal, count(*) AS n FROM t GROUP BY kcal),
+i AS (SELECT w.kcal, n, r.* FROM w JOIN r ON calories BETWEEN kcal * (1 - 0.1::DOUBLE) AND kcal * (1 + 0.1::DOUBLE)),
+c AS (SELECT w.kcal, n, r.* FROM w, r WHERE w.kcal NOT IN (SELECT kcal FROM i) QUALIFY row_number() OVER (PARTITION BY w.kcal ORDER BY abs(calories - w.kcal), ord) = 1)
+SELECT category, meal_type, CAST(sum(n) AS BIGINT) AS n, sum(n * calories) AS calories FROM (SELECT * FROM i UNION ALL SELECT * FROM c) GROUP BY category, meal_type"""
+)
 def recipe_groups(spark, sf_dir):
-    return rules.recipes(spark).groupBy("category", "meal_type").agg(F.count("*").alias("n"), F.sum("calories").alias("calories"))
+    """How often recipes of each category and meal fit a third of a customer's calories, and their calories."""
+    wanted = _targets(spark, sf_dir).groupBy((F.col("kcal") / 3).alias("kcal")).agg(F.count("*").alias("n"), F.min("target_id").alias("target_id"))
+    table = rules.recipes(spark)
+    found = matching.calorie_match(table.select("ord", "id", "calories"), wanted.select("target_id", "kcal")).select("target_id", "id", "calories")
+    joined = found.join(small(wanted.select("target_id", "n")), "target_id").join(small(table.select("id", "category", "meal_type")), "id")
+    return joined.groupBy("category", "meal_type").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("calories")).alias("calories"))
 
 
 # ---------------------------------------------------------------- usage
@@ -890,6 +970,29 @@ def latest_profile(spark, sf_dir):
     return matching.latest(rows, "o_custkey", "o_orderdate").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+@query(ORACLES["latest_profile"])
+def profile_upserts(spark, sf_dir):
+    """Orders written as profiles in three batches, out of order, one of them twice; a later row is never replaced by an earlier one."""
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    table = tables.KeyedTable(spark, shared_path(spark, "profiles"), "o_custkey long, o_orderkey long, o_totalprice double, o_orderdate date", ["o_custkey"], 16)
+    for part, number in ((2, 0), (0, 1), (0, 1), (1, 2)):
+        chosen = rows.filter(F.pmod("o_orderkey", F.lit(3)) == part)
+        table.replace(chosen.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in table.columns)), ["o_orderdate", "o_orderkey"], ("orders", number))
+    return table.read().select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(ORACLES["blocked_counter"])
+def blocked_upserts(spark, sf_dir):
+    """The counter of blocked calls as a table that a stream counts up, batch by batch."""
+    path = shared_path(spark, "blocked")
+    decided = usage.budget_gate(_events(spark, sf_dir), 3, 2000).filter("decision != 'ok'").select("user_id", "day", F.lit(1).cast("long").alias("blocked"))
+    decided.repartition(4).write.parquet(f"{path}/calls")
+    table = tables.KeyedTable(spark, f"{path}/table", "user_id long, day string, blocked long", ["user_id", "day"], 16)
+    calls = spark.readStream.schema(decided.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/calls")
+    tables.run_into(calls, "blocked", f"{path}/state", lambda rows, batch: table.count_up(rows, ["blocked"], batch))
+    return table.read().select("user_id", "day", "blocked")
+
+
 @query("SELECT event_id, CASE WHEN try_cast(props AS JSON) IS NULL THEN props ELSE 'BMR ' || CASE WHEN json_extract(props, '$.k') IS NULL THEN '-' ELSE CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) END || ' kcal · TDEE - kcal' END AS line FROM events")
 def json_log_format(spark, sf_dir):
     raw = F.replace(F.col("props"), F.lit('"k"'), F.lit('"bmr"'))
