@@ -25,6 +25,17 @@ ANSWER_PROMPT = """你是健身营养助手。请只根据下面提供的文档
 
 文档片段：
 %s"""
+RECIPE_PROMPT = "你是注册营养师，根据用户的热量与宏量目标推荐中式家常菜谱，热量和宏量尽量贴近目标。"
+PLAN_PROMPT = "你是健身教练，根据部位、水平、器械生成训练计划。"
+JUDGE_USER = "【文档片段】\n%s\n\n【用户问题】\n%s\n\n【系统回答】\n%s"
+PROMPT_VERSIONS = {"recipe": "v1", "plan": "v1", "answer": "v1", "judge": "v2"}
+
+#: What a judge is told, in our own words; scores are those of evaluation.AXES.
+JUDGE_PROMPT = """你要评审一个问答系统的回答，只看给出的文档片段、用户问题和系统回答，不用自己的知识判断对错。
+三项各自打 1 到 5 分，互不影响，并用一两句话写出理由（reasoning）：
+faithfulness：回答里的陈述有多少能在片段里找到依据；片段不足而如实说明的，给 5 分。
+relevance：回答是否一直在谈所问的事；如实说明无法回答的，给 5 分。
+sufficiency：用户是否从回答里得到了想知道的；没有回答的，给 1 分。"""
 
 _STRIP = r"(?U)^\s+|\s+$"
 
@@ -199,3 +210,14 @@ def format_chunks(items: Column) -> Column:
     """An array of (source, text) as one prompt block; a fixed note where it is empty."""
     shown = F.array_join(F.transform(items, lambda x: F.concat(F.lit("【"), x["source"], F.lit("】"), x["text"])), "\n\n")
     return F.when(F.size(items) > 0, shown).otherwise(F.lit(NO_CONTEXT))
+
+
+def request_prompt(kind: str, request: Column) -> Column:
+    """version, system, user of a provider request; kind: recipe or plan. The user message is the request as JSON."""
+    system = {"recipe": RECIPE_PROMPT, "plan": PLAN_PROMPT}[kind]
+    return F.struct(F.lit(PROMPT_VERSIONS[kind]).alias("version"), F.lit(system).alias("system"), F.to_json(request).alias("user"))
+
+
+def judge_prompt(question: Column, answer: Column, context: Column) -> Column:
+    """The judge's user message; the context is what the answer was made from, letter for letter."""
+    return F.format_string(JUDGE_USER, context, question, answer)

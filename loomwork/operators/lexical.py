@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.functions.text import tokenize, tokens_of
-from loomwork.sources.shared import shared_dir, small, stored
+from loomwork.sources.shared import shared_dir, small, stored, text_batches
 
 # Fixed values of the score.
 K1, B = 1.5, 0.75
 #: Postings in a segment before it is closed, postings in a block, queries that meet a segment at once.
-SEGMENT, BLOCK, TOGETHER = 1 << 20, 128, 1024
+SEGMENT, BLOCK, TOGETHER = 1 << 19, 128, 1024
 #: Documents that get whole scores when the rest is ruled out.
 FEW = 2048
 NO_ID = np.iinfo(np.int64).min
@@ -248,7 +248,8 @@ class FileIndex:
             run = f"run-{len(lists):06d}-{uuid.uuid4().hex}"
             if self.scanned:
                 docs = self.spark.read.parquet(*self.scanned)
-                segments(docs.select(self.key, self.text, F.col("_metadata.file_path").alias("_from")), self.key, self.text, "_from").write.parquet(f"{self.folder}/{run}")
+                with text_batches(self.spark):
+                    segments(docs.select(self.key, self.text, F.col("_metadata.file_path").alias("_from")), self.key, self.text, "_from").write.parquet(f"{self.folder}/{run}")
             name = f"files-{len(lists):06d}"
             state.select("file", "stamp", F.coalesce("run", F.lit(run)).alias("run")).write.mode("overwrite").parquet(f"{self.folder}/{name}")
             before = self.spark.read.schema(kept).parquet(f"{self.folder}/{name}")
@@ -264,4 +265,5 @@ class FileIndex:
 
 def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The segments of any documents, written once to the shared folder."""
-    return stored(segments(docs, key, text), "segments")
+    with text_batches(docs.sparkSession):
+        return stored(segments(docs, key, text), "segments")

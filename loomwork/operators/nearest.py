@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.sources.shared import MOST_BROADCAST_ROWS
+from loomwork.sources.shared import MOST_BROADCAST_ROWS, stored
 
 #: Vectors and queries in a block.
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
@@ -41,7 +41,7 @@ def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
-    """query_id, id, score (dot product, in double), rank by score rounded to 9 digits, then id.
+    """query_id, id, score (dot product, in double), rank by score rounded to 9 digits, then id. The packed vectors are written to the shared folder.
 
     vectors: id, v; queries: query_id, q; null vectors take no part, different lengths are an error. The stated queries meet every
     vector, a block with a block. Few queries go to all tasks, as a count shows when this is built; else both sides are
@@ -50,7 +50,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame
     spark, wanted = vectors.sparkSession, max(most, 0)
     few = queries.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
     buckets = 1 if few else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = _packed(vectors, "id", "v", BLOCK_ROWS).withColumn("bucket", F.pmod(F.xxhash64("keys"), F.lit(buckets)))
+    held = stored(_packed(vectors, "id", "v", BLOCK_ROWS), "packed").withColumn("bucket", F.pmod(F.xxhash64("keys"), F.lit(buckets)))
     asked = _packed(queries.repartition(1) if few else queries, "query_id", "q", QUERY_ROWS).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     asked = asked.select("bucket", *(F.col(c).alias(f"q_{c}") for c in ("keys", "width", "data", "kind")))
     pairs = held.join(F.broadcast(asked) if few else asked, "bucket").select("keys", "width", "data", "kind", "q_keys", "q_width", "q_data", "q_kind")

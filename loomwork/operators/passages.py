@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.sources.shared import stored, text_batches
+
 #: Passages and their characters in one automaton; more of them take another pass.
 MOST_PASSAGES, MOST_CHARS = 50_000, 1 << 25
 
@@ -30,7 +32,8 @@ def holding(texts: DataFrame, passages: DataFrame, key: str = "doc_id", text: st
     """passage_key, key: each pair of a text and a passage that it holds, letter for letter, once a row of `texts`.
 
     Null texts hold nothing, null passages are nowhere; an empty passage is in every text. Passages that are alike are each found. Up to
-    MOST_PASSAGES passages of MOST_CHARS characters are one pass over the texts."""
+    MOST_PASSAGES passages of MOST_CHARS characters are one pass over the texts, which is run when this is called; what it finds is
+    written to the shared folder."""
     schema = T.StructType([T.StructField(passage_key, passages.schema[passage_key].dataType), T.StructField(key, texts.schema[key].dataType)])
     found = None
     for part in _automatons(passages, passage_key, passage):
@@ -61,6 +64,7 @@ def holding(texts: DataFrame, passages: DataFrame, key: str = "doc_id", text: st
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(schema[passage_key].dataType)
-        one = texts.select(key, text).mapInArrow(search, schema)
+        with text_batches(texts.sparkSession):
+            one = stored(texts.select(key, text).mapInArrow(search, schema), "holding")
         found = one if found is None else found.unionByName(one)
     return found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import calculators as calc
-from loomwork.functions import scalars, text
+from loomwork.functions import scalars, text, vectors
 from loomwork.functions.vectors import dot
 from loomwork.operators import evaluation, golden, lexical, matching, passages, retrieval, usage
 from loomwork.sources import files, rules, tables
@@ -247,6 +247,29 @@ def ask_prompts(spark, sf_dir):
     return retrieval.ask_prompts(retrieval.search(chunks, asked, "dense", 5))
 
 
+@query(
+    f"""SELECT c_custkey AS request_id, '{text.PROMPT_VERSIONS["recipe"]}' AS version, CASE WHEN c_custkey % 2 = 0 THEN '{text.RECIPE_PROMPT}' ELSE '{text.PLAN_PROMPT}' END AS system,
+  CASE WHEN c_custkey % 2 = 0 THEN '{{"calories":' || (1200 + c_custkey % 40 * 50) || ',"goal":"cut"}}' ELSE '{{"muscleGroup":"back","level":"beginner"}}' END AS user FROM customer"""
+)
+def provider_prompts(spark, sf_dir):
+    """The system and user messages of recipe and plan requests."""
+    k = F.col("c_custkey")
+    recipe = text.request_prompt("recipe", F.struct((1200 + k % 40 * 50).alias("calories"), F.lit("cut").alias("goal")))
+    plan = text.request_prompt("plan", F.struct(F.lit("back").alias("muscleGroup"), F.lit("beginner").alias("level")))
+    return _table(spark, sf_dir, "customer").select(k.alias("request_id"), F.when(k % 2 == 0, recipe).otherwise(plan).alias("p")).select("request_id", "p.*")
+
+
+@query(
+    f"""WITH a AS ({ORACLES["ask_prompts"]}) SELECT query_id, '{text.PROMPT_VERSIONS["judge"]}' AS version,
+  '【文档片段】' || chr(10) || context || chr(10) || chr(10) || '【用户问题】' || chr(10) || b.text || chr(10) || chr(10) || '【系统回答】' || chr(10) || sources[1] AS user FROM a JOIN benchmark b ON item_id = query_id"""
+)
+def judge_prompts(spark, sf_dir):
+    """The judge's user messages for the answers to the benchmark items, whose text is the first source here."""
+    asked = ask_prompts(spark, sf_dir).join(small(_items(spark, sf_dir)), "query_id")
+    user = text.judge_prompt(F.col("query"), F.col("sources")[0], F.col("context"))
+    return asked.select("query_id", F.lit(text.PROMPT_VERSIONS["judge"]).alias("version"), user.alias("user"))
+
+
 # ---------------------------------------------------------------- chunking
 
 _STRIPPED = r"regexp_replace({0}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+$', '', 'g')"
@@ -590,7 +613,7 @@ def redacted_excerpts(spark, sf_dir):
 
 _CANDIDATES_SQL = """
 i AS (
-  SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE left(text, 40) END AS question, CASE WHEN doc_id % 13 = 0 THEN left(text, 10) ELSE substr(text, 20, 60) END AS answer,
+  SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN left(text, 40) || ' 上文' ELSE left(text, 40) END AS question, CASE WHEN doc_id % 13 = 0 THEN left(text, 10) ELSE substr(text, 20, 60) END AS answer,
     CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 5 = 0 THEN left(text, 30) || ' never' ELSE substr(text, 5, 50) END AS evidence, text FROM documents)"""
 
 
@@ -598,7 +621,7 @@ i AS (
     f"""WITH {_CANDIDATES_SQL.strip()},
 r AS (
   SELECT doc_id, CASE WHEN {_STRIPPED.format("question")} = '' OR {_STRIPPED.format("answer")} = '' THEN 'missing question or answer' WHEN {_STRIPPED.format("evidence")} = '' THEN 'missing evidence'
-    WHEN NOT contains({_NO_WS.format("text")}, {_NO_WS.format("evidence")}) THEN 'evidence not in chunk' WHEN contains({_NO_WS.format("question")}, {_NO_WS.format("answer")}) THEN 'answer repeats question' END AS reason FROM i)
+    WHEN NOT contains({_NO_WS.format("text")}, {_NO_WS.format("evidence")}) THEN 'evidence not in chunk' WHEN contains({_NO_WS.format("question")}, {_NO_WS.format("answer")}) THEN 'answer repeats question' WHEN regexp_matches(question, '{text.META_WORDS}') THEN 'question refers to the text' END AS reason FROM i)
 SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason"""
 )
 def golden_validate(spark, sf_dir):
@@ -606,7 +629,7 @@ def golden_validate(spark, sf_dir):
     part = lambda a, n: F.substring(t, a, n)
     items = _table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.when(d % 11 == 0, "  ").otherwise(part(1, 40)).alias("question"),
+        F.when(d % 11 == 0, "  ").when(d % 3 == 1, F.concat(part(1, 40), F.lit(" 上文"))).otherwise(part(1, 40)).alias("question"),
         F.when(d % 13 == 0, part(1, 10)).otherwise(part(20, 60)).alias("reference_answer"),
         F.when(d % 7 == 0, "").when(d % 5 == 0, F.concat(part(1, 30), F.lit(" never"))).otherwise(part(5, 50)).alias("evidence"),
         t.alias("chunk"), F.lit("factual").alias("category"), F.lit("easy").alias("difficulty"),
@@ -993,10 +1016,76 @@ def blocked_upserts(spark, sf_dir):
     return table.read().select("user_id", "day", "blocked")
 
 
-@query("SELECT event_id, CASE WHEN try_cast(props AS JSON) IS NULL THEN props ELSE 'BMR ' || CASE WHEN json_extract(props, '$.k') IS NULL THEN '-' ELSE CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) END || ' kcal · TDEE - kcal' END AS line FROM events")
+_LOG_RAW = "replace(props, '\"k\"', '\"' || ['bmr', 'bodyFatPct', 'proteinG', 'ffmi', 'epley', 'k'][event_id % 6 + 1] || '\"')"
+
+
+@query(
+    f"""WITH l AS (SELECT event_id, event_id % 6 AS kind, {_LOG_RAW} AS raw, json_extract(props, '$.k') AS j, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE try_cast(props AS JSON) IS NOT NULL),
+f AS (SELECT *, coalesce(CAST(k AS VARCHAR), '-') AS s0, coalesce(CAST(k AS VARCHAR) || '.0', '-') AS s1, coalesce(CAST(k AS VARCHAR) || '.00', '-') AS s2 FROM l)
+SELECT event_id, CASE kind WHEN 0 THEN 'BMR ' || s0 || ' kcal · TDEE - kcal' WHEN 1 THEN '体脂率 ' || s1 || '%' WHEN 2 THEN '热量 - kcal · 蛋白 ' || s0 || 'g · 碳水 -g · 脂肪 -g'
+  WHEN 3 THEN 'FFMI ' || s2 || ' · 标准化 - · 瘦体重 -kg' WHEN 4 THEN '1RM ' || s1 || 'kg (Epley) / -kg (Brzycki)' ELSE raw END AS line FROM f
+UNION ALL SELECT event_id, {_LOG_RAW} FROM events WHERE try_cast(props AS JSON) IS NULL"""
+)
 def json_log_format(spark, sf_dir):
-    raw = F.replace(F.col("props"), F.lit('"k"'), F.lit('"bmr"'))
-    return _table(spark, sf_dir, "events").select("event_id", scalars.log_line(F.lit("bmr"), raw).alias("line"))
+    """Events as logged calculations of all five kinds and an unknown one."""
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % 6 + 1).cast("int"))
+    field = pick("bmr", "bodyFatPct", "proteinG", "ffmi", "epley", "k")
+    raw = F.replace(F.col("props"), F.lit('"k"'), F.concat(F.lit('"'), field, F.lit('"')))
+    return _table(spark, sf_dir, "events").select("event_id", scalars.log_line(pick(*scalars.LOG_LINES, "other"), raw).alias("line"))
+
+
+@query(
+    """SELECT event_id, regexp_matches(k, '^[A-Za-z0-9_.:-]{1,64}$') AS valid, nullif(left(regexp_replace(k, '[^A-Za-z0-9_.:-]', '', 'g'), 64), '') AS cleaned,
+  CAST(floor(least(8000.0::DOUBLE, 500.0::DOUBLE * power(2.0::DOUBLE, event_id % 7)) / 2 + (event_id % 5) / 4.0::DOUBLE * least(8000.0::DOUBLE, 500.0::DOUBLE * power(2.0::DOUBLE, event_id % 7)) / 2 + 0.5::DOUBLE) AS BIGINT) AS delay_ms,
+  CAST(greatest(1, ceil((event_id * 37 % 9000) / 1000.0::DOUBLE)) AS INTEGER) AS retry_after
+FROM (SELECT event_id, event_type || repeat(':', CAST(event_id % 4 AS BIGINT)) || coalesce(props, '') || repeat('x', CAST(event_id % 90 AS BIGINT)) AS k FROM events)"""
+)
+def request_headers(spark, sf_dir):
+    """Request ids checked and cleaned, and the waits before another try."""
+    i = F.col("event_id")
+    k = F.concat("event_type", F.repeat(F.lit(":"), (i % 4).cast("int")), F.coalesce("props", F.lit("")), F.repeat(F.lit("x"), (i % 90).cast("int")))
+    rows = _table(spark, sf_dir, "events").select("event_id", k.alias("k"))
+    wait = scalars.backoff(i % 7, 500.0, 8000.0, (i % 5) / 4.0)
+    return rows.select("event_id", F.col("k").rlike(scalars.REQUEST_ID).alias("valid"), scalars.cleaned_request_id(F.col("k")).alias("cleaned"), wait.alias("delay_ms"), scalars.retry_after_seconds(i * 37 % 9000).alias("retry_after"))
+
+
+@query(
+    """WITH q AS (SELECT c_custkey AS k, c_custkey % 5 AS a, c_custkey % 7 AS b, c_custkey % 3 AS f FROM customer)
+SELECT k, CASE WHEN a + b + f > 0 THEN round(a / CAST(a + b + f AS DOUBLE), 9) END AS carbs, CASE WHEN a + b + f > 0 THEN round(b / CAST(a + b + f AS DOUBLE), 9) END AS protein, CASE WHEN a + b + f > 0 THEN round(f / CAST(a + b + f AS DOUBLE), 9) END AS fat FROM q"""
+)
+def macro_shares(spark, sf_dir):
+    """A customer's grams as shares of their sum; null where there are none."""
+    k = F.col("c_custkey")
+    r = scalars.ratios((k % 5).cast("double"), (k % 7).cast("double"), (k % 3).cast("double"))
+    return _table(spark, sf_dir, "customer").select(k.alias("k"), r.alias("r")).select("k", *(F.round(f"r.{n}", 9).alias(n) for n in ("carbs", "protein", "fat")))
+
+
+@query("SELECT vec_id, sha256(CAST(len(embedding) AS VARCHAR) || ':' || array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',')) AS digest FROM embeddings")
+def vector_bytes(spark, sf_dir):
+    """Vectors written as bytes and read back."""
+    stored_bytes = _table(spark, sf_dir, "embeddings").select("vec_id", vectors.to_bytes("embedding").alias("b"))
+    back = stored_bytes.select("vec_id", vectors.from_bytes("b").alias("v"))
+    whole = F.transform("v", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return back.select("vec_id", F.sha2(F.concat(F.size("v").cast("string"), F.lit(":"), F.array_join(whole, ",")), 256).alias("digest"))
+
+
+@query(
+    """WITH g AS (SELECT doc_id, coalesce(nullif(regexp_replace(lower(source), '[^a-z0-9]+', '', 'g'), ''), 'src') AS slug FROM documents WHERE doc_id % 2 = 0),
+n AS (SELECT slug, max(doc_id % 1000) AS last FROM g GROUP BY slug)
+SELECT doc_id, s.slug || '-' || lpad(CAST(row_number() OVER (PARTITION BY s.slug ORDER BY doc_id) + coalesce(n.last, 0) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (PARTITION BY s.slug ORDER BY doc_id) + coalesce(n.last, 0) AS VARCHAR))) AS INTEGER), '0') AS golden_id
+FROM (SELECT doc_id, coalesce(nullif(regexp_replace(lower(source), '[^a-z0-9]+', '', 'g'), ''), 'src') AS slug FROM documents WHERE doc_id % 2 <> 0) s LEFT JOIN n USING (slug)"""
+)
+def golden_resume(spark, sf_dir):
+    """A first run's golden rows appended as JSON lines and read again: chunks that it used stay out, numbers go on from its last ones."""
+    path = shared_path(spark, "golden")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", text.slug(F.col("source")).alias("slug"))
+    done = docs.filter("id % 2 = 0")
+    rows = done.select(F.concat("slug", F.lit("-"), (F.col("id") % 1000).cast("string")).alias("id"), F.left("text", F.lit(20)).alias("question"), F.array("id").alias("gold_chunk_ids"))
+    for part in (0, 1):  # two appends
+        files.append_json_lines(rows.filter(F.pmod(F.col("gold_chunk_ids")[0], F.lit(4)) == 2 * part), path)
+    state = files.resume_state(files.json_lines(spark, path))
+    rest = docs.join(state.used_chunks.select(F.col("chunk_id").alias("id")), "id", "left_anti")
+    return golden.numbered(rest.select("id", "slug"), state.last_numbers, ["id"]).select(F.col("id").alias("doc_id"), "golden_id")
 
 
 @query("SELECT event_id, strftime(date_trunc('day', ts + INTERVAL 480 MINUTE) - INTERVAL 480 MINUTE, '%Y-%m-%d %H:%M:%S') AS day_start, strftime(ts + INTERVAL 480 MINUTE, '%Y-%m-%d') AS day FROM events")

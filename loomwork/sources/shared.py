@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +54,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """df to be broadcast, if a count shows that it has MOST_BROADCAST_ROWS at most; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS else df
+
+
+@contextmanager
+def text_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While this is open, jobs hand rows to Python in Arrow batches of `size` at most, as whole texts are long; then as before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
