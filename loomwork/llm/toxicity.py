@@ -2,9 +2,10 @@
 
 A text's clauses are read as sequences of token classes. Five transducers, composed into one, rewrite
 them: insult (stronger after an intensifier), threat (stronger after an intention), reported speech,
-negation, and target. So an insult or a threat comes out plain, negated, reported or aimed at
-somebody, with the weight of its path. A document's score is a logistic function of what its matched
-clauses gave, so an isolated word counts by the clause it stands in. The insult lexicon (weighted word
+negation, and target; a second reading, from the clause's end, finds targets that stand after. So an insult or a
+threat comes out plain, negated, reported or aimed at somebody, with the weight of its path. A
+document's score is a logistic function of what its matched clauses gave, in which negated and reported
+ones never raise it, so an isolated word counts by the clause it stands in. The insult lexicon (weighted word
 beginnings and short whole words) and the weights are learned from labelled rows; the other classes are
 fixed word lists. With no labelled row the prior weights stand.
 """
@@ -103,8 +104,16 @@ def grammar() -> Transducer:
     return insult.compose(threat, one).compose(speech, one).compose(negation, one).compose(target, one)
 
 
-#: The features of a document: their names and prior weights in log-odds.
-FEATURES = {"bias": -5.0, "strongest clause": 1.0, "evidence": 0.5, "rate": 0.5, "length": 0.0, "softened": 0.2, "aimed threat": 3.0, "other threat": 0.5}
+def backward() -> Transducer:
+    """Reads the grammar's output from a clause's end: plain heads before a target are aimed at it too."""
+    heads = (INSULT, THREAT)
+    softened = {f"{how} {h}" for how in ("reported", "negated", "negated reported") for h in heads}
+    return _after(TARGET, {h: f"aimed {h}" for h in heads}, REACH, set(CLASSES) | softened | {f"aimed {h}" for h in heads}, 1.0)
+
+
+#: The features of a document: their names and prior weights in log-odds. Those of SOFTENED never get a weight above 0.
+FEATURES = {"bias": -5.0, "strongest clause": 1.0, "evidence": 0.5, "rate": 0.5, "length": 0.0, "softened": -0.2, "aimed threat": 2.5, "other threat": 0.2, "softened threat": -0.2}
+SOFTENED = [name.startswith("softened") for name in FEATURES]
 
 
 @dataclass
@@ -127,7 +136,7 @@ class Reader:
     """Reads texts with a model's lexicon; made once in each task."""
 
     def __init__(self, stems: dict[str, float]):
-        self.stems, self.grammar = stems, grammar()
+        self.stems, self.grammar, self.backward = stems, grammar(), backward()
         self.search = ahocorasick.Automaton()
         for x in (*(s.rstrip(WHOLE) for s in stems), *THREATS):
             self.search.add_word(x, len(x))
@@ -144,13 +153,20 @@ class Reader:
     def label(self, token: str, power: float) -> str:
         return INSULT if power > 0 else self.kinds.get(token) or (THREAT if token.startswith(self.threats) else OTHER)
 
+    def paths(self, labels: list[str]) -> list[tuple[str, float]]:
+        """What each token of a clause comes out as, and the weight of its path through the grammar."""
+        there = self.grammar.read(labels)
+        back = self.backward.read([label for label, _ in reversed(there)])[::-1]
+        return [(label, weight + more) for (_, weight), (label, more) in zip(there, back, strict=True)]
+
     def features(self, text: str) -> np.ndarray:
-        """The values of FEATURES: the greatest weight of a clause (above 2.5), the summed weights of matched clauses, their rate."""
+        """The values of FEATURES: the greatest value of an insult in its clause (above 2.5), the summed values, their rate; the
+        greatest values of threats. An insult's value is its weight in the lexicon and that of its path, a threat's is 1 and that of its path."""
         low = text.lower()
         hits = [end - size + 1 for end, size in self.search.iter(low)]
         hits = [at for at in hits if not at or not low[at - 1].isalnum()]
         words = low.count(" ") + low.count("\n") + 1
-        strongest = evidence = softened = aimed = threat = 0.0
+        strongest = evidence = softened = aimed = threat = denied = 0.0
         read_to = 0
         for at in hits:
             if at < read_to:
@@ -161,14 +177,18 @@ class Reader:
             tokens = TOKEN.findall(clause[0])
             power = [self.insult(t) for t in tokens]
             labels = [self.label(t, p) for t, p in zip(tokens, power, strict=True)]
-            for (label, weight), p in zip(self.grammar.read(labels), power, strict=True):
+            for (label, weight), p in zip(self.paths(labels), power, strict=True):
                 if label in (INSULT, f"aimed {INSULT}"):
-                    strongest, evidence = max(strongest, p + 0.1 * weight), evidence + p + 0.1 * weight
+                    strongest, evidence = max(strongest, p + weight), evidence + p + weight
                 elif label.endswith(INSULT):
                     softened += p
+                elif label == f"aimed {THREAT}":
+                    aimed = max(aimed, 1 + weight)
+                elif label == THREAT:
+                    threat = max(threat, 1 + weight)
                 elif label.endswith(THREAT):
-                    aimed, threat = max(aimed, label == f"aimed {THREAT}"), max(threat, label != f"aimed {THREAT}")
-        return np.array([1.0, max(0.0, strongest - 2.5), np.log1p(evidence), np.log1p(100 * (evidence + softened) / (words + 30)), np.log(words + 30) - 6, np.log1p(softened), aimed, threat])
+                    denied = 1.0
+        return np.array([1.0, max(0.0, strongest - 2.5), np.log1p(evidence), np.log1p(100 * evidence / (words + 30)), np.log(words + 30) - 6, np.log1p(softened), aimed, threat, denied])
 
 
 def learn_stems(rows: DataFrame, least: int = 4, longest: int = 32, ratio: float = 4.0) -> dict[str, float]:
@@ -206,7 +226,7 @@ def learn_stems(rows: DataFrame, least: int = 4, longest: int = 32, ratio: float
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, pull: float = 0.1) -> np.ndarray:
-    """Logistic regression by Newton's method, drawn to the prior weights where rows say nothing."""
+    """Logistic regression by Newton's method, drawn to the prior weights where rows say nothing; those of SOFTENED stay at 0 or below."""
     prior = np.array(list(FEATURES.values()))
     w = prior.copy()
     for _ in range(50):
@@ -215,6 +235,7 @@ def fit_weights(features: np.ndarray, labels: np.ndarray, pull: float = 0.1) ->
         hess = (features * (p * (1 - p))[:, None]).T @ features + pull * np.eye(len(w))
         move = np.linalg.solve(hess, grad)
         w = w - np.clip(move, -2, 2)
+        w[SOFTENED] = np.minimum(w[SOFTENED], 0.0)
         if np.abs(move).max() < 1e-6:
             break
     return w

@@ -151,3 +151,25 @@ def test_isotonic_never_falls_on_unequal_bins():
         good = np.floor(total * rng.random(12))
         at, value = quality.isotonic(np.sort(rng.normal(size=12)), good, total)
         assert (np.diff(value) >= 0).all() and (np.diff(at) >= 0).all() and ((0 < value) & (value < 1)).all()
+
+
+def test_clauses_count_not_words():
+    """The same insult or threat counts more when aimed, from either side, and never raises the score when negated or reported."""
+    model = toxicity.Model({"idiot": 5.0}, np.array(list(toxicity.FEATURES.values())))
+    reader = toxicity.Reader(model.stems)
+    value = lambda text: float(reader.features(text) @ model.weights)
+    assert value("you are an idiot") > value("some idiot") < value("an idiot, you")
+    assert value("you are a total idiot") > value("you are an idiot")
+    for clause in ("you are not an idiot", "he said you are an idiot", "he never said you are an idiot"):
+        assert value(clause) < value("you are kind to all")
+    assert value("I will kill you") > value("they would kill") > value("he never said he will kill the process")
+    assert reader.paths(["intention", "threat", "target"])[1] == ("aimed threat", 2.0)
+    assert reader.paths(["negation", "insult", "target"])[1][0] == "negated insult"
+
+
+def test_softened_weights_stay_down():
+    rng = np.random.default_rng(1)
+    x = rng.random((400, len(toxicity.FEATURES)))
+    y = (x[:, list(toxicity.FEATURES).index("softened")] > 0.5).astype(float)  # rows that would ask for a weight above 0
+    w = dict(zip(toxicity.FEATURES, toxicity.fit_weights(x, y)))
+    assert w["softened"] <= 0 and w["softened threat"] <= 0
