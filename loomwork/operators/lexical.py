@@ -32,6 +32,8 @@ from loomwork.sources.shared import shared_dir, small, stored, text_batches
 K1, B = 1.5, 0.75
 #: Postings in a segment before it is closed, postings in a block, queries that meet a segment at once.
 SEGMENT, BLOCK, TOGETHER = 1 << 19, 128, 1024
+#: Bytes a task of files that are few and small enough to be dealt out anew.
+SMALL_FILE = 1 << 25
 #: Documents that get whole scores when the rest is ruled out.
 FEW = 2048
 NO_ID = np.iinfo(np.int64).min
@@ -210,9 +212,9 @@ def ranked_terms(index: DataFrame, queries: DataFrame, most: int = 10) -> DataFr
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """file, stamp (size and time of change) of each file; no content is read."""
+    """file, length, stamp (size and time of change) of each file; no content is read."""
     listed = spark.read.format("binaryFile").load(path)
-    return listed.select(F.col("path").alias("file"), F.concat_ws(" ", "length", F.unix_micros("modificationTime")).alias("stamp"))
+    return listed.select(F.col("path").alias("file"), "length", F.concat_ws(" ", "length", F.unix_micros("modificationTime")).alias("stamp"))
 
 
 class FileIndex:
@@ -241,15 +243,18 @@ class FileIndex:
         kept = "file string, stamp string, run string"
         before = self.spark.read.schema(kept).parquet(f"{self.folder}/{lists[-1]}") if lists else self.spark.createDataFrame([], kept)
         state = now.join(before, ["file", "stamp"], "left")
-        changed = state.filter("run is null").select("file")
-        self.scanned = [r["file"] for r in changed.collect()]  # names of files, not rows of them
+        changed = state.filter("run is null").select("file", "length").collect()  # names of files, not rows of them
+        self.scanned = [r["file"] for r in changed]
         gone = before.join(now, ["file", "stamp"], "left_anti").limit(1).count()
         if self.scanned or gone or not lists:
             run = f"run-{len(lists):06d}-{uuid.uuid4().hex}"
             if self.scanned:
-                docs = self.spark.read.parquet(*self.scanned)
+                docs = self.spark.read.parquet(*self.scanned).select(self.key, self.text, F.col("_metadata.file_path").alias("_from"))
+                tasks = self.spark.sparkContext.defaultParallelism
+                if len(changed) < tasks and sum(r["length"] for r in changed) < tasks * SMALL_FILE:  # a small file is often one task's
+                    docs = docs.repartition(tasks)
                 with text_batches(self.spark):
-                    segments(docs.select(self.key, self.text, F.col("_metadata.file_path").alias("_from")), self.key, self.text, "_from").write.parquet(f"{self.folder}/{run}")
+                    segments(docs, self.key, self.text, "_from").write.parquet(f"{self.folder}/{run}")
             name = f"files-{len(lists):06d}"
             state.select("file", "stamp", F.coalesce("run", F.lit(run)).alias("run")).write.mode("overwrite").parquet(f"{self.folder}/{name}")
             before = self.spark.read.schema(kept).parquet(f"{self.folder}/{name}")
