@@ -37,10 +37,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 @dataclass
 class DigestArray:
-    """Names of the files that the session has sent to its executors, and the rules' path lengths."""
+    """Names of the files that the session has sent to its executors, the rules' path lengths, and the most labels of a rule's host."""
 
     files: dict[str, str]
     lengths: list[int]
+    labels: int
 
     def open(self) -> OpenArray:
         at = {k: SparkFiles.get(v) for k, v in self.files.items()}
@@ -96,13 +97,13 @@ def build(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DigestArray
         files[name] = f"{tag}-{name}"
         data.tofile(f"{folder}/{files[name]}")
         spark.sparkContext.addFile(f"{folder}/{files[name]}")
-    return DigestArray(files, sorted({len(x.split(b"\0", 1)[1].decode()) for x in strings}))
+    return DigestArray(files, sorted({len(x.split(b"\0", 1)[1].decode()) for x in strings}), max((x.split(b"\0", 1)[0].count(b".") + 1 for x in strings), default=0))
 
 
 def judged(pages: DataFrame, array: DigestArray, otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages, repeated rows and null ids included.
 
-    Without a fitting rule, rule is null and the verdict is `otherwise`: a url that no list holds passes.
+    Of a host only as many labels are looked up as the longest rule has, so a very long one costs no more. Without a fitting rule, rule is null and the verdict is `otherwise`: a url that no list holds passes.
     Extra columns are ignored; an empty table gives no rows."""
     host, path = host_and_path(F.col("url"))
 
@@ -112,7 +113,7 @@ def judged(pages: DataFrame, array: DigestArray, otherwise: str = "allow") -> Da
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             row, size, keys = [], [], []
             for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-                labels = h.split(".")
+                labels = h.rsplit(".", array.labels)[-array.labels :]  # no rule fits a longer suffix
                 for n in range(len(labels)):
                     suffix = ".".join(labels[n:])
                     for length in array.lengths:

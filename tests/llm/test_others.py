@@ -30,6 +30,13 @@ def test_top_k(spark, monkeypatch, rows, sparse):
     assert got == want
 
 
+def test_very_long_hosts(spark):
+    rules = url_filter.build(spark, [("net", "/", "block"), ("a.example.net", "/en/", "allow")])
+    rows = [(1, "http://" + "x." * 200_000 + "net/"), (2, "http://" + "x." * 100_000 + "a.example.net/en/"), (3, "http://example.net/en/"), (4, "http://" + "x" * 100_000 + "/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("net/", "block"), 2: ("a.example.net/en/", "allow"), 3: ("net/", "block"), 4: (None, "allow")}
+
+
 def test_top_k_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (100, [2.0]), (0, [0.5])], "vec_id long, embedding array<double>")
     one = 1024 * 1024  # both rows of vec_id 0 ask and answer
