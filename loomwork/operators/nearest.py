@@ -16,6 +16,8 @@ from loomwork.sources.shared import MOST_BROADCAST_ROWS, stored
 
 #: Vectors and queries in a block.
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+#: Blocks of queries whose best rows a task holds.
+HELD = 64
 
 
 def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -46,39 +48,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame
     vectors: id, v; queries: query_id, q; null vectors take no part, different lengths are an error. The stated queries meet every
     vector, a block with a block. Few queries go to all tasks, as a count shows when this is built; else both sides are
     dealt into as many buckets as there are shuffle partitions, with the queries in each. What goes on is `most` rows
-    of a query and pair of blocks."""
+    of a query and task."""
     spark, wanted = vectors.sparkSession, max(most, 0)
     few = queries.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
     buckets = 1 if few else int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = stored(_packed(vectors, "id", "v", BLOCK_ROWS), "packed").withColumn("bucket", F.pmod(F.xxhash64("keys"), F.lit(buckets)))
-    asked = _packed(queries.repartition(1) if few else queries, "query_id", "q", QUERY_ROWS).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    asked = asked.select("bucket", *(F.col(c).alias(f"q_{c}") for c in ("keys", "width", "data", "kind")))
-    pairs = held.join(F.broadcast(asked) if few else asked, "bucket").select("keys", "width", "data", "kind", "q_keys", "q_width", "q_data", "q_kind")
+    asked = _packed(queries.repartition(1) if few else queries, "query_id", "q", QUERY_ROWS).withColumn("block", F.monotonically_increasing_id())
+    asked = asked.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    asked = asked.select("bucket", *(F.col(c).alias(f"q_{c}") for c in ("keys", "width", "data", "kind", "block")))
+    if few:  # a task for each full block, however small the pieces that the vectors came in
+        held = held.coalesce(max(1, -(-(held.agg(F.sum(F.size("keys"))).first()[0] or 0) // BLOCK_ROWS)))
+    pairs = held.join(F.broadcast(asked) if few else asked, "bucket").select("keys", "width", "data", "kind", "q_keys", "q_width", "q_data", "q_kind", "q_block")
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", vectors.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]] = {}  # by block of queries: its keys, and row, id, score of the best so far
+
+        def rows(q_keys: pa.Array, row: np.ndarray, ids: pa.Array, score: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([q_keys.take(pa.array(row)), ids, pa.array(score)], schema.names)
+
         for batch in batches:
             for i in range(batch.num_rows if wanted else 0):
                 keys, q_keys = batch.column(0)[i].values, batch.column(4)[i].values
-                width, data, kind, q_width, q_data, q_kind = (batch.column(c)[i].as_py() for c in (1, 2, 3, 5, 6, 7))
+                width, data, kind, q_width, q_data, q_kind, name = (batch.column(c)[i].as_py() for c in (1, 2, 3, 5, 6, 7, 8))
                 if width != q_width:
                     raise ValueError(f"vectors have {width} numbers, queries {q_width}")
                 v = np.frombuffer(data, kind).reshape(len(keys), width).astype(np.float64)
                 q = np.frombuffer(q_data, q_kind).reshape(len(q_keys), width).astype(np.float64)
                 score = np.round(q @ v.T, 9) + 0.0
                 score[np.isnan(score)] = -np.inf
-                order = pc.sort_indices(pc.rank(keys)).to_numpy()  # columns by key, so that ties go to the smaller
-                score = score[:, order]
                 k = min(wanted, len(keys))
                 kth = np.partition(score, len(keys) - k, axis=1)[:, len(keys) - k]
-                above = score >= kth[:, None]
-                # of those level with the k-th only as many as there is room for
-                level = score == kth[:, None]
-                room = k - (above & ~level).sum(axis=1)
-                above &= ~level | (np.cumsum(level, axis=1) <= room[:, None])
-                row, column = np.nonzero(above & np.isfinite(score))
-                whole = (q[row] * v[order[column]]).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(row)), keys.take(pa.array(order[column])), pa.array(whole)], schema.names)
+                row, column = np.nonzero((score >= kth[:, None]) & np.isfinite(score))  # with all that are level with the k-th
+                whole, ids = (q[row] * v[column]).sum(axis=1), keys.take(pa.array(column))
+                if name in best:
+                    _, row_before, ids_before, score_before = best[name]
+                    row, ids, whole = np.concatenate([row_before, row]), pa.concat_arrays([ids_before, ids]), np.concatenate([score_before, whole])
+                order = np.lexsort((pc.rank(ids).to_numpy(), -np.round(whole, 9), row))
+                row = row[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < wanted
+                best[name] = q_keys, row[kept], ids.take(pa.array(order[kept])), whole[order][kept]
+                if len(best) > HELD:
+                    yield rows(*best.pop(next(iter(best))))
+        for entry in best.values():
+            yield rows(*entry)
 
     scores = pairs.mapInArrow(products, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
