@@ -17,7 +17,8 @@ from loomwork.sources.shared import stored
 
 
 class KeyedTable:
-    """One writer at a time. Keys are compared null-safe; rows of a write are first brought to one a key, so a hot key is one row."""
+    """One writer at a time. Keys are compared null-safe; rows of a write are first brought to one a key, so a hot key is one row.
+    A bucket is written by one task, so there should be as many as make one fit a task; the number stays with the table."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, key: list[str], buckets: int = 64):
         self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
