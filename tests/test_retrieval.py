@@ -137,3 +137,42 @@ def test_search_finds_documents_without_vectors(spark):
     queries = spark.createDataFrame([(1, "bird", [1.0, 0.0])], "query_id long, query string, q array<double>")
     got = {r["id"]: (r["score"], r["dense_rank"]) for r in retrieval.search(chunks, queries, "hybrid", 5).collect()}
     assert got == {1: (1.0, 1), 2: (None, None), 3: (0.0, 2)}
+
+
+def test_scorer_is_loaded_once_and_its_failure_sticks(spark, tmp_path):
+    log = tmp_path / "loads"
+
+    def load():
+        with log.open("a") as f:
+            f.write("x")
+
+        def model(pairs):
+            if any("bad" in text for _, text in pairs):
+                raise RuntimeError("no more")
+            return [float(len(text)) - 5 for _, text in pairs]
+
+        return model
+
+    score = retrieval.loaded_scorer(load, batch=4)
+    rows = spark.createDataFrame([(i, "q", "y" * (i * 7 % 23)) for i in range(40)], "i int, q string, t string").coalesce(1)
+    got = {r["i"]: r["s"] for r in rows.select("i", score("q", "t").alias("s")).collect()}
+    assert all(s == pytest.approx(1 / (1 + math.exp(5 - i * 7 % 23))) for i, s in got.items())  # in the rows' order, whatever that of the batches
+    assert log.read_text() == "x"
+    failing = retrieval.loaded_scorer(load, batch=1)
+    rows = spark.createDataFrame([(1, "q", "a"), (2, "q", "bad"), (3, "q", "longer than that")], "i int, q string, t string").coalesce(1)
+    got = {r["i"]: r["s"] for r in rows.select("i", failing("q", "t").alias("s")).collect()}
+    assert got[1] is not None and got[2] is None and got[3] is None  # by length: the third comes after the failure
+
+    def broken():
+        raise OSError("no model")
+
+    none = retrieval.loaded_scorer(broken)
+    assert [r["s"] for r in rows.select(none("q", "t").alias("s")).collect()] == [None] * 3
+
+
+def test_a_failed_score_leaves_the_query_in_its_order(spark):
+    base = spark.createDataFrame([(q, i, i) for q in (1, 2) for i in range(1, 5)], "query_id long, id long, rank int")
+    scores = spark.createDataFrame([(1, 1, 0.1), (1, 2, None), (1, 3, 0.9), (2, 1, 0.1), (2, 2, 0.5), (2, 3, 0.9)], "query_id long, id long, rerank_score double")
+    got = retrieval.reranked(base, scores, 3).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 3, 2, 1, 4]
+    assert [r["rerank_score"] for r in got] == [None] * 4 + [0.9, 0.5, 0.1, None]
