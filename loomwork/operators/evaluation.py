@@ -44,10 +44,15 @@ def retrieval_metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(*_measures())
 
 
-def production_metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """As a search page counts: recall is the share of queries with a hit, reciprocal ranks have no limit."""
+def production_metrics(rows: DataFrame, by: tuple[str, ...] = (), page: int | None = None) -> DataFrame:
+    """As a search page counts: recall is the share of queries with a hit, reciprocal ranks have no limit.
+
+    With `page`, hit_recall and mrr are those of the first `page` ranks, and pool_recall and pool_mrr are those of all."""
     r = F.col("first_rank")
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(r.isNotNull(), 1.0).otherwise(0.0)).alias("hit_recall"), F.avg(F.coalesce(1 / r, F.lit(0.0))).alias("mrr"))
+    measures = lambda rank: (F.avg(F.when(rank.isNotNull(), 1.0).otherwise(0.0)), F.avg(F.coalesce(1 / rank, F.lit(0.0))))
+    shown = zip(measures(r if page is None else F.when(r <= page, r)), ("hit_recall", "mrr"), strict=True)
+    whole = () if page is None else zip(measures(r), ("pool_recall", "pool_mrr"), strict=True)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(x.alias(name) for x, name in (*shown, *whole)))
 
 
 def latency_summary(rows: DataFrame) -> DataFrame:

@@ -35,6 +35,15 @@ def test_production_counts_the_first_five(spark, deep, monkeypatch):
     assert (r["hit_recall"], r["mrr"]) == (0, 0)
 
 
+def test_production_counts_the_whole_pool_too(spark, deep, monkeypatch):
+    rows = spark.createDataFrame([(1, i, i - 39) for i in range(40, 90)], "query_id long, id long, rank int")
+    monkeypatch.setattr(catalog, "_routes", lambda *a: {"dense": rows})
+    r = catalog.QUERIES["production_metrics"](spark, deep).first()  # document 60 is at rank 21
+    assert (r["hit_recall"], r["mrr"], r["pool_recall"], r["pool_mrr"]) == (0, 0, 1, round(1 / 21, 9))
+    served = catalog.QUERIES["served_metrics"](spark, deep)
+    assert served.columns == ["mode", "n", "hit_recall", "mrr"] and served.first()["hit_recall"] == 0
+
+
 def test_sweep_fuses_at_each_depth(spark, monkeypatch):
     """Document 7 is at 3 by terms and at 30 by vectors: at depth 20 one route holds it, and from 50 on both do.
 
