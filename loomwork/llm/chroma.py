@@ -2,7 +2,7 @@
 
 Recordings are 16-bit mono PCM. Frames give energies of the twelve pitch classes; filters over
 rectangles of the chroma image, read from its integral image, are cut into four levels each by
-quartiles of a bounded sample and packed, 2 bits a filter, into one 32-bit integer a frame. Two
+quartiles over all recordings and packed, 2 bits a filter, into one 32-bit integer a frame. Two
 recordings are compared at the offsets that integers with two equal bytes vote for, by the share of
 differing bits where they overlap, and aligned at the one with most votes.
 """
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import stored
@@ -94,18 +94,38 @@ def sampled(table: DataFrame, key: str, most_rows: int = 256) -> DataFrame:
     return table.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(most_rows)
 
 
-def fit_levels(media: DataFrame, most_rows: int = 256) -> np.ndarray:
-    """Quartiles of each filter's responses over at most most_rows recordings, those of smallest hash of id."""
-    rows = sampled(media.filter("audio is not null"), "id", most_rows)
+#: Steps in a unit of a filter's response, in which the quartiles are counted. Responses are within log(1 + WIDEST) of 0.
+STEPS = 1 << 12
+
+
+def fit_levels(media: DataFrame, most_rows: int | None = None) -> np.ndarray:
+    """Quartiles of each filter's responses over all recordings, or over most_rows of them, those of smallest hash of id.
+
+    Responses are counted by steps of 1 / STEPS; a level is the least step at or below which there is the quarter's share of all. A task
+    passes on one count a filter and step, so neither the rows nor their responses meet anywhere."""
+    heard = media.filter("audio is not null")
+    rows = heard if most_rows is None else sampled(heard, "id", most_rows)
+    least = -int(np.ceil(STEPS * np.log(1 + WIDEST))) - 1  # rounding may leave a sum a hair above its bound
+    width = 1 - 2 * least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(FILTERS) * width, np.int64)
         for batch in batches:
-            x = [responses(chroma(a.as_py())) for a in batch.column("audio")]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], names=["x"])
-
-    got = [np.frombuffer(r["x"]).reshape(-1, len(FILTERS)) for r in rows.mapInArrow(run, "x binary").collect()]  # most_rows at most
-    all_ = np.concatenate(got) if got else np.zeros((0, len(FILTERS)))
-    return np.quantile(all_, [0.25, 0.5, 0.75], axis=0).T if len(all_) else np.zeros((len(FILTERS), 3))
+            found = [np.ceil(responses(chroma(a.as_py())) * STEPS).astype(np.int32) for a in batch.column("audio")]
+            if found:
+                counts += np.bincount((np.concatenate(found) - least + width * np.arange(len(FILTERS))).ravel(), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width + least).astype(np.int32)), pa.array(counts[at])], names=["filter", "step", "n"])
+
+    counted = rows.select("audio").mapInArrow(run, "filter int, step int, n long").groupBy("filter", "step").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("filter")
+    through, total = F.sum("n").over(own.orderBy("step")), F.sum("n").over(own)  # at most `width` rows a filter
+    summed = counted.select("filter", "step", through.alias("through"), total.alias("total"))
+    cuts = summed.groupBy("filter").agg(*(F.min(F.when(4 * F.col("through") >= k * F.col("total"), F.col("step"))).alias(f"cut_{k}") for k in (1, 2, 3)))
+    levels = np.zeros((len(FILTERS), 3))
+    for r in cuts.collect():  # a row a filter
+        levels[r["filter"]] = r["cut_1"] / STEPS, r["cut_2"] / STEPS, r["cut_3"] / STEPS
+    return levels
 
 
 def fingerprints(media: DataFrame, levels: np.ndarray) -> DataFrame:

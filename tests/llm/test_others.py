@@ -385,6 +385,19 @@ def test_chroma_copies_are_one_class(spark):
     assert sorted((r["query_id"], r["match_id"], r["class_size"], r["offset"], r["bit_error"]) for r in got) == [(0, 0, 3, 0, 0.0), (50, 0, 3, 0, 0.0)]
 
 
+def test_chroma_levels_are_of_all_recordings(spark):
+    """Far more than 256 recordings: a quarter, a half and three quarters of all responses are at or below the levels, to a step."""
+    rng = np.random.default_rng(5)
+    rows = [(i, bytearray((rng.normal(size=1024 + 256 * 10) * 1000 * (1 + np.sin(np.arange(3584) * (0.1 + i / 500)) * 9)).astype("<i2").tobytes())) for i in range(500)]
+    media = spark.createDataFrame([*rows, (900, None), (901, bytearray(b"x"))], "id long, audio binary").repartition(5)
+    values = np.concatenate([chroma.responses(chroma.chroma(bytes(a))) for _, a in rows])
+    levels, step = chroma.fit_levels(media), 1 / chroma.STEPS
+    for k in (1, 2, 3):
+        want = np.quantile(values, k / 4, axis=0, method="inverted_cdf")
+        assert np.all(levels[:, k - 1] >= want) and np.all(levels[:, k - 1] < want + step)
+    assert not np.array_equal(levels, chroma.fit_levels(media, 256)) and not chroma.fit_levels(media.limit(0)).any()
+
+
 def test_ranks_become_log_scores():
     ranked = [("<unk>", 0.0, 2), ("a", 0.0, 1), ("b", -1.0, 1), ("c", -3.0, 1)]
     got = pieces.log_scores(ranked)
