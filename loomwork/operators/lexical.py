@@ -4,7 +4,8 @@ A segment is the inverted index of some thousand documents, made by one task in
 a row for each term with its documents and counts, and one row of the documents with their lengths. No posting is
 shuffled to build it. Weights depend on the whole corpus, so they are worked out when a query is asked.
 
-A search brings the asked terms' rows of a segment to one task. There each term's postings stand in blocks by falling
+A search brings the asked terms' rows of a segment to one task. In a segment of up to WHOLE documents all weights are summed. In one
+of more, of short texts, each term's postings stand in blocks by falling
 weight, each block with its greatest weight. Blocks are read by what they can add at most; reading stops when
 all unread blocks together stay below the k-th score so far, and few documents can still pass it. Those
 few get their whole scores by binary search in the terms' documents; the blocks left are skipped.
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +36,27 @@ SEGMENT, BLOCK, TOGETHER = 1 << 19, 128, 1024
 SMALL_FILE = 1 << 25
 #: Documents that get whole scores when the rest is ruled out.
 FEW = 2048
+#: Documents of a segment whose scores are summed whole, as reading blocks one by one takes longer.
+WHOLE = 8192
 NO_ID = np.iinfo(np.int64).min
 
 SEGMENTS = "file string, segment string, term string, n long, tokens long, docs binary, counts binary"
 
 
+class _Numbers(dict):
+    """A number for each term, given when it is first asked for."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = number = len(self)
+        return number
+
+
 class _Segment:
     """Documents of one file until there are SEGMENT postings."""
 
     def __init__(self, file: str, name: str):
         self.file, self.name = file, name
-        self.terms: dict[str, int] = {}
+        self.terms = _Numbers()
         self.ids: list[int] = []
         self.lengths: list[int] = []
         self.codes: list[np.ndarray] = []
@@ -54,32 +64,38 @@ class _Segment:
         self.size = 0
 
     def add(self, key: int | None, text: str | None) -> None:
-        found = Counter(tokens_of(text or ""))
-        known = self.terms
-        self.codes.append(np.fromiter((known.setdefault(t, len(known)) for t in found), np.int32, len(found)))
-        self.counts.append(np.fromiter(found.values(), np.int32, len(found)))
+        found = tokens_of(text or "")
+        codes = np.fromiter(map(self.terms.__getitem__, found), np.int32, len(found))
+        codes.sort()
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        self.codes.append(codes[first])
+        self.counts.append(np.diff(first, append=len(codes)).astype(np.int32))
         self.ids.append(NO_ID if key is None else key)
-        self.lengths.append(int(self.counts[-1].sum()))
-        self.size += len(found)
+        self.lengths.append(len(found))
+        self.size += len(first)
 
     def rows(self) -> pa.RecordBatch:
         sizes = [len(x) for x in self.codes]
         by_id = np.argsort(np.array(self.ids, np.int64), kind="stable")
         place = np.empty(len(by_id), np.int32)
         place[by_id] = np.arange(len(by_id), dtype=np.int32)  # documents are numbered in the order of their ids
-        codes, docs = np.concatenate(self.codes), np.repeat(place, sizes)
-        order = np.lexsort((docs, codes))
-        docs, counts = docs[order], np.concatenate(self.counts)[order]
-        ends = np.cumsum(np.bincount(codes, minlength=len(self.terms)))
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
         names = sorted(self.terms)
-        at = np.fromiter((self.terms[t] for t in names), np.int64, len(names))
-        slices = lambda x: [x[b:e].tobytes() for b, e in zip(begins[at], ends[at], strict=True)]
+        by_name = np.empty(len(names), np.int32)
+        by_name[np.fromiter(map(self.terms.__getitem__, names), np.int64, len(names))] = np.arange(len(names), dtype=np.int32)
+        codes, docs = by_name[np.concatenate(self.codes)], np.repeat(place, sizes)
+        order = np.argsort(codes.astype(np.int64) * len(by_id) + docs)
+        many = np.bincount(codes, minlength=len(names))
         lengths = np.array(self.lengths, np.int32)[by_id]
+
+        def values(head: np.ndarray, of: np.ndarray) -> pa.Array:
+            """The documents' bytes, then each term's."""
+            ends = len(head.tobytes()) + 4 * np.cumsum(many)
+            return pa.Array.from_buffers(pa.binary(), len(names) + 1, [None, pa.py_buffer(np.concatenate([[0, len(head.tobytes())], ends]).astype(np.int32)), pa.py_buffer(head.tobytes() + of[order].tobytes())])
+
         n = len(names) + 1
         columns = [
-            pa.array([self.file] * n, pa.string()), pa.array([self.name] * n, pa.string()), pa.array([None, *names], pa.string()), pa.array(np.concatenate([[len(self.ids)], ends[at] - begins[at]]).astype(np.int64)),
-            pa.array([int(lengths.sum()), *[None] * len(names)], pa.int64()), pa.array([np.sort(np.array(self.ids, np.int64)).tobytes(), *slices(docs)], pa.binary()), pa.array([lengths.tobytes(), *slices(counts)], pa.binary()),
+            pa.repeat(pa.scalar(self.file, pa.string()), n), pa.repeat(pa.scalar(self.name, pa.string()), n), pa.array([None, *names], pa.string()), pa.array(np.concatenate([[len(self.ids)], many]).astype(np.int64)),
+            pa.array([int(lengths.sum()), *[None] * len(names)], pa.int64()), values(np.sort(np.array(self.ids, np.int64)), docs), values(lengths, np.concatenate(self.counts)),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SEGMENTS.split(", ")])
 
@@ -127,13 +143,28 @@ class Postings:
         scaled = K1 * (1 - B + B * lengths / avgdl)
         for d, c, w in zip(docs, counts, idf, strict=True):
             weight = w * c * (K1 + 1) / (c + scaled[d])
-            order = np.argsort(-weight, kind="stable")
             self.weights.append(weight)
-            self.order.append(order)
-            self.tops.append(weight[order[::BLOCK]])  # each block's greatest weight
+            if self.n > WHOLE:
+                order = np.argsort(-weight, kind="stable")
+                self.order.append(order)
+                self.tops.append(weight[order[::BLOCK]])  # each block's greatest weight
+
+    def _summed(self, terms: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As best, from all postings; in one order for all documents, so that equal ones have equal scores."""
+        score = np.zeros(self.n)
+        for t in terms:
+            score[self.docs[t]] += self.weights[t]  # a term has a document once, and weights are above 0
+        found = np.flatnonzero(score)
+        if len(found) > k:  # with all that are level with the k-th in nine digits
+            kth = np.partition(score[found], len(found) - k)[len(found) - k]
+            found = found[score[found] >= kth - 1e-8]
+        chosen = np.lexsort((found, -np.round(score[found], 9)))[:k]
+        return found[chosen], score[found[chosen]]
 
     def best(self, terms: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents (by place) and whole scores of the k best, ties by place."""
+        if self.n <= WHOLE:
+            return self._summed(terms, k)
         score, seen = np.zeros(self.n), np.zeros(self.n, dtype=bool)
         term = np.concatenate([np.full(len(self.tops[t]), i) for i, t in enumerate(terms)])
         block = np.concatenate([np.arange(len(self.tops[t])) for t in terms])
@@ -200,11 +231,16 @@ def ranked_terms(index: DataFrame, queries: DataFrame, most: int = 10) -> DataFr
             for i, asking in enumerate(part["queries"]):
                 for q in asking:
                     terms.setdefault(q, []).append(i)
+            more = int((ids == NO_ID).sum())
             for q, held in terms.items():
-                docs, score = postings.best(held, wanted + int((ids == NO_ID).sum()))
+                docs, score = postings.best(held, wanted + more)
                 there = ids[docs] != NO_ID
-                out.append(pd.DataFrame({"query_id": [q] * int(there[:].sum()), "id": ids[docs][there], "score": score[there]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+                out.append((q, ids[docs][there], score[there]))
+        if not out:
+            return pd.DataFrame({"query_id": [], "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        asking, found, score = zip(*out, strict=True)
+        names = pd.Series(asking).repeat([len(x) for x in found]).reset_index(drop=True)
+        return pd.DataFrame({"query_id": names, "id": np.concatenate(found), "score": np.concatenate(score)})
 
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
     scores = found.unionByName(heads).groupBy("segment", "set").applyInPandas(run, schema)
@@ -241,7 +277,7 @@ class FileIndex:
         lists = [x for x in there if x.startswith("files-") and f"{self.folder}/{x}"]
         now = _files(self.spark, self.path)
         kept = "file string, stamp string, run string"
-        before = self.spark.read.schema(kept).parquet(f"{self.folder}/{lists[-1]}") if lists else self.spark.createDataFrame([], kept)
+        before = self.spark.read.schema(kept).parquet(f"{self.folder}/{lists[-1]}") if lists else self.spark.range(0).selectExpr("'' AS file", "'' AS stamp", "'' AS run")
         state = now.join(before, ["file", "stamp"], "left")
         changed = state.filter("run is null").select("file", "length").collect()  # names of files, not rows of them
         self.scanned = [r["file"] for r in changed]

@@ -68,6 +68,28 @@ def test_blocks_are_skipped():
     assert postings.read < 0.75 * postings.blocks
 
 
+def test_sums_of_a_segment_are_those_of_its_blocks(monkeypatch):
+    """The same documents and the same scores to the last bit, ties and fewer hits than asked included."""
+    rng = np.random.default_rng(4)
+    n = 3_000
+    lengths = rng.choice([50, 80], n).astype(np.int32)
+    docs = [np.sort(rng.choice(n, size, replace=False)).astype(np.int32) for size in (2_500, 900, 400, 3)]
+    counts = [rng.integers(1, 3, len(d)).astype(np.int32) for d in docs]
+    idf = np.array([np.log(1 + (n - len(d) + 0.5) / (len(d) + 0.5)) for d in docs])
+    whole = lexical.Postings(lengths, docs, counts, idf, lengths.mean())
+    monkeypatch.setattr(lexical, "WHOLE", 0)
+    blocks = lexical.Postings(lengths, docs, counts, idf, lengths.mean())
+    monkeypatch.setattr(lexical, "WHOLE", n)
+    for terms in ([0, 1, 2, 3], [2, 1], [3]):
+        for k in (1, 10, 200, 5_000):
+            found = whole.best(terms, k)
+            with monkeypatch.context() as m:
+                m.setattr(lexical, "WHOLE", 0)
+                want = blocks.best(terms, k)
+            assert found[0].tolist() == want[0].tolist() and found[1].tolist() == want[1].tolist()
+    assert whole.blocks == 0 and not whole.order and blocks.blocks > 0  # no block is sorted or met where all is summed
+
+
 def test_index_of_files_reads_what_has_changed(spark, tmp_path):
     docs = spark.createDataFrame(corpus(4), "doc_id long, text string")
     source, folder = f"{tmp_path}/docs", f"{tmp_path}/index"
