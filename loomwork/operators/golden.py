@@ -105,12 +105,15 @@ def curation_entries(ranked: DataFrame, gold: DataFrame, chunks: DataFrame, evid
     asked = gold.filter(F.size("gold") > 0)
     pairs = asked.select("query_id", F.explode("gold").alias("id"))
     others = first.join(small(asked.select("query_id")), "query_id").join(small(pairs), ["query_id", "id"], "left_anti")
-    hits = others.select("query_id", "id", "rank").join(chunks.select("id", "text"), "id").join(small(evidence.select("query_id", "evidence")), "query_id")
-    centre = centroids(pairs.join(vectors, "id").select("query_id", "v"), "query_id", "v")
+    met = small(others.select("query_id", "id", "rank"))  # so that no text is shuffled
+    hits = chunks.select("id", "text").join(met, "id").join(small(evidence.select("query_id", "evidence")), "query_id")
+    centre = centroids(vectors.join(small(pairs), "id").select("query_id", "v"), "query_id", "v")
     found = stored(other_gold(hits, centre, vectors), "other_gold")
     ranks = first.join(small(pairs), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     counts = found.groupBy("query_id").agg(F.count_if(F.col("kind") == "strong").alias("n_strong"), F.count_if(F.col("kind") == "similar").alias("n_similar"))
-    shown = asked.select("query_id", F.array_min("gold").alias("id")).join(chunks.select("id", "text"), "id", "left").drop("id")
+    least = asked.select("query_id", F.array_min("gold").alias("id"))
+    texts = chunks.select("id", "text").join(small(least.select("id").distinct()), "id", "left_semi")
+    shown = least.join(texts, "id", "left").drop("id")
     rows = shown.join(ranks, "query_id", "left").join(counts, "query_id", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(F.col("query_id").alias("id"), "first_rank", number("n_strong"), number("n_similar"), gold_warnings(F.col("text"), F.col("first_rank")).alias("warnings")), found

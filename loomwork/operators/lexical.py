@@ -67,9 +67,12 @@ class _Segment:
         found = tokens_of(text or "")
         codes = np.fromiter(map(self.terms.__getitem__, found), np.int32, len(found))
         codes.sort()
-        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        new = np.ones(len(codes), bool)
+        np.not_equal(codes[1:], codes[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(codes)) if len(codes) else first
         self.codes.append(codes[first])
-        self.counts.append(np.diff(first, append=len(codes)).astype(np.int32))
+        self.counts.append((ends - first).astype(np.int32))
         self.ids.append(NO_ID if key is None else key)
         self.lengths.append(len(found))
         self.size += len(first)

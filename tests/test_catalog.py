@@ -58,6 +58,26 @@ def test_sweep_fuses_at_each_depth(spark, monkeypatch):
     assert {d: r["mrr_5"] for d, r in got.items()} == pytest.approx({20: 1 / 6, 50: 1 / 4, 100: 1 / 4, 200: 1 / 2})
 
 
+def test_curation_shuffles_no_texts(spark, monkeypatch):
+    docs = spark.range(40).select("id", F.concat(F.lit("some words "), "id").alias("text"))
+    ranked = spark.range(1, 11).select(F.lit(1).cast("long").alias("query_id"), "id", F.col("id").cast("int").alias("rank"))
+    gold = spark.createDataFrame([(1, [2, 30], "many"), (2, [77], "one")], "query_id long, gold array<long>, category string")
+    evidence = spark.createDataFrame([(1, "some words in full 1"), (2, "x")], "query_id long, evidence string")
+    vectors = spark.range(40).select("id", F.array(F.lit(1.0), F.col("id") / 100).alias("v"))
+    met, whole = [], golden.other_gold
+    monkeypatch.setattr(golden, "other_gold", lambda hits, *a: met.append(hits) or whole(hits, *a))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entries, others = golden.curation_entries(ranked, gold, docs, evidence, vectors)
+        plan = met[0]._jdf.queryExecution().executedPlan().toString()
+        rows = {r["id"]: (r["first_rank"], r["n_similar"]) for r in entries.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and met[0].count() == 9
+    assert rows == {1: (2, 3), 2: (None, 0)} and others.count() == 3  # the gold of query 2 has no document
+
+
 def test_interleave_takes_every_row(spark, tmp_path):
     rows = [(i, "a") for i in range(1, 41)] + [(i, "b") for i in range(50, 53)] + [(60, "c"), (61, None)]
     spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
