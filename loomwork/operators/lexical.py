@@ -16,10 +16,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,12 +45,55 @@ NO_ID = np.iinfo(np.int64).min
 SEGMENTS = "file string, segment string, term string, n long, tokens long, docs binary, counts binary"
 
 
-class _Numbers(dict):
-    """A number for each term, given when it is first asked for."""
-
-    def __missing__(self, term: str) -> int:
-        self[term] = number = len(self)
-        return number
+#: A byte as a token has it (letters in lower case), or 0 where no token goes on; and bytes that CJK characters can begin with.
+_BYTES = np.zeros(256, np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
+    _BYTES[_c] = _BYTES[ord(chr(_c).upper())] = _c
+_CJK_BYTES = np.isin(np.arange(256), [*range(0xE3, 0xEA), 0xEF])
+
+
+def batch_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts, as tokens_of gives them, and each one's text by place; null texts have none.
+
+    Runs of letters and digits are cut out of the texts' bytes together; only texts with characters that may be CJK are read one by one."""
+    texts = texts.cast(pa.string()).fill_null("")
+    n, (_, ends, data) = len(texts), texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    at = np.flatnonzero(_CJK_BYTES[data])
+    apart = np.unique(np.searchsorted(ends, at, side="right") - 1)
+    plain = _BYTES[data]
+    for i in apart:
+        plain[ends[i] : ends[i + 1]] = 0
+    inside = plain != 0
+    new = inside.copy()
+    new[1:] &= ~inside[:-1]
+    first = ends[:-1][ends[:-1] < len(data)]  # no token goes across texts
+    new[first] = inside[first]
+    kept, begins = plain[inside], np.flatnonzero(new[inside])
+    found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(kept)).astype(np.int32)), pa.py_buffer(kept))
+    owner = np.searchsorted(ends, np.flatnonzero(new), side="right") - 1
+    if len(apart):
+        more = [tokens_of(texts[int(i)].as_py()) for i in apart]
+        found = pa.concat_arrays([found, pa.array([t for x in more for t in x], pa.string())])
+        owner = np.concatenate([owner, np.repeat(apart, [len(x) for x in more])])
+    return found, owner
+
+
+class _Counted:
+    """The texts of a batch: for each its tokens, and its terms (by number, ascending) with their counts."""
+
+    def __init__(self, texts: pa.Array):
+        found, owner = batch_tokens(texts)
+        found = found.dictionary_encode()
+        self.terms, n = found.dictionary, len(texts)
+        self.lengths = np.bincount(owner, minlength=n).astype(np.int32)
+        keys = np.sort(owner.astype(np.int64) * max(1, len(self.terms)) + found.indices.to_numpy())
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.docs, self.codes = np.divmod(keys[first], max(1, len(self.terms)))
+        self.counts = np.diff(np.append(first, len(keys))).astype(np.int32)
+        self.ends = np.append(0, np.bincount(self.docs, minlength=n).cumsum())  # of each text's terms
 
 
 class _Segment:
@@ -56,39 +101,42 @@ class _Segment:
 
     def __init__(self, file: str, name: str):
         self.file, self.name = file, name
-        self.terms = _Numbers()
-        self.ids: list[int] = []
-        self.lengths: list[int] = []
+        self.ids: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.terms: list[pa.Array] = []  # of each part, those that its documents hold
         self.codes: list[np.ndarray] = []
+        self.docs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, key: int | None, text: str | None) -> None:
-        found = tokens_of(text or "")
-        codes = np.fromiter(map(self.terms.__getitem__, found), np.int32, len(found))
-        codes.sort()
-        new = np.ones(len(codes), bool)
-        np.not_equal(codes[1:], codes[:-1], out=new[1:])
-        first = np.flatnonzero(new)
-        ends = np.append(first[1:], len(codes)) if len(codes) else first
-        self.codes.append(codes[first])
-        self.counts.append((ends - first).astype(np.int32))
-        self.ids.append(NO_ID if key is None else key)
-        self.lengths.append(len(found))
-        self.size += len(first)
+        self.n = self.size = self.n_terms = 0
+
+    def add(self, ids: np.ndarray, batch: _Counted, begin: int, end: int) -> None:
+        """The batch's texts from begin to end."""
+        own = slice(batch.ends[begin], batch.ends[end])
+        codes = batch.codes[own]
+        held = np.zeros(len(batch.terms), bool)
+        held[codes] = True
+        self.terms.append(batch.terms.take(pa.array(np.flatnonzero(held))))
+        self.codes.append(held.cumsum()[codes] - 1 + self.n_terms)
+        self.docs.append(batch.docs[own] - begin + self.n)
+        self.counts.append(batch.counts[own])
+        self.ids.append(ids[begin:end])
+        self.lengths.append(batch.lengths[begin:end])
+        self.n, self.size, self.n_terms = self.n + end - begin, self.size + len(codes), self.n_terms + len(self.terms[-1])
 
     def rows(self) -> pa.RecordBatch:
-        sizes = [len(x) for x in self.codes]
-        by_id = np.argsort(np.array(self.ids, np.int64), kind="stable")
-        place = np.empty(len(by_id), np.int32)
-        place[by_id] = np.arange(len(by_id), dtype=np.int32)  # documents are numbered in the order of their ids
-        names = sorted(self.terms)
-        by_name = np.empty(len(names), np.int32)
-        by_name[np.fromiter(map(self.terms.__getitem__, names), np.int64, len(names))] = np.arange(len(names), dtype=np.int32)
-        codes, docs = by_name[np.concatenate(self.codes)], np.repeat(place, sizes)
-        order = np.argsort(codes.astype(np.int64) * len(by_id) + docs)
+        ids = np.concatenate(self.ids)
+        by_id = np.argsort(ids, kind="stable")
+        place = np.empty(self.n, np.int64)
+        place[by_id] = np.arange(self.n)  # documents are numbered in the order of their ids
+        terms = pa.concat_arrays(self.terms).dictionary_encode()
+        order = pc.array_sort_indices(terms.dictionary)  # by bytes, which is by characters
+        names = terms.dictionary.take(order)
+        by_name = np.empty(len(names), np.int64)
+        by_name[order.to_numpy()] = np.arange(len(names))
+        codes, docs = by_name[terms.indices.to_numpy()[np.concatenate(self.codes)]], place[np.concatenate(self.docs)]
+        order = np.argsort(codes * self.n + docs)
         many = np.bincount(codes, minlength=len(names))
-        lengths = np.array(self.lengths, np.int32)[by_id]
+        lengths = np.concatenate(self.lengths)[by_id]
 
         def values(head: np.ndarray, of: np.ndarray) -> pa.Array:
             """The documents' bytes, then each term's."""
@@ -97,8 +145,8 @@ class _Segment:
 
         n = len(names) + 1
         columns = [
-            pa.repeat(pa.scalar(self.file, pa.string()), n), pa.repeat(pa.scalar(self.name, pa.string()), n), pa.array([None, *names], pa.string()), pa.array(np.concatenate([[len(self.ids)], many]).astype(np.int64)),
-            pa.array([int(lengths.sum()), *[None] * len(names)], pa.int64()), values(np.sort(np.array(self.ids, np.int64)), docs), values(lengths, np.concatenate(self.counts)),
+            pa.repeat(pa.scalar(self.file, pa.string()), n), pa.repeat(pa.scalar(self.name, pa.string()), n), pa.concat_arrays([pa.nulls(1, pa.string()), names]), pa.array(np.concatenate([[self.n], many]).astype(np.int64)),
+            pa.array([int(lengths.sum()), *[None] * len(names)], pa.int64()), values(ids[by_id], docs.astype(np.int32)), values(lengths, np.concatenate(self.counts)),
         ]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SEGMENTS.split(", ")])
 
@@ -116,13 +164,20 @@ def segments(docs: DataFrame, key: str = "doc_id", text: str = "text", file: str
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            for name, doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if held is not None and (held.size >= SEGMENT or held.file != name):
+            counted, files = _Counted(batch.column(2)), batch.column(0).to_pylist()
+            ids = batch.column(1).fill_null(NO_ID).to_numpy()
+            last = np.append(np.flatnonzero([a != b for a, b in pairwise(files)]) + 1, len(files))  # where a file's rows end
+            begin = 0
+            while begin < len(files):
+                if held is not None and (held.size >= SEGMENT or held.file != files[begin]):
                     yield held.rows()
                     held = None
                 if held is None:
-                    held, made = _Segment(name, f"{run}-{part}-{made}"), made + 1
-                held.add(doc, words.as_py())
+                    held, made = _Segment(files[begin], f"{run}-{part}-{made}"), made + 1
+                full = int(np.searchsorted(counted.ends, counted.ends[begin] + SEGMENT - held.size))  # with the text that fills it
+                end = min(full, int(last[np.searchsorted(last, begin, side="right")]))
+                held.add(ids, counted, begin, end)
+                begin = end
         if held is not None:
             yield held.rows()
 
@@ -207,16 +262,18 @@ class Postings:
 def ranked_terms(index: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """query_id, id, score, rank of the texts that hold a term of the query; index: rows of `segments`, a stored table.
 
-    queries: query_id, query, any number of them. Two jobs run while this is built: the corpus's totals and a count of the asked terms.
+    queries: query_id, query, any number of them. Jobs run while this is built: the corpus's totals, counts of the asked terms, and the writing
+    of the index's rows of these to the shared folder.
     A segment's terms meet at most TOGETHER queries in a task."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     n, tokens = index.filter("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     sets = max(1, -(-queries.count() // TOGETHER))
     asked = queries.select("query_id", F.pmod(F.xxhash64("query_id"), F.lit(sets)).alias("set"), F.explode(F.array_distinct(tokenize("query"))).alias("term"))
     by_term = small(asked.groupBy("term", "set").agg(F.collect_list("query_id").alias("queries")))
-    found = index.filter("term is not null").join(by_term, "term")
-    df = index.join(small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
-    found = found.join(small(df), "term").select("segment", "set", "term", "docs", "counts", "df", "queries")
+    met = index.filter("term is not null").join(small(asked.select("term").distinct()), "term", "left_semi")
+    met = stored(met.select("segment", "term", "n", "docs", "counts"), "met")  # the index's terms are read once
+    df = met.groupBy("term").agg(F.sum("n").alias("df"))
+    found = met.join(by_term, "term").join(small(df), "term").select("segment", "set", "term", "docs", "counts", "df", "queries")
     none = F.lit(None)
     heads = index.filter("term is null").select("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sets - 1).cast("long"))).alias("set"), none.cast("string").alias("term"), "docs", "counts", none.cast("long").alias("df"), none.cast(found.schema["queries"].dataType).alias("queries"))
     avgdl, wanted = (tokens / n if n else 0.0), max(most, 0)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,29 @@ def test_terms_against_plain_sums(spark, monkeypatch, segment, block, together,
         lexical.segments(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def test_tokens_of_a_batch_are_those_of_each_text():
+    """Sliced arrays, empty and null texts, texts that touch, and CJK beside letters that only look alike."""
+    odd = ["ab", "cd1", "", None, "中文字 abc", "É Ünï 9x", "ſ K İ ß", "字", "かな漢字カナ", "ABC㐀䶿def", "豈﫿 ", "---", "x" * 5000, "😀a😀B", "ａｂｃ １２", "", "Z"]
+    rng = random.Random(8)
+    texts = [rng.choice(odd) for _ in range(400)]
+    whole = pa.array(texts, pa.string())
+    for begin, n in ((0, 400), (13, 300), (399, 1), (5, 0)):
+        terms, owner = lexical.batch_tokens(whole.slice(begin, n))
+        got = [[] for _ in range(n)]
+        for term, i in zip(terms.to_pylist(), owner.tolist(), strict=True):
+            got[i].append(term)
+        assert got == [text.tokens_of(t or "") for t in texts[begin : begin + n]]
+
+
+def test_a_search_reads_the_terms_of_the_index_once(spark):
+    index = lexical.index_of(spark.createDataFrame(corpus(1), "doc_id long, text string"))
+    found = lexical.ranked_terms(index, spark.createDataFrame([(1, "w0 w1")], "query_id long, query string"), 5)
+    path = index.inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[1]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line and path in line]
+    assert len(scans) == 1 and "IsNull(term)" in scans[0]  # what is left to read are the heads of segments
+
+
 def test_blocks_are_skipped():
     """Blocks that cannot reach the k-th score are not read, and nothing changes by it."""
     rng = np.random.default_rng(3)
