@@ -270,6 +270,22 @@ def align(marks: DataFrame, query_divisor: int = 50, most_error: float = 0.2, le
     return sized.filter(other).select("query_id", "match_id", "class_size", "offset", "bit_error", "overlap")
 
 
+#: Links in a row of by_query, about as many at most.
+LINKS = 4096
+
+
+def by_query(links: DataFrame) -> DataFrame:
+    """query_id, part, n_links, links: every row of `align`, as one row a query; n_links counts the query's links.
+
+    links: a stored table, which is read twice. A query of more than LINKS links has them dealt to parts by hash of match_id, so no
+    query's links need to fit one row or one task."""
+    sizes = links.groupBy("query_id").agg(F.count("*").alias("n_links"))
+    part = F.pmod(F.xxhash64("match_id"), F.ceil(F.col("n_links") / LINKS)).cast("int")
+    row = F.struct("match_id", "class_size", "offset", "bit_error", "overlap")
+    dealt = links.join(sizes, "query_id").withColumn("part", part)
+    return dealt.groupBy("query_id", "part", "n_links").agg(F.array_sort(F.collect_list(row)).alias("links"))
+
+
 def rendered(vectors: DataFrame, seconds: float = 3.0, notes: int = 16, takes: int = 2) -> DataFrame:
     """id, audio: a stand-in media column, `takes` recordings of each vector. Take t of vec_id v has id takes * v + t.
 

@@ -29,11 +29,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_media_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has audio, so two takes are rendered of each embedding (ids 2 * vec_id and 2 * vec_id + 1).
 
-    Every recording counts for the levels and is indexed; the first takes of vec_ids divisible by 50 are the queries."""
+    Every recording counts for the levels and is indexed; the first takes of vec_ids divisible by 50 are the queries. A row is a query with all its
+    links to classes of recordings, and their number."""
     vectors = table(spark, sf_dir, "embeddings")
     levels = chroma.fit_levels(chroma.rendered(vectors))
     marks = stored(chroma.fingerprints(chroma.rendered(vectors), levels), "fingerprints")
-    return chroma.align(marks, query_divisor=100)
+    return chroma.by_query(stored(chroma.align(marks, query_divisor=100), "links"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

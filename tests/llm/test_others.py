@@ -385,6 +385,19 @@ def test_chroma_copies_are_one_class(spark):
     assert sorted((r["query_id"], r["match_id"], r["class_size"], r["offset"], r["bit_error"]) for r in got) == [(0, 0, 3, 0, 0.0), (50, 0, 3, 0, 0.0)]
 
 
+def test_chroma_links_are_all_kept_by_query(spark, monkeypatch):
+    """A row a query holds every link of `align`; one with many is dealt to parts."""
+    links = [(q, m, 1 + m % 3, m - 5, m / 100, 8 + m) for q, n in ((0, 1), (2, 40), (4, 7)) for m in range(n)]
+    df = spark.createDataFrame(links, "query_id long, match_id long, class_size long, offset int, bit_error double, overlap int")
+    for most, least, parts in ((4096, 3, 1), (8, 6, 5)):
+        monkeypatch.setattr(chroma, "LINKS", most)
+        rows = chroma.by_query(df).collect()
+        assert sorted((r["query_id"], *x) for r in rows for x in r["links"]) == sorted(links)
+        assert least <= len(rows) <= 7 and {r["part"] for r in rows} <= set(range(parts))
+        assert {(r["query_id"], r["n_links"]) for r in rows} == {(0, 1), (2, 40), (4, 7)}
+    assert chroma.by_query(df.limit(0)).count() == 0
+
+
 def test_chroma_levels_are_of_all_recordings(spark):
     """Far more than 256 recordings: a quarter, a half and three quarters of all responses are at or below the levels, to a step."""
     rng = np.random.default_rng(5)
