@@ -98,13 +98,13 @@ def overlap_score(query: Column, text: Column) -> Column:
 _LOADED: dict[str, Callable[[list[tuple[str, str]]], list[float]] | None] = {}
 
 
-def loaded_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16, most_tokens: int = 512) -> Callable[[Column, Column], Column]:
+def loaded_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16, most_tokens: int = 512, sticks: bool = True) -> Callable[[Column, Column], Column]:
     """A re-ranking model as a column function: logits of (query, text) pairs, as probabilities.
 
     `load` is called once in each worker, when its first pair comes. Pairs go to the model `batch` at a time, those of like length
     together, and scores come back in the rows' order. Of a pair that is too long only the text is cut (in words), never the query.
-    A model that cannot be loaded or fails on a batch has failed for good: that worker's further pairs have null scores, and it is not
-    tried again; `reranked` leaves a query with such a pair in its order."""
+    A model that cannot be loaded or, if `sticks`, fails on a batch has failed for good: that worker's further pairs have null scores, and it
+    is not tried again. Else only the pairs of that batch have none. `reranked` leaves a query with such a pair in its order."""
     name = uuid.uuid4().hex
 
     @F.pandas_udf("double")
@@ -112,24 +112,34 @@ def loaded_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[floa
         pairs = [(q or "", " ".join((t or "").split(" ")[: max(0, most_tokens - len((q or "").split(" ")))])) for q, t in zip(query, text, strict=True)]
         out: list[float | None] = [None] * len(pairs)
         by_length = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]) + len(pairs[i][1]))
-        try:
-            if pairs and name not in _LOADED:
-                _LOADED[name] = None  # what it stays if loading fails
+        if pairs and name not in _LOADED:
+            _LOADED[name] = None  # what it stays if loading fails
+            try:
                 _LOADED[name] = load()
-            for begin in range(0, len(pairs) if _LOADED.get(name) else 0, batch):
-                chosen = by_length[begin : begin + batch]
-                for i, x in zip(chosen, _LOADED[name]([pairs[i] for i in chosen]), strict=True):
-                    out[i] = 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
-        except Exception:  # a failing model must not fail the search
-            _LOADED[name] = None
+            except Exception:  # a failing model must not fail the search
+                pass
+        for begin in range(0, len(pairs), batch):
+            model = _LOADED[name]
+            if model is None:
+                break
+            chosen = by_length[begin : begin + batch]
+            try:
+                scores = [1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x)) for x in model([pairs[i] for i in chosen])]
+                given = list(zip(chosen, scores, strict=True))
+            except Exception:
+                given = []
+                if sticks:
+                    _LOADED[name] = None
+            for i, x in given:
+                out[i] = x
         return pd.Series(out, dtype="float64")
 
     return score
 
 
 def batched_scorer(model: Callable[[list[tuple[str, str]]], list[float]], batch: int = 16, most_tokens: int = 512) -> Callable[[Column, Column], Column]:
-    """As loaded_scorer, of a model that is there already."""
-    return loaded_scorer(lambda: model, batch, most_tokens)
+    """As loaded_scorer, of a model that is there already: a batch that it fails on does not keep it from the others."""
+    return loaded_scorer(lambda: model, batch, most_tokens, sticks=False)
 
 
 @dataclass(frozen=True)
