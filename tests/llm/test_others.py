@@ -4,6 +4,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomwork.llm import chroma, exact_topk, html_text, mixing, pieces, url_filter
@@ -368,6 +369,75 @@ def test_chroma_votes_find_flipped_words(error, least):
     assert found >= least * tried
 
 
+def plain_links(recordings, queries, most_error, least_overlap):
+    """All offsets that two equal bytes of a word vote for; of those near enough the one with most votes, then the smallest."""
+    out = []
+    for q, a in enumerate(queries):
+        for i, b in enumerate(recordings):
+            best = None
+            for o in range(1 - len(a), len(b)) if len(a) else ():
+                n = min(len(a) - max(0, -o), len(b) - max(0, o))
+                x = a[max(0, -o) :][:n] ^ b[max(0, o) :][:n]
+                same = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4) == 0).sum(axis=1)
+                votes, error = int((same * (same - 1) // 2).sum()), int(np.bitwise_count(x).sum()) / (32 * n)
+                if votes and n >= least_overlap and error <= most_error and (best is None or (-votes, o) < best[0]):
+                    best = (-votes, o), (q, i, o, error, n)
+            out += [best[1]] if best else []
+    return out
+
+
+@pytest.mark.parametrize("votes, together", [(1 << 15, 1_000_000), (30, 70)])
+def test_chroma_links_are_those_of_plain_votes(monkeypatch, votes, together):
+    """Recordings of any length, few and many different words, several limits: what is given up early is never a link."""
+    monkeypatch.setattr(chroma, "VOTES", votes)
+    monkeypatch.setattr(chroma, "TOGETHER", together)
+    by_offset, found, near = [], 0, chroma.Block._near_by_offset
+    monkeypatch.setattr(chroma.Block, "_near_by_offset", lambda *a: by_offset.append(1) or near(*a))
+    for seed, (letters, most_error, least_overlap) in enumerate([(3, 0.2, 8), (3, 0.4, 1), (60, 0.2, 8), (60, 0.45, 20), (9000, 0.35, 5), (9000, 0.5, 9)]):
+        rng = np.random.default_rng(seed)
+        known = rng.integers(0, 2**32, letters, dtype=np.uint32)
+        recordings = [rng.choice(known, n) for n in (1, 7, 8, 9, 15, 16, 17, 36, 37, 70, *rng.integers(1, 50, 8))]
+        flipped = [x ^ np.where(rng.random(len(x)) < 0.6, np.uint32(1) << rng.integers(0, 32, len(x)).astype(np.uint32), np.uint32(0)) for x in recordings[4:10]]
+        queries = [np.empty(0, np.uint32), *flipped, *(rng.choice(known, n) for n in (3, 12, 40)), flipped[3][5:], np.empty(0, np.uint32)]
+        got = list(zip(*(x.tolist() for x in chroma.Block(recordings).links(queries, most_error, least_overlap))))
+        assert got == plain_links(recordings, queries, most_error, least_overlap)
+        found += len(got)
+    assert found > 200 and by_offset
+    for empty in ([], [np.empty(0, np.uint32)]):
+        assert not any(len(x) for x in chroma.Block(empty).links(queries, 0.2, 8)) and not any(len(x) for x in chroma.Block(recordings).links(empty, 0.2, 8))
+
+
+def test_chroma_unlike_offsets_are_given_up(monkeypatch):
+    """Offsets with a chance vote are not compared to their end: far fewer words are than there are in their overlaps."""
+    rng = np.random.default_rng(3)
+    recordings, queries = (list(rng.integers(0, 2**32, (n, 100), dtype=np.uint32)) for n in (2000, 10))
+    recordings[7] = queries[3] ^ np.uint32(1)
+    block, compared, count = chroma.Block(recordings), [0], np.bitwise_count
+
+    def counted(x):
+        compared[0] += x.size * x.itemsize // 4
+        return count(x)
+
+    voted = 10 * 2000 * 100 * 100 * 6 / 65_536  # word pairs with a vote, in the mean
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    found = [block.matches(q, 0.2, 8) for q in queries]
+    assert [(i, r.tolist(), o.tolist()) for i, (r, o, *_) in enumerate(found) if len(r)] == [(3, [7], [0])]
+    assert compared[0] < 45 * voted  # an overlap has 67 words in the mean
+
+
+def test_chroma_words_do_not_depend_on_company():
+    """Recordings are turned into words several at a time, by length: each gets those it gets alone."""
+    rng = np.random.default_rng(8)
+    sizes = [*rng.permutation([0, 1, 1000, 1023, 1024, 2815, 2816, 2817, 12000, 12000, 12256, 12000, 80_000, 12256, 12001])]
+    pcm = [None, *((rng.normal(size=n) * 3000).astype("<i2").tobytes() + b"x" * (n % 2) for n in sizes), b"\0" * 9000, None]
+    levels = np.sort(rng.normal(size=(len(chroma.FILTERS), 3)) * 0.2, axis=1)
+    got = {int(i): own for at, values in chroma.by_length(pa.array(pcm, pa.binary())) for i, own in zip(at, chroma.pack(values, levels))}
+    assert sorted(got) == list(range(len(pcm)))
+    for i, audio in enumerate(pcm):
+        assert np.array_equal(got[i], chroma.pack(chroma.responses(chroma.chroma(audio)), levels))
+        assert len(got[i]) == max(0, (len(audio or b"") // 2 - chroma.FRAME) // chroma.HOP + 2 - chroma.WIDEST)
+
+
 def test_chroma_common_words(spark):
     """A third of all words alike, in recordings that differ: every pair at each offset is that of all pairs."""
     rng = np.random.default_rng(9)
