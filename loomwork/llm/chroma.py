@@ -185,7 +185,7 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 #: Words in a block of recordings and in a block of queries, in the mean, and of the queries that are looked up at once.
-BLOCK_WORDS, QUERY_WORDS, ASKED_WORDS = 300_000, 160_000, 20_000
+BLOCK_WORDS, QUERY_WORDS, ASKED_WORDS = 300_000, 160_000, 40_000
 #: Votes that are looked at at once, and words that are compared at once.
 VOTES, TOGETHER = 1 << 15, 1_000_000
 #: Consecutive words whose bits are compared as one row.
@@ -276,6 +276,7 @@ class Block(Words):
         many = 8 * votes > self.count + len(self.sizes) * asked.sizes  # so many that offsets may have several each
         found = []
         few = np.flatnonzero(np.repeat(~many, len(BYTE_PAIRS) * asked.sizes))
+        few = few[np.argsort(key[few], kind="stable")]  # a list is looked up again while its words are still at hand
         word = (few // len(BYTE_PAIRS)).astype(np.int32)
         start, left = asked.start[word], asked.left[word]
         for of, n, at in self._votes(sizes[few], begin[few]):
